@@ -21,6 +21,7 @@ Other columns are never read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ WIDTH, FACTOR = 3, 8191
 PRIOR = 1000.0
 #: The least mean log ratio of a kept document.
 THRESHOLD = -0.6
+#: Trusted rows that the target is counted from, about: their ids are broadcast. Beyond it, a hashed share of them.
+MAX_TRUSTED = 1_000_000
 #: Code points hashed at once.
 _PIECE = 1 << 20
 _SYMBOLS = b"#*$%&|<>"
@@ -137,11 +140,16 @@ def score_quality(
     buckets: int = BUCKETS,
     prior: float = PRIOR,
     threshold: float = THRESHOLD,
+    max_trusted: int = MAX_TRUSTED,
+    keep: list | None = None,
 ) -> DataFrame:
-    """A row for each row of df: id, the five base counts, base_failed, llr (mean log ratio per n-gram), kept."""
+    """A row for each row of df: the columns `keep` (the id), the five base counts, base_failed, llr (mean log ratio per n-gram), kept."""
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted_id")).where("__trusted_id IS NOT NULL").distinct()
+    share = math.ceil(ids.count() / max_trusted)
+    if share > 1:
+        ids = ids.where(F.pmod(F.xxhash64("__trusted_id"), F.lit(share)) == 0)
     rows = df.select(F.col(id_col), F.col(text_col))
-    marked = rows.join(ids.withColumn("__good", F.lit(True)), F.col(id_col) == F.col("__trusted_id"), "left").select(text_col, F.coalesce("__good", F.lit(False)).alias("__good"))
+    marked = rows.join(F.broadcast(ids.withColumn("__good", F.lit(True))), F.col(id_col) == F.col("__trusted_id"), "left").select(text_col, F.coalesce("__good", F.lit(False)).alias("__good"))
     ratio = log_ratios(gram_counts(marked, "__good", text_col, buckets), prior)
     shared = df.sparkSession.sparkContext.broadcast(ratio)
 
@@ -160,7 +168,7 @@ def score_quality(
         return work
 
     fields = [*(T.StructField(c, T.LongType()) for c in _COUNTS), T.StructField("llr", T.DoubleType())]
-    out = per_text(rows, [id_col], text_col, make, fields)
+    out = per_text(df, keep or [id_col], text_col, make, fields)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
