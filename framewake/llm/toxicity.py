@@ -130,10 +130,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     return dict(zip(names.tolist(), weights.tolist(), strict=True)), bias
 
 
-def _sample(df: DataFrame, id_col: str, text_col: str, rows: int) -> list[np.ndarray]:
+def _sample(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, rows: int) -> list[np.ndarray]:
     """The features of a bounded sample of texts, made on the executors."""
-    ids = df.select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(rows)
-    texts = df.join(F.broadcast(ids), F.col(id_col) == F.col("__id"), "left_semi").select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), utf8(text_col).alias("t"))
+    ids = ids.orderBy(F.xxhash64(F.col("__lid").cast("string")), "__lid").limit(rows)
+    texts = df.join(F.broadcast(ids), F.col(id_col) == F.col("__lid"), "left_semi").select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), utf8(text_col).alias("t"))
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("f", T.BinaryType())])
 
     def run(batches):
@@ -152,7 +152,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n or not toxic:
         return fit([], [], 0.0)
     texts = df.select(id_col, text_col).where(F.col(text_col).isNotNull())
-    pick = lambda ids, rows: _sample(texts.join(ids.select("__lid"), F.col(id_col) == F.col("__lid"), "left_semi"), id_col, text_col, rows)
+    pick = lambda ids, rows: _sample(texts, ids.select("__lid"), id_col, text_col, rows)
     return fit(pick(known.where("__toxic = 1"), max_positive), pick(known, max_unlabelled), min(toxic / n, 0.9))
 
 
