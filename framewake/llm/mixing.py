@@ -38,8 +38,8 @@ from pyspark.sql.window import Window
 
 from .common import load
 
-#: Blocks of a source, output shards (a power of two), sources at most (the plan is broadcast).
-BLOCKS, SHARDS, MAX_SOURCES = 256, 64, 10_000
+#: Blocks of a source, output shards (a power of two), sources at most (the plan is broadcast), tasks of a shard.
+BLOCKS, SHARDS, MAX_SOURCES, SALT = 256, 64, 10_000, 16
 WEIGHTS, MAX_PASSES, SEED = (5, 2, 1), 3, 17
 
 
@@ -180,7 +180,10 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """df's columns for each time the mix takes a row, and shard; written in order of shard and, within it, shuffled."""
     taken = assign(df, id_col, text_col, source_col, shards, seed).select(*df.columns, F.posexplode("__shards").alias("__pass", "__shard"))
-    return taken.repartitionByRange(F.col("__shard"), _hash(id_col, seed, 2)).sortWithinPartitions("__shard", F.xxhash64(F.col(id_col).cast("string"), "__pass", F.lit(seed))).select(*df.columns, F.col("__shard").alias("shard"))
+    order = F.xxhash64(F.col(id_col).cast("string"), "__pass", F.lit(seed))
+    # A shard is dealt to several tasks, each of which shuffles its part.
+    dealt = taken.repartition("__shard", F.pmod(order, F.lit(SALT))).sortWithinPartitions("__shard", order)
+    return dealt.select(*df.columns, F.col("__shard").alias("shard"))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
