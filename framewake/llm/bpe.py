@@ -35,6 +35,7 @@ from .common import MEMO_ENTRIES, load, per_text
 
 # The word pattern of the vocabulary file, and white space as its regular expressions have it.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_LINE_WORD = regex.compile(_WORD.pattern + "|\n")
 _SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
 #: str.split() takes these for white space too.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
@@ -47,16 +48,14 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
 
 
-def merge_rounds(symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray, n_symbols: int) -> list[np.ndarray]:
-    """The symbols that are left of each word. symbols: of all words, one after another; starts: where each word begins.
+def merge_rounds(symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that are left of all words, and how many each word has. symbols: of all words, one after another; starts: where each word begins.
 
     keys: sorted left * n_symbols + right of the known pairs; ranks, made: each one's rank and the symbol it becomes.
     """
-    done: list = [None] * len(starts)
-    if not len(starts):
-        return done
     none = np.iinfo(np.int64).max
     word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(symbols))))
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     rank, result = np.full(len(symbols), none), np.zeros(len(symbols), np.int64)
 
     def look_up(i: np.ndarray) -> None:
@@ -66,15 +65,14 @@ def merge_rounds(symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray, rank
         known = (keys[at] == pair) & (word[i] == word[i + 1])
         rank[i], result[i] = np.where(known, ranks[at], none), made[at]
 
-    look_up(np.arange(len(symbols) - 1))
+    look_up(np.arange(max(0, len(symbols) - 1)))
     while len(symbols):
         first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         length = np.diff(np.append(first, len(word)))
         best = np.minimum.reduceat(rank, first)
         over = best == none
-        ended = np.flatnonzero(over)
-        for w, i, j in zip(word[first[ended]].tolist(), first[ended].tolist(), (first + length)[ended].tolist(), strict=True):
-            done[w] = symbols[i:j]
+        gone = np.repeat(over, length)
+        out.append((word[gone], symbols[gone]))
         if over.all():
             break
         hits = np.flatnonzero((rank == np.repeat(best, length)) & (rank < none))
@@ -83,7 +81,7 @@ def merge_rounds(symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray, rank
         offset = np.arange(len(hits)) - np.searchsorted(run, run)
         hits = hits[offset % 2 == 0]
         symbols[hits] = result[hits]
-        stay = ~np.repeat(over, length)
+        stay = ~gone
         stay[hits + 1] = False
         changed = np.zeros(len(symbols), bool)
         changed[hits] = True
@@ -93,7 +91,10 @@ def merge_rounds(symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray, rank
         rank[hits] = none
         near = np.unique(np.concatenate([hits, hits - 1]))
         look_up(near[(near >= 0) & (near < len(symbols) - 1)])
-    return done
+    order = np.argsort(np.concatenate([w for w, _ in out]), kind="stable") if out else np.zeros(0, np.int64)
+    left = np.concatenate([s for _, s in out])[order] if out else symbols
+    counts = np.bincount(np.concatenate([w for w, _ in out]), minlength=len(starts)) if out else np.zeros(len(starts), np.int64)
+    return left, counts
 
 
 class Bpe:
@@ -101,43 +102,53 @@ class Bpe:
 
     def __init__(self, settings: dict):
         self.__dict__.update(settings)
-        self.letters = byte_alphabet()
+        self.numbers = list(range(self.n_symbols))
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _new_words(self, words: list[str]) -> None:
-        first, last = self.first_id, self.last_id
         spelled = [w.encode() for w in words]
         flat = np.frombuffer(b"".join(spelled), np.uint8)
         ends = np.cumsum([len(w) for w in spelled])
-        symbols = first[flat]
-        symbols[ends - 1] = last[flat[ends - 1]]
-        ids = merge_rounds(symbols, np.append(0, ends[:-1]), self.keys, self.ranks, self.made, self.n_symbols)
-        self.words.update((w, tuple(i.tolist())) for w, i in zip(words, ids, strict=True))
-
-    def _split(self, piece: str) -> list[str]:
-        """The words of text between special tokens and white space."""
-        # One letter at a time, so a final sigma doesn't differ from another.
-        return _WORD.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
+        symbols = self.first_id[flat]
+        symbols[ends - 1] = self.last_id[flat[ends - 1]]
+        left, counts = merge_rounds(symbols, np.append(0, ends[:-1]), self.keys, self.ranks, self.made, self.n_symbols)
+        # One object for each id, however many words have it.
+        ids = list(map(self.numbers.__getitem__, left.tolist()))
+        stops = np.cumsum(counts).tolist()
+        self.words.update((w, tuple(ids[i:j])) for w, i, j in zip(words, [0, *stops], stops, strict=False))
 
     def _new_pieces(self, pieces: list[str]) -> None:
-        parts: dict[str, list] = {}
-        for p in pieces:
-            if self.special_pattern and self.special_pattern.search(p):
-                parts[p] = [self.special[m] if m in self.special else self._split(m) for m in self.special_pattern.split(p)]
-            else:
-                parts[p] = [self._split(p)]
-        new = {w for marked in parts.values() for m in marked if isinstance(m, list) for w in m}.difference(self.words)
-        if new:
+        """The ids of what lies between white space. All pieces are normalised and split into words at once, a line each."""
+        special = self.special_pattern
+        parts = [[p] if special is None or not special.search(p) else special.split(p) for p in pieces]
+        lines = [m for marked in parts for m in marked]
+        # Lower case goes letter by letter, so a final sigma doesn't differ from another.
+        found = _LINE_WORD.findall(unicodedata.normalize("NFC", "\n".join("" if m in self.special else m for m in lines)).replace("Σ", "σ").lower())
+        if new := set(found).difference(self.words, "\n"):
             self._new_words(sorted(new))
-        for p, marked in parts.items():
-            self.pieces[p] = tuple(i for m in marked for i in ((m,) if isinstance(m, int) else chain.from_iterable(map(self.words.__getitem__, m))))
+        ids: list[tuple[int, ...]] = []
+        own: list[tuple[int, ...]] = []
+        for w in found:
+            if w == "\n":
+                ids.append(own[0] if len(own) == 1 else tuple(chain.from_iterable(own)))
+                own = []
+            else:
+                own.append(self.words[w])
+        ids.append(tuple(chain.from_iterable(own)))
+        at = 0
+        for p, marked in zip(pieces, parts, strict=True):
+            if len(marked) == 1 and p not in self.special:
+                self.pieces[p] = ids[at]
+            else:
+                self.pieces[p] = tuple(chain.from_iterable((self.special[m],) if m in self.special else ids[at + k] for k, m in enumerate(marked)))
+            at += len(marked)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        if len(self.pieces) > MEMO_ENTRIES or len(self.words) > MEMO_ENTRIES:
-            self.pieces.clear()
-            self.words.clear()
+        for memo in (self.pieces, self.words):
+            if len(memo) > MEMO_ENTRIES // 2:
+                memo.clear()
         cut = [(_SPACES.split(t) if _NOT_SPACE.search(t) else t.split()) if t else [] for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.pieces)
         if new:
@@ -182,7 +193,13 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def make():
         bpe = Bpe(settings.value)
-        return lambda texts: [pa.array(bpe.encode([t and t.decode("utf-8", "replace") for t in texts]), pa.list_(pa.int32()))]
+
+        def work(texts: list[bytes | None]) -> list[pa.Array]:
+            ids = bpe.encode([t and t.decode("utf-8", "replace") for t in texts])
+            ends = np.cumsum([0, *map(len, ids)])
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])))]
+
+        return work
 
     return per_text(df, [id_col], text_col, make, [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
