@@ -89,9 +89,9 @@ def set_name(shingles: np.ndarray) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle hash, flipped by each: 4 bits a shingle or more, up to BITS, a power of two."""
+    """One bit per shingle hash, flipped by each: 2 bits a shingle or more, up to BITS, a power of two."""
     bits = 64
-    while bits < min(4 * len(shingles), BITS):
+    while bits < min(2 * len(shingles), BITS):
         bits *= 2
     odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -315,11 +315,11 @@ def passing_edges(node: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: list[b
     return out
 
 
-def _candidates(members: DataFrame, forest: bool, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of passing_edges() of all groups. members: (gid, node, n, pos, bits, comp)."""
+def _candidates(members: DataFrame, bits: DataFrame, forest: bool, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b, of passing_edges() of all groups. members: (gid, node, n, pos, comp); bits: (node, bits), joined to members of open groups only."""
     sizes = members.groupBy("gid").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 1 AND lo <> hi").select("gid", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     sizes = written(sizes, "groups")
-    cut = members.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cut = members.join(sizes, "gid").join(bits, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).where("blocks = 1 OR lo < hi OR other = block")
 
@@ -435,14 +435,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = spark.sparkContext.broadcast(_summed(sets.where("NOT row")))
     reps = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.min("bits").alias("bits")), "reps")
     groups = _groups(_prefixes(texts.select("t"), counts, width, percent))
-    members = written(groups.join(reps.select("node", "bits"), "node").withColumn("comp", F.col("node")), "members")
+    members, bits = written(groups.withColumn("comp", F.col("node")), "members"), reps.select("node", "bits")
 
-    first = written(_candidates(members, True, percent), "pairs")
+    first = written(_candidates(members, bits, True, percent), "pairs")
     links = _verified(first, texts, reps, width, percent)
     found = written(components(links), "components")
     grouped = members.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select(*members.columns)
     grouped = written(grouped, "members")
-    second = written(_candidates(grouped, False, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    second = written(_candidates(grouped, bits, False, percent).join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         more = _verified(second, texts, reps, width, percent)
         found = written(components(links.unionByName(more)), "components")
