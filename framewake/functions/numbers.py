@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def nearest_int(x: Column) -> Column:
@@ -12,7 +13,7 @@ def nearest_int(x: Column) -> Column:
     return F.bround(x, 0).cast("long")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_round(x: pd.Series, digits: pd.Series) -> pd.Series:
     """To so many decimals, half to even on the exact binary value; no built-in rounds that way. For tables with a row per clip, window or call."""
     return pd.Series([None if pd.isna(v) else round(v, int(d)) for v, d in zip(x, digits, strict=True)], dtype="float64")
