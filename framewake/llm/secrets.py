@@ -53,7 +53,7 @@ def _parts(text: Column, kind: str, pattern: str, only_if: Column, ok=None) -> C
 
 
 def scan(df: DataFrame, keep: list[str], text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """The columns `keep` and spans array<struct<start, kind, end>> (kind as its place in KINDS), sorted; a row for each row of df."""
+    """The columns `keep` (none of them named spans) and spans array<struct<start, kind, end>> (kind as its place in KINDS), sorted; a row for each row of df."""
     text = F.col(text_col).cast("string")
     has_word = text.rlike(r"(?i)passw|secret|token|api_?key")
     has_access, has_hex = text.contains("AKIA"), text.rlike("[0-9a-f]{32}")
@@ -82,10 +82,12 @@ def scan(df: DataFrame, keep: list[str], text_col: str = "text", scope: int = SC
 
 def redact(df: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """df with each reported span of the text replaced by [SECRET]; touching and overlapping spans become one. n_chars, where there is one, is counted anew."""
-    t = F.col(text_col)
+    t, doc = F.col(text_col), F.col("__doc")
     # Texts that no pattern can match stay where they are; only the others' rows are shuffled.
     may = F.coalesce(t.cast("string").rlike(r"(?i)passw|secret|token|api_?key|user|login|client_?id|AKIA|[0-9a-f]{32}"), F.lit(False))
-    scanned = scan(df.where(may), df.columns, text_col, scope)
+    risky = df.where(may).select(F.struct(*df.columns).alias("__doc"), t.cast("string").alias("__text"))
+    scanned = scan(risky, ["__doc", "__text"], "__text", scope)
+    t = F.col("__text")
     # Folded over spans in order: what is already written, and where the text goes on.
     fold = F.aggregate(
         "spans",
@@ -96,10 +98,11 @@ def redact(df: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFra
         ),
         lambda s: F.concat(s["out"], F.substring(t, s["at"].cast("int") + 1, F.length(t))),
     )
-    out = scanned.withColumn(text_col, F.when(F.size("spans") > 0, fold).otherwise(t))
+    new = scanned.select("__doc", F.when(F.size("spans") > 0, fold).alias("__new"))
+    fields = {c: doc[c] for c in df.columns} | {text_col: F.coalesce("__new", doc[text_col])}
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return df.where(~may).unionByName(out.select(*df.columns))
+        fields["n_chars"] = F.coalesce(F.length("__new").cast("long"), doc["n_chars"])
+    return df.where(~may).unionByName(new.select(*(v.alias(c) for c, v in fields.items())))
 
 
 def span_digest(spans: str = "spans") -> list[Column]:

@@ -85,13 +85,13 @@ def dual_tree(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
     exact = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1]) < 2**53
     qi, ri = (queries, rows) if exact else (queries.astype(np.int64), rows.astype(np.int64))
     q_root, r_root = cover_tree(queries), cover_tree(rows)
-    best = np.full((len(queries), k), -np.inf if exact else np.iinfo(np.int64).min)
+    best = np.full((len(queries), k), -np.inf if exact else -np.iinfo(np.int64).max)
     best_at = np.full((len(queries), k), len(rows))
 
     def base(q: Node, r: Node) -> None:
         at = np.sort(r.points)
         score = qi[q.points] @ ri[at].T
-        score = np.where(query_ids[q.points][:, None] == row_ids[at][None, :], best.dtype.type(-np.inf) if exact else np.iinfo(np.int64).min, score)
+        score = np.where(query_ids[q.points][:, None] == row_ids[at][None, :], best.dtype.type(-np.inf) if exact else -np.iinfo(np.int64).max, score)
         hit = score.max(1) >= best[q.points, -1]
         who = q.points[hit]
         if not len(who):
@@ -123,7 +123,7 @@ def dual_tree(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
                 n += 1
     out = []
     for i in range(len(queries)):
-        ok = (best[i] != (-np.inf if exact else np.iinfo(np.int64).min)) & (best_at[i] < len(rows))
+        ok = (best[i] != (-np.inf if exact else -np.iinfo(np.int64).max)) & (best_at[i] < len(rows))
         out.append((row_ids[best_at[i][ok]], best[i][ok].astype(np.int64)))
     return out
 
@@ -148,7 +148,7 @@ def top_k(df: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: s
         out: tuple[list, list, list] = ([], [], [])
         for size in np.unique(sizes):
             own = sizes == size
-            x = table.filter(pa.array(own)).column("v").combine_chunks().flatten().to_numpy().reshape(-1, size)
+            x = table.filter(pa.array(own)).column("v").combine_chunks().flatten().to_numpy().reshape(own.sum(), size)
             i, q = ids[own], is_q[own]
             if not q.any() or q.all():
                 continue
