@@ -34,12 +34,12 @@ from .common import MEMO_ENTRIES, chunks, held_out, load, per_text, utf8
 
 #: Bytes of a word's beginnings that are features.
 PREFIXES = (4, 5, 6, 7)
-MAX_POSITIVE, MAX_UNLABELLED = 3_000, 6_000
+MAX_POSITIVE, MAX_UNLABELLED = 3_000, 8_000
 #: Least likelihood-ratio statistic and least number of documents of a feature with a weight.
 LEAST_G2, LEAST_DOCS = 12.0, 3
-EPOCHS, BATCH, RATE, DECAY, BETA = 80, 256, 0.3, 1e-5, 0.0
+EPOCHS, BATCH, RATE, DECAY, BETA = 240, 256, 0.3, 1e-5, 0.0
 #: Epochs with the logistic loss, whose slope reaches rows on the wrong side; the sigmoid loss then sharpens.
-WARM = 20
+WARM = 30
 #: From this score on a document counts as toxic.
 THRESHOLD = 0.7
 _STRIP = b".,;:!?\"'()[]{}#$%&*|<>-_"
