@@ -6,8 +6,6 @@ x09-x0D, which is the word rule of these operators, and no Unicode white space.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import remove, written
+
+__all__ = ["CHUNK_BYTES", "CHUNK_ROWS", "MEMO_ENTRIES", "chunks", "held_out", "load", "per_text", "remove", "utf8", "written"]
+
 #: Documents that Python handles at once, and bytes of text after which a chunk ends.
 CHUNK_ROWS, CHUNK_BYTES = 512, 8 << 20
 
@@ -22,32 +24,6 @@ CHUNK_ROWS, CHUNK_BYTES = 512, 8 << 20
 MEMO_ENTRIES = 400_000
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new folder name in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="framewake-")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{base.rstrip('/')}/framewake-{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts lineage and outlives executors."""
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(*frames: DataFrame) -> None:
-    """Delete the tables of written() that nothing reads any more."""
-    for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def utf8(column: str = "text") -> Column:
     return F.col(column).cast("string").cast("binary")
 

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.closure import components
 from .common import MEMO_ENTRIES, chunks, load, remove, utf8, written
 
 WIDTH, PERCENT = 5, 80
@@ -397,35 +398,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, p
     return links
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of each node of the links (a, b): the smallest node reachable. Alternating large-star and small-star steps over tables."""
-
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        # u > v in edges. Large: each node tells its greater neighbours its least one; small: its smaller neighbours and itself.
-        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-        least = written(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")) if large else around.groupBy("u").agg(F.min("v").alias("m")), "least")
-        told = around.where("v > u") if large else edges.where("true")
-        out = told.join(least, "u").select(F.col("v").alias("x"), "m")
-        if not large:
-            out = out.unionByName(least.select(F.col("u").alias("x"), "m"))
-        out = written(out.where("x <> m").select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).distinct(), "edges")
-        remove(least)
-        return out
-
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state or not new[0]:
-            break
-        state = new
-        first = star(edges, True)
-        second = star(first, False)
-        remove(edges, first)
-        edges = second
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-
-
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of df; ids are whole numbers."""
     spark = df.sparkSession
