@@ -57,3 +57,10 @@ def merge_summary(clip_id: Column, source: Column, merged: Column, failed: Colum
 
 def shortened(text: Column, most: int) -> Column:
     return F.substring(text, 1, most)
+
+
+def unverified_summary(labels: Column, records: Column) -> Column:
+    """What the clip didn't support; null if nothing. labels: array<struct<label, times>> in order; records: how many it concerns."""
+    total = F.aggregate(labels, F.lit(0).cast("long"), lambda a, x: a + x["times"])
+    each = F.array_join(F.transform(labels, lambda x: F.concat(x["label"], F.lit(" x"), x["times"].cast("string"))), ", ")
+    return F.when(F.size(labels) > 0, F.concat(total.cast("string"), F.lit(" unsupported label(s) in "), records.cast("string"), F.lit(" record(s): "), each))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import unverified_summary
+
 
 def verify_labels(sightings: DataFrame, times: DataFrame, tolerance_s: float, keys: tuple[str, ...] = ("run_id", "clip_id", "position")) -> DataFrame:
     """sightings with each label that was never drawn within the span, give or take, moved to the unverified lists.
@@ -29,3 +31,11 @@ def unverified_counts(sightings: DataFrame) -> DataFrame:
     """(run_id, label, times): how often each label went unsupported."""
     labels = sightings.select("run_id", F.explode(F.concat("unverified_person_ids", "unverified_vehicle_ids")).alias("label"))
     return labels.groupBy("run_id", "label").agg(F.count("*").alias("times"))
+
+
+def unverified_lines(sightings: DataFrame) -> DataFrame:
+    """(run_id, line) of runs with unsupported labels."""
+    touched = (F.size("unverified_person_ids") > 0) | (F.size("unverified_vehicle_ids") > 0)
+    records = sightings.groupBy("run_id").agg(F.count_if(touched).alias("records"))
+    labels = unverified_counts(sightings).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("label", "times"))).alias("labels"))
+    return labels.join(records, "run_id").select("run_id", unverified_summary(F.col("labels"), F.col("records")).alias("line"))

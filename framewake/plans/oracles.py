@@ -141,6 +141,9 @@ SQL: dict[str, str] = {
     "q_label_regex": _sql(("ev",), "SELECT event_id, label, regexp_full_match(label, 'P[1-9][0-9]*') AS person, regexp_full_match(label, 'V[1-9][0-9]*') AS vehicle FROM (SELECT event_id, concat(CASE event_id % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'V' ELSE 'p' END, CASE WHEN event_id % 5 = 0 THEN '0' ELSE '' END, CASE WHEN event_id % 7 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END) AS label FROM ev)"),
     "q_verify_labels": _sql((*_D, "sightings"), "SELECT clip_id, position, " + ", ".join(f"array_to_string({c}, ',') AS {c}" for c in ("person_ids", "vehicle_ids", "unverified_person_ids", "unverified_vehicle_ids")) + " FROM verified", DETECTIONS, VERIFIED),
     "q_unverified_hist": _sql((*_D, "sightings"), "SELECT label, count(*) AS times FROM (SELECT unnest(list_concat(unverified_person_ids, unverified_vehicle_ids)) AS label FROM verified) GROUP BY ALL", DETECTIONS, VERIFIED),
+    "q_unverified_line": _sql((*_D, "sightings"), """SELECT clip_id, concat(CAST(sum(n) AS BIGINT), ' unsupported label(s) in ', any_value(records), ' record(s): ', string_agg(concat(label, ' x', n), ', ' ORDER BY label)) AS line
+  FROM (SELECT clip_id, label, count(*) AS n FROM (SELECT clip_id, unnest(list_concat(unverified_person_ids, unverified_vehicle_ids)) AS label FROM verified) GROUP BY ALL)
+  JOIN (SELECT clip_id, count(*) FILTER (len(unverified_person_ids) + len(unverified_vehicle_ids) > 0) AS records FROM verified GROUP BY ALL) USING (clip_id) GROUP BY clip_id""", DETECTIONS, VERIFIED),
     "q_usage_cost": _sql(("calls",), "SELECT l_orderkey, l_linenumber, CAST(billable AS DOUBLE) AS billable_output_tokens, CAST(format('{:.6f}', CASE model_id WHEN 'gemini-3.8-flash' THEN total_input_tokens / 1e6 * 0.75::DOUBLE + billable / 1e6 * 3.75::DOUBLE ELSE 0.0::DOUBLE END) AS DOUBLE) AS estimated_cost_usd FROM (SELECT *, coalesce(total_output_tokens, 0) + total_thought_tokens AS billable FROM calls)"),
     "q_usage_sum": _sql(("calls",), "SELECT clip_id, usage_key, sum(v) AS total FROM (SELECT clip_id, 'total_input_tokens' AS usage_key, CAST(total_input_tokens AS DOUBLE) AS v FROM calls UNION ALL SELECT clip_id, CASE WHEN l_linenumber % 2 = 0 THEN 'total_thought_tokens' ELSE 'total_output_tokens' END, CASE WHEN l_linenumber % 2 = 0 THEN total_thought_tokens ELSE coalesce(total_output_tokens, 0) END FROM calls) GROUP BY ALL"),
     "q_run_status": _sql(("calls",), "SELECT clip_id, count(*) AS calls, count(error) AS failed_windows, CASE WHEN count(error) = count(*) THEN concat('all ', count(*), ' call(s) failed') ELSE '' END AS error FROM calls GROUP BY ALL"),

@@ -284,6 +284,12 @@ def q_unverified_hist(b: Bridge) -> DataFrame:
     return verify.unverified_counts(_verified(b)).select("label", "times")
 
 
+@query
+def q_unverified_line(b: Bridge) -> DataFrame:
+    own = _verified(b).withColumn("run_id", F.col("clip_id"))
+    return verify.unverified_lines(own).select(F.col("run_id").alias("clip_id"), "line")
+
+
 @query
 def q_usage_cost(b: Bridge) -> DataFrame:
     prices = b.spark.createDataFrame([("gemini-3.8-flash", 0.75, 3.75), ("org/local-27b", 0.0, 0.0)], "model_id string, usd_per_m_in double, usd_per_m_out double")

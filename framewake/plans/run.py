@@ -55,3 +55,21 @@ def events_of(run: Run, times: DataFrame | None, windows: DataFrame, tolerance_s
 def drawn_times(raw: DataFrame, clips: DataFrame) -> DataFrame:
     """Label times of raw detections."""
     return tracks.label_times(tracks.relabel(tracks.detections(raw)), clips)
+
+
+def run_batch(clips: DataFrame, raw: DataFrame, backend: Backend, run_id: str, window: tuple[float, float] | None, path: str) -> tuple[DataFrame, int]:
+    """(a result for each clip, exit code): ask, verify against raw detections, merge, and write calls, then events and a document per clip.
+
+    clips: (clip_id, duration_s, fps, error); clips with an error are reported and not asked about.
+    """
+    from ..sources.sinks import event_documents, write_documents, write_run
+
+    good = clips.where("error IS NULL")
+    run = find_interactions(good, backend, run_id, *(window or (None, None)))
+    events, summary = events_of(run, drawn_times(raw, good), run.calls, backend.tolerance_s)
+    write_run(run.calls, events, path)
+    write_documents(event_documents(events, summary), f"{path}/documents")
+    status = accounting.run_status(run.calls).select("clip_id", F.col("error").alias("run_error"))
+    people = tracks.identity_counts(tracks.detections(raw))
+    results = clips.select("clip_id", "error").join(status, "clip_id", "left").join(people, "clip_id", "left").join(summary.drop("run_id"), "clip_id", "left")
+    return results, accounting.batch_outcome(results).first().exit_code
