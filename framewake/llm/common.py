@@ -18,10 +18,10 @@ from ..storage import remove, written
 __all__ = ["CHUNK_BYTES", "CHUNK_ROWS", "MEMO_ENTRIES", "chunks", "held_out", "load", "per_text", "remove", "utf8", "written"]
 
 #: Documents that Python handles at once, and bytes of text after which a chunk ends.
-CHUNK_ROWS, CHUNK_BYTES = 512, 8 << 20
+CHUNK_ROWS, CHUNK_BYTES = 256, 2 << 20
 
 #: Entries a worker's memo may have before it is emptied (it bounds memory; results never depend on it).
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 
 
 def utf8(column: str = "text") -> Column:
