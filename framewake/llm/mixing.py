@@ -23,7 +23,8 @@ Null texts and texts without words have size 0 and are taken as their block is,
 adding nothing. Null sources are one source of their own. A table of size 0
 takes nothing. Repeated rows are rows of their own, in the same block. The same
 input and seed give the same result. Other columns pass through mix() as they
-are; names beginning with two underscores are reserved and raise an error.
+are, whatever their names (one named as `shard_col` is replaced); assign() adds
+names that begin with two underscores and raises an error if df has such.
 """
 
 from __future__ import annotations
@@ -177,13 +178,16 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return placed.drop("__cut")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """df's columns for each time the mix takes a row, and shard; written in order of shard and, within it, shuffled."""
-    taken = assign(df, id_col, text_col, source_col, shards, seed).select(*df.columns, F.posexplode("__shards").alias("__pass", "__shard"))
-    order = F.xxhash64(F.col(id_col).cast("string"), "__pass", F.lit(seed))
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = SEED, shard_col: str | None = "shard") -> DataFrame:
+    """df's columns for each time the mix takes a row, and its shard unless shard_col is None; written in order of shard and, within it, shuffled."""
+    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    own = df.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    taken = assign(own, names[id_col], names[text_col], names[source_col], shards, seed).select(*own.columns, F.posexplode("__shards").alias("__pass", "__shard"))
+    order = F.xxhash64(F.col(names[id_col]).cast("string"), "__pass", F.lit(seed))
     # A shard is dealt to several tasks, each of which shuffles its part.
     dealt = taken.repartition("__shard", F.pmod(order, F.lit(SALT))).sortWithinPartitions("__shard", order)
-    return dealt.select(*df.columns, F.col("__shard").alias("shard"))
+    out = [F.col(n).alias(c) for c, n in names.items() if c != shard_col]
+    return dealt.select(*out, *([F.col("__shard").alias(shard_col)] if shard_col else []))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

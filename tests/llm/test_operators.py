@@ -320,8 +320,11 @@ def test_mixing_odd_tables(spark):
     assert {len(r["__shards"]) for r in mixing.assign(docs(spark, [None, "", " "])).collect()} == {0}
     twice = docs(spark, ["a b c"] * 4).withColumn("doc_id", F.lit(1).cast("long"))
     assert sum(r["__size"] * len(r["__shards"]) for r in mixing.assign(twice.withColumn("source", F.lit("s"))).collect()) == 12
+    odd = docs(spark, ["a b"] * 9).withColumn("__size", F.lit(1)).withColumn("shard", F.lit("mine")).withColumn("a.b", F.lit(2))
     with pytest.raises(ValueError):
-        mixing.assign(docs(spark, ["a"]).withColumn("__x", F.lit(1)))
+        mixing.assign(odd)
+    assert mixing.mix(odd, shard_col=None).columns == odd.columns and mixing.mix(odd, shard_col=None).first().shard == "mine"
+    assert mixing.mix(odd).first().shard != "mine"
 
 
 # Secrets
