@@ -180,3 +180,22 @@ def trusted_rows(spark, sf_dir: str) -> DataFrame:
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     scored = score_quality(load(spark, sf_dir, "documents"), trusted_rows(spark, sf_dir))
     return scored.select("doc_id", *_COUNTS, "base_failed", "kept")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+w AS (SELECT doc_id, t, r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, list_transform(string_split(t, ''), lambda x: CAST(unicode(x) AS BIGINT)) AS u FROM d),
+windows AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT i + k.k) AS n FROM twice, range(0, 3) k(k) GROUP BY r),
+grams AS (SELECT r, unnest(list_transform(range(1, len(u) - 1), lambda i: ((u[i] * 8191 + u[i + 1]) * 8191 + u[i + 2]) % 65521)) AS b FROM w WHERE len(u) > 2),
+trusted AS (SELECT r FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+counts AS (SELECT b, count(*) AS raw, count(trusted.r) AS target FROM grams LEFT JOIN trusted USING (r) GROUP BY b),
+totals AS (SELECT sum(raw) AS n_raw, sum(target) AS n_target FROM counts),
+ratios AS (SELECT b, CASE WHEN n_target = 0 THEN 0 ELSE ln((target + 1000.0 * (raw / n_raw)) / (n_target + 1000.0) / (raw / n_raw)) END AS x FROM counts, totals),
+means AS (SELECT r, avg(x) AS llr FROM grams JOIN ratios USING (b) GROUP BY r),
+base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, coalesce(llr, 0) AS llr FROM w LEFT JOIN repeated USING (r) LEFT JOIN means USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND llr >= -0.6 AS kept
+FROM base
+"""

@@ -105,13 +105,18 @@ def redact(df: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFra
     return df.where(~may).unionByName(new.select(*(v.alias(c) for c, v in fields.items())))
 
 
+def _is(kind: int):
+    # A second parameter of a lambda would be the element's index.
+    return lambda s: s["kind"] == kind
+
+
 def span_digest(spans: str = "spans") -> list[Column]:
     """The columns of base kinds' counts, the digest of base spans, and all spans as text."""
     names = F.array(*map(F.lit, KINDS))
     as_text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter(spans, lambda s: s["kind"] < len(BASE_KINDS))
     return [
-        *(F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)),
+        *(F.size(F.filter(spans, _is(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)),
         F.sha2(as_text(base).cast("binary"), 256).alias("base_sha256"),
         as_text(F.col(spans)).alias("spans"),
     ]
@@ -119,3 +124,32 @@ def span_digest(spans: str = "spans") -> list[Column]:
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
     return scan(load(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *span_digest())
+
+
+def _duck_spans(kind: str, pattern: str, ok: str = "true") -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT r, {KINDS.index(kind)} AS kind, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM (
+  SELECT r, m, sum(length(m) + length(p)) OVER (PARTITION BY r ORDER BY i) AS e FROM (SELECT r, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, generate_subscripts(ms, 1) AS i
+    FROM (SELECT r, regexp_extract_all(t, '{p}') AS ms, regexp_split_to_array(t, '{p}') AS ps FROM d))) WHERE {ok}"""
+
+
+# RE2 has no look-around: a key40 is a whole run of its characters and '=' that has 40 of them, no '=' and something beyond hexadecimal.
+OP6_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),\nparts AS ("
+    + "\nUNION ALL ".join(
+        [
+            _duck_spans("assign", _ASSIGN, "length(regexp_extract(m, '" + _ASSIGN.replace("'", "''") + "', 2)) >= 8"),
+            _duck_spans("access", _ACCESS), _duck_spans("hex", _HEX),
+            _duck_spans("key40", "[A-Za-z0-9+/=]+", "length(m) = 40 AND NOT contains(m, '=') AND NOT regexp_full_match(m, '[0-9a-f]+')"),
+            _duck_spans("user", _USER), _duck_spans("endpoint", _ENDPOINT.replace(r"\s", r"\x20\x09-\x0D")),
+        ]
+    )
+    + f"""),
+near AS (SELECT a.r, a.kind, a.s, a.e, bool_or(b.kind IN (1, 4)) AS id, bool_or(b.kind IN (0, 2, 3)) AS secret FROM parts a JOIN parts b ON a.r = b.r AND abs(a.s - b.s) <= {SCOPE} GROUP BY ALL),
+spans AS (SELECT * FROM near WHERE kind < 3 OR kind = 3 AND id OR kind = 4 AND secret OR kind = 5 AND id AND secret),
+named AS (SELECT *, concat(list_extract({list(KINDS)!r}, kind + 1), ':', s, ':', e) AS x FROM spans)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(x, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, kind), '') AS spans
+FROM d LEFT JOIN named USING (r) GROUP BY r, doc_id
+"""
+)
