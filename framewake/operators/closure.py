@@ -8,24 +8,29 @@ from pyspark.sql import functions as F
 from ..storage import remove, written
 
 
-def _step(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges up to which a step's table of least neighbours is broadcast. Beyond, it is written, so that its join may be split where a node is hot.
+BROADCAST_EDGES = 500_000
+
+
+def _step(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """Edges (u, v), u > v. Large: a node ties its greater neighbours to its least one; small: its smaller ones and itself."""
     around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = written(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-    told = (around.where("v > u") if large else edges).join(least, "u").select(F.col("v").alias("x"), "m")
+    least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = least if few else written(least, "least")
+    told = (around.where("v > u") if large else edges).join(F.broadcast(least) if few else least, "u").select(F.col("v").alias("x"), "m")
     if not large:
         told = told.unionByName(least.select(F.col("u").alias("x"), "m"))
     out = written(told.where("x <> m").select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).distinct(), "edges")
-    remove(least)
+    if not few:
+        remove(least)
     return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of each node of the links (a, b): the smallest node reachable.
 
-    Alternating star contractions; each step is two joins that adaptive execution
-    may split, and the driver sees two counters. Nodes of any ordered type that
-    xxhash64 takes.
+    Alternating star contractions; each step is a map-side aggregate and a join, and
+    the driver sees two counters. Nodes of any ordered type that xxhash64 takes.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
@@ -33,8 +38,9 @@ def components(links: DataFrame) -> DataFrame:
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state or not new[0]:
             break
-        state, first = new, _step(edges, True)
-        second = _step(first, False)
+        state, few = new, new[0] <= BROADCAST_EDGES
+        first = _step(edges, True, few)
+        second = _step(first, False, few)
         remove(edges, first)
         edges = second
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

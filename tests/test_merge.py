@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from framewake.operators import merge
+from framewake.operators import closure, merge
 
 SCHEMA = "run_id string, clip_id string, window_index int, position long, person_ids array<string>, vehicle_ids array<string>, person_description string, vehicle_description string, interaction string, start_time_s double, evidence_time_s double, end_time_s double, confidence double"
 
@@ -72,7 +72,9 @@ def test_empty(spark):
     assert events(spark, []) == []
 
 
-def test_closure_against_union_find(spark):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_closure_against_union_find(spark, monkeypatch, most):
+    monkeypatch.setattr(closure, "BROADCAST_EDGES", most)
     rng = random.Random(5)
     rows = []
     for k in range(160):
