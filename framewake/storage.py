@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -15,8 +16,11 @@ def _local_base() -> str:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new folder name under spark.checkpoint.dir; where that is unset, as in tests, under one temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_base()
+    """A new folder name under spark.checkpoint.dir. Where that is unset: under one temporary folder if all runs in this process, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or _local_base()
     return f"{base.rstrip('/')}/framewake-{what}-{uuid.uuid4().hex}"
 
 
