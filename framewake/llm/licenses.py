@@ -143,3 +143,33 @@ def op7_licenses(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("CAST(doc_id DIV 100 AS STRING)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return scan_licenses(docs.withColumn("path", path), "doc_id", "path")
+
+
+def _op7_sql() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    vectors = [Counter(re.findall(_WORD, t.lower())) for _, t in TEMPLATES]
+    terms = ", ".join(f"({k}, {q(w)}, {n})" for k, v in enumerate(vectors) for w, n in sorted(v.items()))
+    names = ", ".join(f"({k}, {q(name)})" for k, (name, _) in enumerate(TEMPLATES))
+    return f"""
+WITH terms AS (SELECT * FROM (VALUES {terms}) t(k, w, tf)), names AS (SELECT * FROM (VALUES {names}) t(k, license)),
+d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r, concat_ws('/', coalesce(source, 'unknown'), CAST(doc_id // 100 AS VARCHAR), concat(doc_id, '.txt')) AS path FROM documents),
+segments AS (SELECT r, i, s FROM (SELECT r, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT r, string_split(regexp_replace(t, '([.;!?])[\\x20\\t]+', '\\1' || chr(10), 'g'), chr(10)) AS ss FROM d)) WHERE regexp_matches(s, {q(CUE)})),
+words AS (SELECT r, i, w, count(*) AS tf FROM (SELECT r, i, unnest(regexp_extract_all(lower(s), '{_WORD}')) AS w FROM segments) GROUP BY ALL),
+n AS (SELECT count(*) + {len(TEMPLATES)} AS n FROM segments),
+idf AS (SELECT w, ln((1 + n) / (1.0 + own + coalesce(df, 0))) + 1 AS idf FROM (SELECT w, count(*) AS own FROM terms GROUP BY w) LEFT JOIN (SELECT w, count(*) AS df FROM words GROUP BY w) USING (w), n),
+weighed AS (SELECT r, i, w, words.tf, words.tf * coalesce(idf, ln(1 + n) + 1) AS x FROM words LEFT JOIN idf USING (w), n),
+templates AS (SELECT k, w, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY k)) AS y FROM terms JOIN idf USING (w)),
+norms AS (SELECT r, i, sqrt(sum(x * x)) AS norm, sum(tf) AS own FROM weighed GROUP BY ALL),
+cosines AS (SELECT r, i, k, own, round(sum(x * y) / any_value(norm), 9) AS c FROM weighed JOIN templates USING (w) JOIN norms USING (r, i) GROUP BY ALL),
+best AS (SELECT * FROM cosines WHERE c >= {LEAST} QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY c DESC, k) = 1),
+headers AS (SELECT r, license, c, own FROM (SELECT r, k, c, sum(own) OVER (PARTITION BY r) AS own, row_number() OVER (PARTITION BY r ORDER BY c DESC, k) AS rank FROM best) JOIN names USING (k) WHERE rank = 1),
+files AS (SELECT doc_id, path, regexp_extract(path, '^(.*/)?[^/]*$', 1) AS dir, license, c, license IS NOT NULL AND own >= 0.5 * len(regexp_extract_all(lower(t), '{_WORD}')) AS is_file FROM d LEFT JOIN headers USING (r)),
+dirs AS (SELECT dir AS from_dir, arg_min(license, path) AS inherited FROM files WHERE is_file GROUP BY dir),
+above AS (SELECT dir, arg_max(from_dir, length(from_dir)) AS from_dir FROM (SELECT DISTINCT dir FROM files WHERE license IS NULL) JOIN dirs ON starts_with(dir, from_dir) GROUP BY dir)
+SELECT doc_id, path, coalesce(license, inherited) AS license, CASE WHEN is_file THEN 'file' WHEN license IS NOT NULL THEN 'header' WHEN inherited IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, round(c, 6) AS score,
+  CASE WHEN license IS NULL THEN from_dir END AS from_dir
+FROM files LEFT JOIN above USING (dir) LEFT JOIN dirs USING (from_dir)
+"""
+
+
+OP7_SQL = _op7_sql()

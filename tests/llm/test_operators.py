@@ -528,3 +528,10 @@ def test_secret_sql(spark):
     want = con.sql(secrets.OP6_SQL)
     got = secrets.scan(df, ["doc_id"]).select("doc_id", *secrets.span_digest())
     assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in want.columns) for r in got.collect())
+
+
+def test_license_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    want = con.sql(licenses.OP7_SQL)
+    assert sorted(want.fetchall(), key=str) == sorted((tuple(r[c] for c in want.columns) for r in licenses.op7_licenses(spark, DATA).collect()), key=str)
