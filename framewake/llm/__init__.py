@@ -1,0 +1 @@
+"""Ten operators for corpora of training data. Nothing outside this package imports it."""

@@ -125,7 +125,7 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
             found = [shingles(t) for t in batch.column(1).to_pylist()]
             at = np.concatenate(found) & np.uint64(COUNTERS - 1)
             if len(at):
-                np.add.at(sketch, at.astype(np.int64), 1) if len(at) < COUNTERS // 64 else sketch.__iadd__(np.bincount(at.astype(np.int64), minlength=COUNTERS).astype(np.uint32))
+                sketch += np.bincount(at.astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             k = len(found)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -449,7 +449,7 @@ def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents
 ), s AS (
@@ -459,8 +459,7 @@ WITH w AS (
 common AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.r < y.r GROUP BY ALL),
 links AS (SELECT a, b FROM common JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-"""
-OP2_SQL = "WITH RECURSIVE" + OP2_SQL.split("WITH", 1)[1] + """reach AS (
+reach AS (
   SELECT r AS a, r AS b FROM w UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
 )
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
