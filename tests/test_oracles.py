@@ -8,7 +8,7 @@ import pytest
 from framewake.plans.oracles import SQL
 from framewake.plans.queries import QUERIES
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 def norm(v):
