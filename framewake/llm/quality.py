@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, load, per_text, utf8
+from .common import chunks, load, per_text, remove, utf8, written
 
 #: Buckets of the hashed n-grams (a prime): what the driver gathers is two counts for each, whatever the corpus.
 BUCKETS = 65521
@@ -40,7 +40,7 @@ WIDTH, FACTOR = 3, 8191
 PRIOR = 1000.0
 #: The least mean log ratio of a kept document.
 THRESHOLD = -0.6
-#: Trusted rows that the target is counted from, about: their ids are broadcast. Beyond it, a hashed share of them.
+#: Trusted ids that are broadcast at once, about. More are dealt by hash into several blocks, with a pass for each.
 MAX_TRUSTED = 1_000_000
 #: Code points hashed at once.
 _PIECE = 1 << 20
@@ -145,12 +145,22 @@ def score_quality(
 ) -> DataFrame:
     """A row for each row of df: the columns `keep` (the id), the five base counts, base_failed, llr (mean log ratio per n-gram), kept."""
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted_id")).where("__trusted_id IS NOT NULL").distinct()
-    share = math.ceil(ids.count() / max_trusted)
-    if share > 1:
-        ids = ids.where(F.pmod(F.xxhash64("__trusted_id"), F.lit(share)) == 0)
+    blocks = max(1, math.ceil(ids.count() / max_trusted))
     rows = df.select(F.col(id_col), F.col(text_col))
-    marked = rows.join(F.broadcast(ids.withColumn("__good", F.lit(True))), F.col(id_col) == F.col("__trusted_id"), "left").select(text_col, F.coalesce("__good", F.lit(False)).alias("__good"))
-    ratio = log_ratios(gram_counts(marked, "__good", text_col, buckets), prior)
+    if blocks > 1:
+        ids = written(ids, "trusted")
+
+    def marked(block: int, how: str) -> DataFrame:
+        own = ids.where(F.pmod(F.xxhash64("__trusted_id"), F.lit(blocks)) == block) if blocks > 1 else ids
+        return rows.join(F.broadcast(own.withColumn("__good", F.lit(True))), F.col(id_col) == F.col("__trusted_id"), how).select(text_col, F.coalesce("__good", F.lit(False)).alias("__good"))
+
+    # The first pass counts the raw corpus, the others only their block's rows for the target.
+    counts = gram_counts(marked(0, "left"), "__good", text_col, buckets)
+    for block in range(1, blocks):
+        counts[:, 0] += gram_counts(marked(block, "inner"), "__good", text_col, buckets)[:, 0]
+    if blocks > 1:
+        remove(ids)
+    ratio = log_ratios(counts, prior)
     shared = df.sparkSession.sparkContext.broadcast(ratio)
 
     def make():

@@ -535,3 +535,14 @@ def test_license_sql(spark):
     con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
     want = con.sql(licenses.OP7_SQL)
     assert sorted(want.fetchall(), key=str) == sorted((tuple(r[c] for c in want.columns) for r in licenses.op7_licenses(spark, DATA).collect()), key=str)
+
+
+def test_quality_counts_every_trusted_row(spark, real):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    want, good = con.sql(quality.OP3_SQL), quality.trusted_rows(spark, DATA)
+    cut, whole = quality.score_quality(real, good, max_trusted=2), by_id(quality.score_quality(real, good))
+    rows = cut.collect()
+    assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in want.columns) for r in rows)
+    assert all(r.llr == whole[r.doc_id].llr for r in rows)
