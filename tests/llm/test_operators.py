@@ -546,3 +546,13 @@ def test_quality_counts_every_trusted_row(spark, real):
     rows = cut.collect()
     assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in want.columns) for r in rows)
     assert all(r.llr == whole[r.doc_id].llr for r in rows)
+
+
+def test_topk_query_on_odd_vectors(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(k, [k / 7 - 1, 0.5 - k % 3, 0.25]) for k in range(30)] + [(40, [nan, 1.0, 1.0]), (60, [inf, 1.0, 1.0]), (61, [1.0, nan, 9.0]), (62, [1.0, -inf, 1.0]), (63, [1.0, None, 1.0]), (64, None), (None, [1.0, 1.0, 1.0]), (65, [1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(topk.OP8_SQL)
+    assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in want.columns) for r in topk.op8_topk(spark, str(tmp_path)).collect())
