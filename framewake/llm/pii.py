@@ -8,7 +8,8 @@ Null and empty texts give no spans. Rows are handled one by one: a repeated row
 gives repeated results, an empty table an empty result, and columns other than
 the id and the text are never read. Spans of one kind never overlap, spans of
 different kinds may. Every expression is linear in the text (possessive runs or
-an anchor character), so very long texts and runs take no quadratic time.
+an anchor character), so very long texts and runs take no quadratic time. An iban
+ends after its country's length, whatever upper-case words or numbers follow.
 """
 
 from __future__ import annotations
@@ -31,7 +32,21 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}+")
+#: The length of a country's IBAN.
+_IBAN_LENGTH = {
+    country: int(n)
+    for n, countries in (
+        x.split(":")
+        for x in (
+            "15:NO", "16:BE", "18:DK FI FK FO GL NL SD", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV", "22:BG BH CR DE GB GE IE ME RS VA",
+            "23:AE GI IL IQ OM SO TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HN HU LB NI PL SV",
+            "29:BR EG PS QA UA", "30:JO KW MU YE", "31:MT SC", "32:LC", "33:RU",
+        )
+    )
+    for country in countries.split()
+}
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9])")
 
 #: A span's score without context, and what a context word adds.
@@ -68,6 +83,24 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def _ibans(text: str):
+    """Spans that end where the country's length does; of other countries, at the last word end at which mod 97 holds."""
+    done = 0
+    for head in _IBAN.finditer(text):
+        start, m = head.start(), _IBAN_REST.match(text, head.end())
+        if start < done or not m:
+            continue
+        ends = [k + 1 for k in range(start, m.end()) if text[k] != " "]
+        length = _IBAN_LENGTH.get(text[start : start + 2])
+        for n in range(len(ends), 14, -1) if length is None else [length]:
+            if n > len(ends) or re.match("[A-Za-z0-9]", text[ends[n - 1] : ends[n - 1] + 1]):
+                continue
+            if mod97(text[start : ends[n - 1]].replace(" ", "")):
+                done = ends[n - 1]
+                yield start, done
+                break
+
+
 def _emails(text: str):
     done, at = 0, text.find("@")
     while at >= 0:
@@ -98,9 +131,7 @@ def propose(text: str, context_chars: int = 48) -> list[tuple[str, int, int, flo
         for m in _PHONE.finditer(text):
             if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 found.append(("phone", *m.span()))
-    for m in _IBAN.finditer(text):
-        if 15 <= len(code := m[0].replace(" ", "")) <= 34 and mod97(code):
-            found.append(("iban", *m.span()))
+    found += [("iban", *s) for s in _ibans(text)]
     taken = [(s, e) for k, s, e in found if k in ("phone", "card")]
     for m in _LOCAL_PHONE.finditer(text):
         if not any(s < m.end() and m.start() < e for s, e in taken):

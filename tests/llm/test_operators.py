@@ -556,3 +556,17 @@ def test_topk_query_on_odd_vectors(spark, tmp_path):
     con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     want = con.sql(topk.OP8_SQL)
     assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in want.columns) for r in topk.op8_topk(spark, str(tmp_path)).collect())
+
+
+def test_pii_iban_ends_where_its_country_says():
+    ibans = lambda text: [text[s:e] for k, s, e, _ in pii.propose(text) if k == "iban"]
+    de, gb, no, grouped = "DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947", "GB82 WEST 1234 5698 7654 32"
+    assert ibans(f"{de} EUR") == [de] and ibans(f"{gb} USD 500 now") == [gb] and ibans(f"IBAN {grouped} BIC WESTGB2L") == [grouped]
+    assert ibans(f"{grouped} DE89 3704 0044 0532 0130 00 {no} {de}, {gb}.") == [grouped, "DE89 3704 0044 0532 0130 00", no, de, gb]
+    assert ibans(f"AB12 {de} {'A9 ' * 40}") == [de] and ibans(f"GB83 WEST {de} x") == [de]
+    assert ibans(f"x{de} {de}x {de}9 DE89370400440532013001 EUR {de[:-1]}") == []
+    # A country without a fixed length: the longest end that mod 97 confirms.
+    rest = "4567890123456789"
+    other = next(x for c in range(100) if pii.mod97(x := f"ZZ{c:02}{rest}"))
+    assert ibans(f"{other} EUR 20 b") == [other] and ibans(f"{other[:4]} {rest[:8]} {rest[8:]} EUR") == [f"{other[:4]} {rest[:8]} {rest[8:]}"]
+    assert len(ibans(f"{gb} " * 20_000)) == 20_000 and ibans("AA11 " * 50_000 + "A" * 100_000) == []
