@@ -4,9 +4,12 @@ A text is cut into segments at line ends and after sentence ends; segments that
 hold a cue word are compared. Weights are tf * idf, with idf over all such
 segments of the corpus for words of templates (a bounded vocabulary, so its
 counts are gathered and broadcast) and that of a word never seen for all others.
-A file's header license is that of its best segment with a cosine of at least
-`least`, ties to the template listed first. A file is a license file if its name
-says so or if segments that match make up half of its words.
+Notices are wrapped, so runs of up to JOINED consecutive segments around a cue word
+are compared as well, with the same weights. A file's header license is that of an
+SPDX-License-Identifier (the first id of its expression), else that of its best
+segment or run with a cosine of at least `least`, ties to segments, then to the
+template listed first. A file is a license file if its name
+says so or if segments that match, or the best run, make up half of its words.
 
 A file without a license gets that of the nearest ancestor directory, its own
 included, with a license file: directories without license are taken once each,
@@ -56,25 +59,42 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved."),
 )
 CUE = r"(?i)licen[cs]e|copyright|public domain|permission|redistribut|rights reserved|\bCC0\b|\bSPDX\b"
+#: Consecutive lines at most that are compared as one.
+JOINED = 8
 #: Least cosine of a match.
 LEAST = 0.75
 _NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)[^/]*$"
 _SEGMENT_END = r"\n|(?<=[.;!?])[\x20\t]+"
 _WORD = r"[a-z0-9]+"
+#: An SPDX line names its license, without the suffix that says which later versions hold.
+_SPDX = r"SPDX-License-Identifier:[\x20\t]*\(?([A-Za-z0-9][A-Za-z0-9.-]*?)(?:-only|-or-later|\+)?(?![A-Za-z0-9.+-])"
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
+def _joined(lines: str) -> Column:
+    """Each run of 2 to JOINED consecutive lines around one that holds a cue word."""
+    cue = CUE.replace("\\", "\\\\").replace("'", "\\'")
+    return F.expr(f"""array_distinct(filter(flatten(flatten(transform(
+        filter(transform({lines}, (s, p) -> IF(s RLIKE '{cue}', p, NULL)), p -> p IS NOT NULL),
+        p -> transform(sequence(greatest(p - {JOINED - 1}, 0), p), i -> transform(sequence(greatest(i + 2, p + 1), i + {JOINED}),
+            e -> IF(e <= size({lines}), concat_ws(' ', slice({lines}, i + 1, e - i)), NULL)))))), w -> w IS NOT NULL))""")
+
+
 def headers(df: DataFrame, keep: list[str], text_col: str = "text", templates: tuple = TEMPLATES, least: float = LEAST) -> DataFrame:
     """The columns `keep`, license, score (null without a match) and share (of its words in matching segments)."""
     text = F.col(text_col).cast("string")
     own = F.when(text.rlike(CUE), F.filter(F.split(text, _SEGMENT_END, -1), lambda s: s.rlike(CUE)))
     n_words = F.when(text.rlike(CUE), F.regexp_count(F.lower(text), F.lit(_WORD))).otherwise(0)
-    segments = df.select(F.monotonically_increasing_id().alias("__n"), F.struct(*keep).alias("__row"), n_words.alias("__words"), own.alias("__s")).select(
-        "__n", "__row", "__words", F.posexplode_outer("__s").alias("__pos", "__segment")
-    )
+    lines = F.when(text.rlike(CUE), F.filter(F.split(text, _SEGMENT_END, -1), lambda s: s.rlike(f"(?i){_WORD}")))
+    stated = F.nullif(F.regexp_extract(text, _SPDX, 1), F.lit(""))
+    marked = lambda c, one: F.transform(c, lambda s: F.struct(s.alias("s"), F.lit(one).alias("one")))
+    rows = df.select(F.monotonically_increasing_id().alias("__n"), F.struct(*keep, stated.alias("__stated")).alias("__row"), n_words.alias("__words"), own.alias("__s"), lines.alias("__lines"))
+    rows = rows.withColumn("__both", F.concat(marked(F.col("__s"), 1), marked(_joined("__lines"), 0)))
+    segments = rows.select(F.explode_outer("__s").alias("__segment"))
+    windows = rows.select("__n", "__row", "__words", F.posexplode_outer("__both").alias("__pos", "__b")).select("__n", "__row", "__words", "__pos", F.col("__b.s").alias("__segment"), F.col("__b.one").alias("__one"))
     vectors = [Counter(re.findall(_WORD, t.lower())) for _, t in templates]
     vocabulary = sorted(set().union(*vectors))
     spark = df.sparkSession
@@ -88,13 +108,13 @@ def headers(df: DataFrame, keep: list[str], text_col: str = "text", templates: t
     table = [(w, idf[w], [v[w] * idf[w] / norm for v, norm in zip(vectors, norms, strict=True)]) for w in vocabulary]
     shape = T.StructType([T.StructField("__w", T.StringType()), T.StructField("__idf", T.DoubleType()), T.StructField("__t", T.ArrayType(T.DoubleType()))])
     words = (
-        segments.select("__n", "__pos", "__row", "__words", F.explode_outer(_words(F.col("__segment"))).alias("__word"))
-        .groupBy("__n", "__pos", "__word").agg(F.first("__row").alias("__row"), F.first("__words").alias("__words"), F.count("*").alias("__tf"))
+        windows.select("__n", "__pos", "__row", "__words", "__one", F.explode_outer(_words(F.col("__segment"))).alias("__word"))
+        .groupBy("__n", "__pos", "__word").agg(F.first("__row").alias("__row"), F.first("__words").alias("__words"), F.first("__one").alias("__one"), F.count("*").alias("__tf"))
         .join(F.broadcast(spark.createDataFrame(table, shape)), F.col("__word") == F.col("__w"), "left")
     )
     weight = F.col("__tf") * F.coalesce("__idf", F.lit(unseen))
     scored = words.groupBy("__n", "__pos").agg(
-        F.first("__row").alias("__row"), F.first("__words").alias("__words"),
+        F.first("__row").alias("__row"), F.first("__words").alias("__words"), F.first("__one").alias("__one"),
         F.sum(F.when(F.col("__word").isNotNull(), F.col("__tf"))).alias("__own"),
         F.sqrt(F.sum(F.when(F.col("__word").isNotNull(), weight * weight))).alias("__norm"),
         *(F.sum(weight * F.col("__t")[k]).alias(f"__d{k}") for k in range(len(templates))),
@@ -102,13 +122,20 @@ def headers(df: DataFrame, keep: list[str], text_col: str = "text", templates: t
     cosines = F.array(*(F.coalesce(F.round(F.col(f"__d{k}") / F.col("__norm"), 9), F.lit(0.0)) for k in range(len(templates))))
     best = scored.withColumn("__cos", cosines).withColumn("__score", F.array_max("__cos")).withColumn("__k", F.array_position("__cos", F.col("__score")) - 1)
     hit = F.col("__score") >= least
+    match = F.struct(F.col("__score").alias("score"), "__one", (-F.col("__k")).alias("k"), F.col("__own").alias("own"))
     top = best.groupBy("__n").agg(
-        F.first("__row").alias("__row"),
-        F.max(F.when(hit, F.struct(F.col("__score").alias("score"), (-F.col("__k")).alias("k")))).alias("__best"),
-        (F.sum(F.when(hit, F.col("__own")).otherwise(0)) / F.greatest(F.max("__words"), F.lit(1))).alias("share"),
+        F.first("__row").alias("__row"), F.greatest(F.max("__words"), F.lit(1)).alias("__words"),
+        F.max(F.when(hit, match)).alias("__best"),
+        F.sum(F.when(hit & (F.col("__one") == 1), F.col("__own")).otherwise(0)).alias("__alone"),
     )
     names = F.array(*(F.lit(name) for name, _ in templates))
-    return top.select("__row.*", F.get(names, (-F.col("__best.k")).cast("int")).alias("license"), F.col("__best.score").alias("score"), "share")
+    # Windows overlap, so of these only the best counts for the share.
+    share = F.greatest("__alone", F.when(F.col("__best.__one") == 0, F.col("__best.own")).otherwise(0)) / F.col("__words")
+    found, stated = F.get(names, (-F.col("__best.k")).cast("int")), F.col("__row.__stated")
+    return top.select(
+        *(F.col("__row")[c].alias(c) for c in keep), F.coalesce(stated, found).alias("license"),
+        F.when(stated.isNotNull(), F.lit(1.0)).otherwise(F.col("__best.score")).alias("score"), share.alias("share"),
+    )
 
 
 def _parent(path: Column) -> Column:

@@ -570,3 +570,19 @@ def test_pii_iban_ends_where_its_country_says():
     other = next(x for c in range(100) if pii.mod97(x := f"ZZ{c:02}{rest}"))
     assert ibans(f"{other} EUR 20 b") == [other] and ibans(f"{other[:4]} {rest[:8]} {rest[8:]} EUR") == [f"{other[:4]} {rest[:8]} {rest[8:]}"]
     assert len(ibans(f"{gb} " * 20_000)) == 20_000 and ibans("AA11 " * 50_000 + "A" * 100_000) == []
+
+
+def test_license_headers_wrapped_and_spdx(spark):
+    code = "\n\nimport x\n" + "word " * 60
+    heads = {
+        "MIT": ["// SPDX-License-Identifier: MIT", " * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal"],
+        "Apache-2.0": ["# SPDX-License-Identifier: (Apache-2.0 OR MIT)", '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0'],
+        "BSD-3-Clause": ["/* SPDX-License-Identifier: BSD-3-Clause */", "Copyright (c) 2020, Jo Doe\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"],
+        "GPL-3.0": ["# SPDX-License-Identifier: GPL-3.0-or-later", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."],
+        "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    }
+    want = [name for name, texts in heads.items() for _ in texts]
+    df = docs(spark, [t + code for texts in heads.values() for t in texts])
+    rows = sorted(licenses.headers(df, ["doc_id"]).collect())
+    assert [r.license for r in rows] == want and all(r.score >= licenses.LEAST for r in rows)
+    assert {r.license for r in licenses.headers(docs(spark, ["permission\nto\nspeak" + code, "licensed\n" * 3, *ODD]), ["doc_id"]).collect()} == {None}
