@@ -72,9 +72,9 @@ def test_empty(spark):
     assert events(spark, []) == []
 
 
-@pytest.mark.parametrize("most", [500_000, 0])
+@pytest.mark.parametrize("most", [500_000, 16])
 def test_closure_against_union_find(spark, monkeypatch, most):
-    monkeypatch.setattr(closure, "BROADCAST_EDGES", most)
+    monkeypatch.setattr(closure, "EDGES_A_TASK", most)
     rng = random.Random(5)
     rows = []
     for k in range(160):
