@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import MEMO_ENTRIES, load, per_text
+from .common import Memo, load, per_text
 
 # The word pattern of the vocabulary file, and white space as its regular expressions have it.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -103,8 +103,8 @@ class Bpe:
     def __init__(self, settings: dict):
         self.__dict__.update(settings)
         self.numbers = list(range(self.n_symbols))
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.memos = Memo(250), Memo(250)
+        self.pieces, self.words = (m.known for m in self.memos)
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def _new_words(self, words: list[str]) -> None:
@@ -118,6 +118,7 @@ class Bpe:
         ids = list(map(self.numbers.__getitem__, left.tolist()))
         stops = np.cumsum(counts).tolist()
         self.words.update((w, tuple(ids[i:j])) for w, i, j in zip(words, [0, *stops], stops, strict=False))
+        self.memos[1].took(words)
 
     def _new_pieces(self, pieces: list[str]) -> None:
         """The ids of what lies between white space. All pieces are normalised and split into words at once, a line each."""
@@ -146,13 +147,13 @@ class Bpe:
             at += len(marked)
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        for memo in (self.pieces, self.words):
-            if len(memo) > MEMO_ENTRIES // 2:
-                memo.clear()
+        for memo in self.memos:
+            memo.trim()
         cut = [(_SPACES.split(t) if _NOT_SPACE.search(t) else t.split()) if t else [] for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.pieces)
         if new:
             self._new_pieces(sorted(new))
+            self.memos[0].took(new)
         get = self.pieces.__getitem__
         return [list(chain.from_iterable(map(get, c))) for c in cut]
 

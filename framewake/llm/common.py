@@ -15,17 +15,38 @@ from pyspark.sql import types as T
 
 from ..storage import remove, written
 
-__all__ = ["CHUNK_BYTES", "CHUNK_ROWS", "MEMO_ENTRIES", "chunks", "held_out", "load", "per_text", "remove", "utf8", "written"]
+__all__ = ["CHUNK_BYTES", "CHUNK_ROWS", "ENTRY_BYTES", "MEMO_BYTES", "Memo", "chunks", "held_out", "load", "per_text", "quoted", "remove", "utf8", "written"]
 
 #: Documents that Python handles at once, and bytes of text after which a chunk ends.
 CHUNK_ROWS, CHUNK_BYTES = 256, 2 << 20
 
-#: Entries a worker's memo may have before it is emptied (it bounds memory; results never depend on it).
-MEMO_ENTRIES = 300_000
+#: Bytes a worker's memo may hold before it is emptied (it bounds memory; results never depend on it), and what an entry takes besides its own bytes.
+MEMO_BYTES, ENTRY_BYTES = 48 << 20, 150
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def utf8(column: str = "text") -> Column:
-    return F.col(column).cast("string").cast("binary")
+    return quoted(column).cast("string").cast("binary")
+
+
+class Memo:
+    """A dict `known` of bytes or text that trim() empties beyond MEMO_BYTES. entry: bytes an entry has besides its key."""
+
+    def __init__(self, entry: int = ENTRY_BYTES):
+        self.entry, self.held, self.known = entry, 0, {}
+
+    def took(self, keys) -> None:
+        self.held += sum(map(len, keys)) + self.entry * len(keys)
+
+    def trim(self) -> dict:
+        if self.held > MEMO_BYTES:
+            self.known.clear()
+            self.held = 0
+        return self.known
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import MEMO_ENTRIES, chunks, held_out, load, per_text, utf8
+from .common import ENTRY_BYTES, Memo, chunks, held_out, load, per_text, utf8
 
 #: Bytes of the longest context.
 ORDER = 4
@@ -145,19 +145,20 @@ def identify(df: DataFrame, trees: dict[str, Tree], id_cols: list, text_col: str
 
     def make():
         names, models = list(shared.value), list(shared.value.values())
-        memo: dict[bytes, int] = {}
+        memory = Memo(ENTRY_BYTES + 8 * len(names))
+        memo = memory.known
         table = np.zeros((0, len(names)))
 
         def rows(words: list[list[bytes]]) -> np.ndarray:
             nonlocal table
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
+            if not memory.trim():
                 table = table[:0]
             new = list(set(chain.from_iterable(words)).difference(memo))
             if new:
                 grams = _grams(new, order)
                 ends = np.cumsum([len(w) + 1 for w in new])
                 bits = np.stack([np.add.reduceat(m.bits(grams), np.append(0, ends[:-1])) for m in models], 1)
+                memory.took(new)
                 memo.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
                 table = np.concatenate([table, bits])
             return table

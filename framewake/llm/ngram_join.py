@@ -8,17 +8,29 @@ letters in lower case), held as 64-bit hashes. Two documents link when
    their name and go on as one), and counts shingles in a bounded sketch.
 2. A second pass orders each set by (count in the sketch, hash), a global order
    with rare shingles first, and emits its prefix: linked sets share a shingle
-   of it. Equal shingles meet by a shuffle; those of a single set end there.
-3. Sets that share a prefix shingle are a group; groups of equal members are
-   one. Within a group, pairs pass the length filter, the positional filter and a
-   suffix filter: each set has a bitmap in which a shingle flips one bit, and the
-   bits in which two bitmaps differ are at most the shingles in which the sets
-   differ. Groups beyond `block` members are cut into blocks, and each pair of
-   blocks is a task of its own, so no task holds an unbounded group.
-4. Passing pairs aren't all emitted: a first round emits one edge for each two
-   parts of a group that it would join, the most similar pair. Edges are verified
-   exactly, once per pair, and closed to components. A second round emits every
-   passing pair between different components; after it no link is missing.
+   of it. Equal shingles meet by a shuffle; those of a single set end there, and
+   those that the sketch calls frequent are dealt to several tasks.
+3. Sets that share a prefix shingle are a group; groups of equal members are one.
+4. Chains. A group is sorted by two minima of each set's hashes, so that similar
+   sets stand side by side, and each member is paired with the nearest of the few
+   before it that passes the filters: at most one pair a member, however large the
+   group. Pairs are verified by their whole sets, and the links closed to
+   components. Groups of over `BLOCK` members are cut into blocks; one
+   member of each component then stands for it in further chains of the group.
+5. The rest, exactly. Groups in which all members are of one component are done.
+   In the others, members of different components are compared in blocks: those
+   outside the group's largest component with each other and with it. Sets
+   that pass the filters with any such partner are fetched, and their pairs
+   verified where they meet, most similar first; a pair that earlier links have
+   joined is skipped, and only links that join parts are emitted. A pair that
+   meets in several groups is looked at in the least of them.
+
+Filters: sizes (length); the shingles left behind the common one in both prefixes
+(positional); and sizes of parts (suffix): common pivots cut an order of all
+shingles into parts, and what two sets hold of a part differs by at least the
+difference of the counts. For whole groups this is done with counts mod 2, a bit
+a part, over up to `BITS` parts; before a pair's sets are intersected, with
+true counts at pivots of one of them.
 
 Components come from alternating star contractions over tables, with nothing but
 counters on the driver.
@@ -28,12 +40,15 @@ nothing, not even each other; their component is their own id. Rows with equal
 sets are one component. Repeated rows give repeated results. An id given to rows
 with different texts is judged row by row. A null id is nobody's component unless
 all ids of the component are null. An empty table gives an empty result. Texts are
-read whole; other columns never.
+read whole; other columns never, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
+from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import md5
 
 import numpy as np
@@ -42,17 +57,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..operators.closure import components
-from .common import MEMO_ENTRIES, chunks, load, remove, utf8, written
+from .common import ENTRY_BYTES, MEMO_BYTES, Memo, chunks, load, quoted, remove, utf8, written
 
 WIDTH, PERCENT = 5, 80
 #: Counters of the sketch (8 bytes each on the driver and in every worker) and the pieces in which they are summed.
 COUNTERS, PIECES = 1 << 20, 16
-#: Members of a group that one task compares with as many others; rows of candidate ids that are broadcast at most.
-BLOCK, BROADCAST_ROWS = 2048, 2_000_000
-#: Bits of a bitmap at most.
-BITS = 2048
+#: Rows of one shingle from which its members are dealt to several tasks: this many, or so many times the mean of a counter.
+HOT_ROWS, HOT_MEANS = 4096, 16
+#: Members of a block and shingles that they have in all; members of a group that a task holds to name it by them; rows of candidate ids that are broadcast at most.
+BLOCK, BLOCK_SHINGLES, HELD, BROADCAST_ROWS = 512, 1 << 20, 4096, 2_000_000
+#: Bits of a bitmap at most; members before it that one is compared with in a chain; rounds of chains at most.
+BITS, LOOK, CHAINS = 2048, 4, 4
+#: Names of sets that a task remembers so as to emit each once.
+SEEN = 300_000
 # Odd factors of a shingle's words.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -67,17 +87,16 @@ class Shingles:
     """The sorted distinct shingle hashes of a text; words' hashes are remembered."""
 
     def __init__(self, width: int = WIDTH):
-        self.width, self.memo = width, {}
+        self.width, self.memo = width, Memo()
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        memo, n = self.memo, len(words)
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
+        memo, n = self.memo.trim(), len(words)
+        if new := set(words).difference(memo):
+            memo.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
+            self.memo.took(new)
         h, k = np.fromiter(map(memo.__getitem__, words), np.uint64, n), min(n, self.width)
         total = np.full(n - k + 1, k, np.uint64)
         for i in range(k):
@@ -90,7 +109,7 @@ def set_name(shingles: np.ndarray) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle hash, flipped by each: 2 bits a shingle or more, up to BITS, a power of two."""
+    """The suffix filter's parts, with their sizes mod 2: 2 parts a shingle or more, up to BITS, a power of two. Pivots cut the order of the hashes' bits from 40 on, lowest first."""
     bits = 64
     while bits < min(2 * len(shingles), BITS):
         bits *= 2
@@ -111,7 +130,7 @@ def prefix_length(n: int, percent: int) -> int:
 _SETS = T.StructType(
     [
         T.StructField("row", T.BooleanType()), T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
-        T.StructField("bits", T.BinaryType()), T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType()),
+        T.StructField("bits", T.BinaryType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType()),
     ]
 )
 
@@ -124,20 +143,20 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
         for batch in chunks(batches):
             found = [shingles(t) for t in batch.column(1).to_pylist()]
             at = np.concatenate(found) & np.uint64(COUNTERS - 1)
-            if len(at):
-                sketch += np.bincount(at.astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            np.add.at(sketch, at.astype(np.int64), 1)
             k = len(found)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([True] * k), batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([set_name(s) if len(s) else None for s in found], pa.int64()),
-                    pa.array([bitmap(s) if len(s) else None for s in found], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
+                    pa.array([bitmap(s) if len(s) else None for s in found], pa.binary()),
+                    *(pa.array([s[at].view(np.int64) if len(s) else None for s in found], pa.int64()) for at in (0, -1)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
                 ],
                 names=_SETS.fieldNames(),
             )
         if sketch.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, PIECES)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([False] * PIECES), *(pa.nulls(PIECES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())],
+                [pa.array([False] * PIECES), *(pa.nulls(PIECES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())), pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())],
                 names=_SETS.fieldNames(),
             )
 
@@ -162,18 +181,19 @@ def _summed(sketches: DataFrame) -> np.ndarray:
 
 
 def _prefixes(df: DataFrame, counts, width: int, percent: int) -> DataFrame:
-    """(h, node, n, pos) of each set's prefix; a task emits a set once."""
-    names = ["h", "node", "n", "pos"]
+    """(h, salt, node, n, pos) of each set's prefix; a task emits a set once. salt: 0, or for frequent shingles the task to which the set is dealt, from 1 on."""
+    names = ["h", "salt", "node", "n", "pos"]
 
     def run(batches):
         shingles, seen, sketch = Shingles(width), set(), counts.value
+        hot = max(HOT_ROWS, HOT_MEANS * int(sketch.mean()))
         for batch in chunks(batches):
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
                 if not len(s) or (name := set_name(s)) in seen:
                     continue
-                if len(seen) > MEMO_ENTRIES:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(name)
                 p = prefix_length(len(s), percent)
@@ -183,265 +203,421 @@ def _prefixes(df: DataFrame, counts, width: int, percent: int) -> DataFrame:
                 cut = rank[first].max()
                 first = np.sort(np.flatnonzero(rank <= cut))
                 first = first[np.argsort(rank[first], kind="stable")][:p]
-                out[0].append(s[first].view(np.int64))
-                out[1].append(np.full(p, name))
-                out[2].append(np.full(p, len(s), np.int32))
-                out[3].append(np.arange(p, dtype=np.int32))
+                rows = (rank[first] >> np.uint64(32)).astype(np.int64)
+                salts = np.zeros(p, np.int32)
+                often = rows > hot
+                salts[often] = 1 + (name & 0x7FFFFFFFFFFFFFFF) % -(-rows[often] // hot)
+                for part, value in zip(out, (s[first].view(np.int64), salts, np.full(p, name), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)), strict=True):
+                    part.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
-    return df.mapInArrow(run, "h long, node long, n int, pos int")
+    return df.mapInArrow(run, "h long, salt int, node long, n int, pos int")
 
 
 def _groups(prefixes: DataFrame) -> DataFrame:
     """(gid, node, n, pos) of shingles that two sets or more have; groups of equal members get one gid."""
+    names = ["gid", "node", "n", "pos"]
 
     def run(batches):
         known: dict[int, np.ndarray] = {}
+        held = 0
+        out: list[np.ndarray] = []
 
         def group(h: int, rows: np.ndarray, whole: bool):
             """rows: [node, n, pos] of one shingle, each node once. A group that came in parts is named by its shingle."""
+            nonlocal held
             if whole:
                 if len(rows) < 2:
                     return
                 gid = int(_mixed(rows[:, 0].astype(np.uint64)).sum(dtype=np.uint64).view(np.int64))
-                if len(known) > MEMO_ENTRIES:
+                if held > MEMO_BYTES:
                     known.clear()
+                    held = 0
                 # Known members: only lesser positions are news, as the positional filter holds for a pair's first common shingle.
-                least = np.minimum(rows[:, 2], known[gid]) if gid in known else rows[:, 2]
+                least = np.minimum(rows[:, 2], known[gid]) if gid in known else rows[:, 2].copy()
                 if gid in known and (least == known[gid]).all():
                     return
+                held += 0 if gid in known else 8 * len(rows) + ENTRY_BYTES
                 known[gid] = least
             else:
                 gid = h
             out.append(np.column_stack([np.full(len(rows), gid, np.int64), rows]))
 
-        h_open, parts, size, split = None, [], 0, False
+        def sent():
+            table = np.concatenate(out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1]), pa.array(table[:, 2].astype(np.int32)), pa.array(table[:, 3].astype(np.int32))], names=names)
+
+        open_key, parts, size, split = None, [], 0, False
         for batch in batches:
-            out: list[np.ndarray] = []
-            h = batch.column(0).to_numpy()
-            rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3)])
-            if len(h):
-                new = np.append(True, (h[1:] != h[:-1]) | (rows[1:, 0] != rows[:-1, 0]))
-                h, rows = h[new], rows[new]
-                begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                size_of = np.diff(np.append(begin, len(h)))
-                for i in np.flatnonzero((size_of > 1) | (begin == 0) | (begin + size_of == len(h))):
-                    key, own = int(h[begin[i]]), rows[begin[i] : begin[i] + size_of[i]]
-                    if key == h_open:
-                        if parts and parts[-1][-1, 0] == own[0, 0]:
-                            own = own[1:]
-                    else:
-                        if h_open is not None and parts:
-                            group(h_open, np.concatenate(parts), not split)
-                        h_open, parts, size, split = key, [], 0, False
-                    if len(own):
-                        parts.append(own)
-                        size += len(own)
-                    if size > 2 * BLOCK:
-                        # Too many to be held together: what is here goes out under the shingle's own name.
-                        split = True
-                        group(key, np.concatenate(parts), False)
-                        parts, size = [], 0
+            h, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4)])
+            if not len(h):
+                continue
+            new = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (rows[1:, 0] != rows[:-1, 0]))
+            h, salt, rows = h[new], salt[new], rows[new]
+            begin = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])))
+            size_of = np.diff(np.append(begin, len(h)))
+            for i in np.flatnonzero((size_of > 1) | (begin == 0) | (begin + size_of == len(h)) | (salt[begin] > 0)):
+                key, own = (int(h[begin[i]]), int(salt[begin[i]])), rows[begin[i] : begin[i] + size_of[i]]
+                if key == open_key:
+                    if parts and parts[-1][-1, 0] == own[0, 0]:
+                        own = own[1:]
+                else:
+                    if parts:
+                        group(open_key[0], np.concatenate(parts), not split)
+                    open_key, parts, size, split = key, [], 0, key[1] > 0
+                if len(own):
+                    parts.append(own)
+                    size += len(own)
+                if size > HELD:
+                    # Too many to be held together: what is here goes out under the shingle's own name.
+                    split = True
+                    group(key[0], np.concatenate(parts), False)
+                    parts, size = [], 0
             if out:
-                table = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1]), pa.array(table[:, 2].astype(np.int32)), pa.array(table[:, 3].astype(np.int32))], names=["gid", "node", "n", "pos"])
-        out = []
+                yield sent()
         if parts:
-            group(h_open, np.concatenate(parts), not split)
+            group(open_key[0], np.concatenate(parts), not split)
         if out:
-            table = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1]), pa.array(table[:, 2].astype(np.int32)), pa.array(table[:, 3].astype(np.int32))], names=["gid", "node", "n", "pos"])
+            yield sent()
 
-    dealt = prefixes.repartition("h").sortWithinPartitions("h", "node")
+    dealt = prefixes.repartition("h", "salt").sortWithinPartitions("h", "salt", "node")
     # The same group may be known to several tasks; the least position of each member bounds for all of them.
     return dealt.mapInArrow(run, "gid long, node long, n int, pos int").groupBy("gid", "node").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
 
 
-def _popcounts(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(one[None, :] ^ many).sum(1, dtype=np.int32)
-
-
-def passing_edges(node: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: list[bytes], comp: np.ndarray, side: np.ndarray | None, forest: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs of members of one group in different components that pass the filters.
-
-    side: the block of each member if only pairs across two blocks count. forest: of each two parts only the most similar pair.
-    """
-    order = np.lexsort((node, n))
-    node, n, pos, comp = node[order], n[order].astype(np.int64), pos[order].astype(np.int64), comp[order].copy()
-    side = None if side is None else side[order]
-    widths = np.array([len(bits[i]) for i in order])
-    maps: dict[int, tuple[int, np.ndarray]] = {}
-
-    def folded(width: int, first: int, last: int) -> np.ndarray:
-        """Bitmaps of members first..last, none narrower, folded to this width."""
-        if width not in maps or maps[width][0] > first or maps[width][0] + len(maps[width][1]) < last:
-            rows = []
-            for i in order[first:last]:
-                b = np.frombuffer(bits[i], np.uint64)
-                while len(b) * 8 > width:
-                    b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-                rows.append(b)
-            maps[width] = (first, np.array(rows))
-        start, table = maps[width]
-        return table[first - start : last - start]
-
-    ends = np.searchsorted(n, 100 * n // percent, "right")
-    out = []
-    for i in range(len(node)):
-        last = int(ends[i])
-        if last <= i + 1:
-            continue
-        js = np.arange(i + 1, last)
-        least = required(n[i], n[js], percent)
-        ok = (comp[js] != comp[i]) & (1 + np.minimum(n[i] - pos[i] - 1, n[js] - pos[js] - 1) >= least)
-        if side is not None:
-            ok &= side[js] != side[i]
-        js, least = js[ok], least[ok]
-        if not len(js):
+@dataclass
+class Block:
+    """Members of a group that one task compares. side: each member's block if only pairs across two blocks count. gids: the groups each member is in."""
+
+    gid: int
+    node: np.ndarray
+    n: np.ndarray
+    bits: list[bytes]
+    comp: np.ndarray
+    side: np.ndarray | None
+    gids: list[list[int]]
+
+    def passing(self, percent: int) -> Iterator[tuple[int, int]]:
+        """Places (i, j) of pairs of different components, as comp is by then, that pass the length and suffix filters and are this group's to look at; the most similar of each i first."""
+        order = np.lexsort((self.node, self.n))
+        n, widths = self.n[order].astype(np.int64), np.array([len(self.bits[i]) for i in order])
+        side = None if self.side is None else self.side[order]
+        groups = [frozenset(self.gids[i]) for i in order]
+        maps: dict[int, tuple[int, np.ndarray]] = {}
+
+        def folded(width: int, first: int, last: int) -> np.ndarray:
+            """Bitmaps of members first..last, none narrower, folded to this width."""
+            if width not in maps or maps[width][0] > first or maps[width][0] + len(maps[width][1]) < last:
+                maps[width] = (first, np.array([fold(np.frombuffer(self.bits[i], np.uint64), width) for i in order[first:last]]))
+            start, table = maps[width]
+            return table[first - start : last - start]
+
+        ends = np.searchsorted(n, 100 * n // percent, "right")
+        for i in range(len(n)):
+            last = int(ends[i])
+            if last <= i + 1:
+                continue
+            comp = self.comp[order[i:last]]
+            js = np.arange(i + 1, last)
+            ok = comp[1:] != comp[0]
+            if side is not None:
+                ok &= side[js] != side[i]
+            js = js[ok]
+            if not len(js):
+                continue
+            # Sorted by size, i is the smallest and its bitmap the narrowest.
+            table = folded(int(widths[i]), i, last)
+            apart = np.bitwise_count(table[0][None, :] ^ table[js - i]).sum(1, dtype=np.int64)
+            spare = n[i] + n[js] - 2 * required(n[i], n[js], percent) - apart
+            for j in js[np.argsort(-spare, kind="stable")][: int((spare >= 0).sum())]:
+                if min(groups[i] & groups[j]) == self.gid:
+                    yield int(order[i]), int(order[j])
+
+
+def fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap of fewer parts, width bytes."""
+    while len(bits) * 8 > width:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def links_of(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets (sorted hashes) link: the suffix filter with true counts, then the intersection."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    least = int(required(len(x), len(y), percent))
+    if least > len(small):
+        return False
+    at = np.searchsorted(large, small[:: max(1, len(small) // 8)])
+    own = np.arange(0, len(small), max(1, len(small) // 8))
+    parts = np.abs(np.diff(np.append(at, len(large))) - np.diff(np.append(own, len(small)))).sum() + at[0]
+    if parts > len(x) + len(y) - 2 * least:
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[at] == small).sum()) >= least
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, over the ends of batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        # Sorted by size, i is the smallest and its bitmap the narrowest.
-        table = folded(int(widths[i]), i, last)
-        apart = _popcounts(table[0], table[js - i])
-        ok = apart <= n[i] + n[js] - 2 * least
-        js, apart = js[ok], apart[ok]
-        if not forest:
-            out += [(int(node[i]), int(node[j])) for j in js]
-        elif len(js):
-            best = np.lexsort((node[js], apart / (n[js] + n[i]), comp[js]))
-            js = js[best]
-            js = js[np.append(True, comp[js[1:]] != comp[js[:-1]])]
-            out += [(int(node[i]), int(node[j])) for j in js]
-            comp[np.isin(comp, comp[js])] = comp[i]
-    return out
-
-
-def _candidates(members: DataFrame, bits: DataFrame, forest: bool, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b, of passing_edges() of all groups. members: (gid, node, n, pos, comp); bits: (node, bits), joined to members of open groups only."""
-    sizes = members.groupBy("gid").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("size > 1 AND lo <> hi").select("gid", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    sizes = written(sizes, "groups")
-    cut = members.join(sizes, "gid").join(bits, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).where("blocks = 1 OR lo < hi OR other = block")
+        table = np.column_stack([batch.column(c).to_numpy() for c in keys])
+        begin = np.flatnonzero(np.append(True, (table[1:] != table[:-1]).any(1)))
+        for b, e in zip(begin, np.append(begin[1:], len(table)), strict=True):
+            key = tuple(table[b])
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(b, e - b))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def _chained(members: DataFrame, attrs: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a < b: each member and the nearest before it that passes. members: (gid, node, n, pos); attrs: (node, bits, k1, k2)."""
+    large = written(members.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large")
+    dealt = members.join(_few(large), "gid", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int"))
+    dealt = dealt.join(attrs, "node").select("gid", "block", "k1", "k2", "node", "n", "pos", "bits")
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def edges(table: pa.Table):
-            lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-            col = lambda c: table.column(c).to_numpy()
-            side = None if lo == hi else col("block")
-            found = passing_edges(col("node"), col("n"), col("pos"), table.column("bits").to_pylist(), col("comp"), side, forest, percent)
-            return [(min(e), max(e)) for e in found]
-
-        def flush(parts: list[pa.RecordBatch], seen: set):
-            if parts:
-                seen.update(edges(pa.Table.from_batches(parts)))
-
-        key = None
+        before: deque = deque(maxlen=LOOK)
+        group = None
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            keys = np.column_stack([batch.column(c).to_numpy() for c in ("gid", "lo", "hi")])
-            if len(keys):
-                begin = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
-                for b, e in zip(begin, np.append(begin[1:], len(keys)), strict=True):
-                    k = tuple(keys[b])
-                    if k != key:
-                        flush(held, seen)
-                        held, key = [], k
-                    held.append(batch.slice(b, e - b))
-            if seen:
-                a = np.array(sorted(seen), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
-        seen = set()
-        flush(held, seen)
-        if seen:
-            a = np.array(sorted(seen), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
-
-    dealt = pairs.select("gid", "lo", "hi", "block", "node", "n", "pos", "bits", "comp").repartition("gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that link, by their whole sets. texts: (doc, t); reps: (node, doc, ...)."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(reps.join(ends, "node", "left_semi").select(F.col("doc").alias("wanted_doc"), "node"), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    source = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc").eqNullSafe(F.col("wanted_doc"))).select("node", "t")
+            a, b = [], []
+            gid, block, node, n, pos = (batch.column(c).to_pylist() for c in ("gid", "block", "node", "n", "pos"))
+            for own in zip(gid, block, node, n, pos, batch.column("bits"), strict=True):
+                if own[:2] != group:
+                    before.clear()
+                    group = own[:2]
+                own = (*own[2:5], own[5].as_py())
+                for other in reversed(before):
+                    (x, nx, px, bx), (y, ny, py, by) = own, other
+                    least = required(nx, ny, percent)
+                    if 1 + min(nx - px - 1, ny - py - 1) >= least and apart(bx, by) <= nx + ny - 2 * least:
+                        a.append(min(x, y))
+                        b.append(max(x, y))
+                        break
+                before.append(own)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.repartition("gid", "block").sortWithinPartitions("gid", "block", "k1", "k2", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the wider one folded."""
+    if len(x) == len(y):
+        return (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+    width = min(len(x), len(y))
+    x, y = (fold(np.frombuffer(z, np.uint64), width) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _sets_of(nodes: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """A written table (node, s) of the whole sets of these nodes. texts: (doc, t); reps: (node, doc, ...)."""
+    wanted = written(reps.join(nodes, "node", "left_semi").select(F.col("doc").alias("wanted_doc")).distinct(), "wanted")
+    source = texts.join(_few(wanted), F.col("doc").eqNullSafe(F.col("wanted_doc")), "left_semi").select("t")
 
     def hashed(batches):
         shingles = Shingles(width)
         for batch in chunks(batches):
-            found = [shingles(t) for t in batch.column(1).to_pylist()]
-            # A row that shares the id but not the set isn't the one that is wanted.
-            same = [i for i, (s, name) in enumerate(zip(found, batch.column(0).to_pylist(), strict=True)) if len(s) and set_name(s) == name]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same, pa.int64())), pa.array([found[i].tobytes() for i in same], pa.binary())], names=["node", "s"])
+            found = [s for s in map(shingles, batch.column(0).to_pylist()) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "s"])
 
-    sets = written(source.mapInArrow(hashed, "node long, s binary").dropDuplicates(["node"]), "sets")
+    # Rows that share the id but not the set aren't wanted, those that repeat the set are copies.
+    sets = written(source.mapInArrow(hashed, "node long, s binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    remove(wanted)
+    return sets
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """A written table of those of the pairs (a, b) of sets that link, by their whole sets."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, reps, width)
 
     def compare(batches):
+        own = None
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], names=["a", "b", "ok"])
-
-    named = lambda k: sets.select(F.col("node").alias(k), F.col("s").alias(f"s{k}"))
-    both = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "sa", "sb")
-    links = written(both.mapInArrow(compare, "a long, b long, ok boolean").where("ok").select("a", "b"), "links")
-    remove(sets, wanted)
+            for b, s in zip(batch.column(1), batch.column(2), strict=True):
+                s = np.frombuffer(s.as_py(), np.uint64)
+                # The row of a's own set comes first.
+                if not b.is_valid:
+                    own = s
+                keep.append(b.is_valid and links_of(own, s, percent))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    firsts = pairs.select("a").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "s")
+    seconds = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", "s")
+    # A chain gives a node no more partners than its prefix has shingles, so no a is a hot key.
+    met = firsts.unionByName(seconds).repartition("a").sortWithinPartitions("a", "b")
+    links = written(met.mapInArrow(compare, "a long, b long"), "links")
+    remove(sets)
     return links
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id), a row for each row of df; ids are whole numbers."""
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (gid, node, n, comp) of groups of several components, dealt: with gids, and a row for each pair of blocks (lo, hi) in which a member's block meets another."""
+    parts = members.groupBy("gid", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    # The largest component of each group.
+    of = parts.groupBy("gid").agg(F.max(F.struct("rows", "shingles", "comp")).alias("most"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts")).where("parts > 1")
+    count = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    one = (F.col("rows") <= BLOCK) & (F.col("shingles") <= BLOCK_SHINGLES)
+    of = of.select(
+        "gid", F.when(~one, F.col("most.comp")).alias("main"), F.when(one, 1).otherwise(count(F.col("rows") - F.col("most.rows"), F.col("shingles") - F.col("most.shingles"))).alias("rest_blocks"),
+        F.when(one, 0).otherwise(count(F.col("most.rows"), F.col("most.shingles"))).alias("main_blocks"),
+    )
+    cut = written(members.join(written(of, "open"), "gid"), "cut")
+    gids = cut.groupBy("node").agg(F.collect_set("gid").alias("gids"))
+    h, main = F.xxhash64("node"), F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    cut = cut.withColumn("block", F.when(main, F.col("rest_blocks") + F.pmod(h, F.col("main_blocks"))).otherwise(F.pmod(h, F.col("rest_blocks"))).cast("int"))
+    # Blocks of the main component meet those of the rest only.
+    others = F.sequence(F.lit(0), F.when(main, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")) - 1)
+    met = cut.join(gids, "node").withColumn("other", F.explode(others))
+    return met.select("gid", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "n", "comp", "gids")
+
+
+def _rest(members: DataFrame, attrs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
+    """A written table of links (a, b) that join all components which any link joins. members: (gid, node, n, comp)."""
+    met = written(_blocks(members), "met")
+    keys = ["gid", "lo", "hi"]
+
+    def block(table: pa.Table) -> Block:
+        gid, lo, hi = (table.column(c)[0].as_py() for c in keys)
+        col = lambda c: table.column(c).to_numpy()
+        return Block(gid, col("node"), col("n"), table.column("bits").to_pylist(), col("comp").copy(), None if lo == hi else col("block"), table.column("gids").to_pylist())
+
+    def look(batches):
+        for table in _runs(batches, keys):
+            b = block(table)
+            needed = {k for pair in b.passing(percent) for k in pair}
+            if needed:
+                yield from table.select([*keys, "block", "node", "n", "comp", "gids", "bits"]).take(pa.array(sorted(needed))).combine_chunks().to_batches()
+
+    schema = "gid long, lo int, hi int, block int, node long, n int, comp long, gids array<long>, bits binary"
+    sorted_by = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
+    needed = written(sorted_by(met.join(attrs.select("node", "bits"), "node")).mapInArrow(look, schema), "needed")
+    sets = _sets_of(needed.select("node").distinct(), texts, reps, width)
+
+    def settle(batches):
+        for table in _runs(batches, keys):
+            b, found = block(table), []
+            s = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
+            for i, j in b.passing(percent):
+                x, y = b.comp[i], b.comp[j]
+                if x != y and links_of(s[i], s[j], percent):
+                    b.comp[b.comp == x] = y
+                    found.append(sorted((int(b.node[i]), int(b.node[j]))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    links = written(sorted_by(needed.join(sets, "node")).mapInArrow(settle, "a long, b long"), "links")
+    remove(met, needed, sets)
+    return links
+
+
+def _placed(df: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (doc, n, node) of each row of df, and (node, comp), the component of each set. df: (doc, text)."""
     spark = df.sparkSession
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), utf8(text_col).alias("t"))
+    texts = df.select(F.col("doc").cast("long").alias("doc"), utf8("text").alias("t"))
     sets = written(_sets(texts, width), "shingles")
-    rows = sets.where("row").select("doc", "n", "node", "bits")
     counts = spark.sparkContext.broadcast(_summed(sets.where("NOT row")))
-    reps = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.min("bits").alias("bits")), "reps")
-    groups = _groups(_prefixes(texts.select("t"), counts, width, percent))
-    members, bits = written(groups.withColumn("comp", F.col("node")), "members"), reps.select("node", "bits")
-
-    first = written(_candidates(members, bits, True, percent), "pairs")
-    links = _verified(first, texts, reps, width, percent)
-    found = written(components(links), "components")
-    grouped = members.drop("comp").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select(*members.columns)
-    grouped = written(grouped, "members")
-    second = written(_candidates(grouped, bits, False, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        more = _verified(second, texts, reps, width, percent)
-        found = written(components(links.unionByName(more)), "components")
-    remove(members, grouped, first, second)
-
-    placed = written(reps.select("node", "doc").join(found, "node", "left").select("node", "doc", F.coalesce("comp", "node").alias("comp")), "placed")
-    least = written(placed.groupBy("comp").agg(F.min("doc").alias("component_id")), "least")
+    named = sets.where("row AND node IS NOT NULL")
+    reps = written(named.groupBy("node").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("bits", "k1", "k2"))), "reps")
+    attrs = reps.select("node", "bits", "k1", "k2")
+    members = written(_groups(_prefixes(texts.select("t"), counts, width, percent)), "members")
+
+    links, found, tried, tables = None, None, None, []
+    ends = members
+    for _ in range(CHAINS):
+        pairs = _chained(ends, attrs, percent)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = _verified(pairs, texts, reps, width, percent)
+        tables += [pairs, new]
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        found = written(components(links), "components")
+        tables.append(found)
+        # Groups of one block have met whole; in larger ones one member of each component goes on.
+        large = members.groupBy("gid").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).select("gid")
+        now = members.join(large, "gid", "left_semi").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        ends = now.groupBy("gid", "comp").agg(F.min("node").alias("node"), F.min_by("n", "node").alias("n"), F.min_by("pos", "node").alias("pos"))
+        ends = written(ends.drop("comp"), "ends")
+        tables.append(ends)
+        if ends.isEmpty() or ends.count() == ends.select("gid").distinct().count():
+            break
+    if found is None:
+        found = new.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    grouped = written(members.drop("pos").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+    more = _rest(grouped, attrs, texts, reps, width, percent)
+    if not more.isEmpty():
+        found = written(components(more if links is None else links.unionByName(more)), "components")
+        tables.append(found)
+    placed = written(reps.select("node").join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "placed")
+    rows = written(sets.where("row").select("doc", "n", "node"), "rows")
+    remove(sets, reps, members, grouped, more, *tables)
+    return rows, placed
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id), a row for each row of df; ids are whole numbers."""
+    rows, placed = _placed(df.select(quoted(id_col).alias("doc"), quoted(text_col).alias("text")), width, percent)
+    at = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc")).join(placed, "node")
+    least = at.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = written(placed.join(least, "comp").select("node", "component_id"), "named")
-    out = rows.select("doc", "n", "node").join(named, "node", "left")
+    remove(placed)
+    out = rows.join(named, "node", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of df whose id is their component's; of rows that repeat an id one stays. Rows without an id stay."""
-    classes = written(jaccard_components(df, id_col, text_col, width, percent).select(F.col(id_col).alias("__id"), "component_id").where("__id IS NOT NULL"), "classes")
-    once = written(classes.groupBy("__id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("c <> __id OR n > 1"), "others")
-    gone, repeated = once.where("c <> __id").select("__id"), once.where("c = __id").select("__id")
-
-    def among(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-    same = F.col(id_col) == F.col("__id")
-    left = df.join(among(gone), same, "left_anti")
-    if repeated.isEmpty():
-        return left
-    small = among(repeated)
-    return left.join(small, same, "left_anti").unionByName(left.join(small, same, "left_semi").dropDuplicates([id_col]))
+    """df with one row of each component: that of the smallest id and, if rows with different sets share it, of the least set name; of equal sets under one id the least text, then the least hash of the row.
+
+    Rows without shingles and rows without an id stay. Columns keep their names, whatever they are.
+    """
+    columns = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    own = df.select(*(quoted(c).alias(n) for c, n in columns.items()))
+    doc, text = columns[id_col], columns[text_col]
+    rows, placed = _placed(own.select(F.col(doc).alias("doc"), F.col(text).alias("text")), width, percent)
+    kinds = rows.where("doc IS NOT NULL").groupBy("doc", "node").agg(F.count("*").alias("rows")).join(placed, "node", "left")
+    kept = written(kinds.where("node IS NOT NULL").groupBy("comp").agg(F.min(F.struct("doc", "node")).alias("k")).select("k.doc", "k.node", F.lit(True).alias("kept")), "kept")
+    # A row without shingles is nobody's copy.
+    state = kinds.join(kept, ["doc", "node"], "left").withColumn("stays", F.coalesce("kept", F.col("node").isNull()))
+    by_id = state.groupBy("doc").agg(F.sum("rows").alias("rows"), F.sum(F.when(F.col("node").isNull(), F.col("rows")).otherwise(F.col("stays").cast("long"))).alias("left")).where("rows <> left")
+    by_id = written(by_id, "others")
+    gone, mixed = by_id.where("left = 0").select(F.col("doc").alias("__doc")), by_id.where("left > 0").select(F.col("doc").alias("__doc"))
+    remove(placed, rows)
+    same = F.col(doc) == F.col("__doc")
+    left = own.join(_few(gone), same, "left_anti")
+    if not mixed.isEmpty():
+        mixed = _few(mixed)
+        rest = left.join(mixed, same, "left_semi").withColumn("__t", utf8(text))
+        schema = T.StructType([*rest.schema.fields[:-1], T.StructField("__node", T.LongType())])
+
+        def named(batches):
+            shingles = Shingles(width)
+            for batch in chunks(batches):
+                found = [shingles(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([set_name(s) if len(s) else None for s in found], pa.int64())], names=schema.fieldNames())
+
+        rest = rest.mapInArrow(named, schema)
+        hashed = [c for c in own.columns if "map<" not in dict(own.dtypes)[c] and "variant" not in dict(own.dtypes)[c]]
+        first = Window.partitionBy(doc, "__node").orderBy(text, F.xxhash64(*hashed))
+        chosen = rest.join(kept.select(F.col("doc").alias("__doc"), F.col("node").alias("__kept")), same & (F.col("__node") == F.col("__kept")), "left_semi")
+        chosen = chosen.withColumn("__row", F.row_number().over(first)).where("__row = 1")
+        left = left.join(mixed, same, "left_anti").unionByName(rest.where("__node IS NULL").select(*own.columns)).unionByName(chosen.select(*own.columns))
+    return left.select(*(F.col(n).alias(c) for c, n in columns.items()))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ twice counts as toxic if one of its labels does; null labels are ignored.
 from __future__ import annotations
 
 import math
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MEMO_ENTRIES, chunks, held_out, load, per_text, utf8
+from .common import Memo, chunks, held_out, load, per_text, utf8
 
 #: Bytes of a word's beginnings that are features.
 PREFIXES = (4, 5, 6, 7)
@@ -54,16 +55,13 @@ def words_of(text: bytes) -> set[bytes]:
     return {w.strip(_STRIP) for w in text.lower().split()} - {b""}
 
 
-def text_features(text: bytes, memo: dict[bytes, list[int]]) -> np.ndarray:
+def text_features(text: bytes, memo: Memo) -> np.ndarray:
     """The features of a text's distinct words, sorted, one entry for each word that has it."""
-    if len(memo) > MEMO_ENTRIES // 2:
-        memo.clear()
-    found: list[int] = []
-    for w in words_of(text):
-        f = memo.get(w)
-        if f is None:
-            f = memo[w] = word_features(w)
-        found += f
+    known, words = memo.trim(), words_of(text)
+    if new := words.difference(known):
+        known.update((w, word_features(w)) for w in new)
+        memo.took(new)
+    found = list(chain.from_iterable(map(known.__getitem__, words)))
     return np.sort(np.array(found, np.uint32))
 
 
@@ -137,7 +135,7 @@ def _sample(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, rows: int
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("f", T.BinaryType())])
 
     def run(batches):
-        memo: dict[bytes, list[int]] = {}
+        memo = Memo(600)
         for batch in chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_features(t or b"", memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["h", "f"])
 
@@ -162,18 +160,15 @@ def score(df: DataFrame, model: tuple[dict[int, float], float], id_cols: list, t
 
     def make():
         weights, bias = shared.value
-        memo: dict[bytes, float] = {}
-
-        def value(word: bytes) -> float:
-            v = memo[word] = math.fsum(weights.get(f, 0.0) for f in word_features(word))
-            return v
+        memo = Memo()
 
         def one(text: bytes | None) -> float:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            words = words_of(text or b"")
+            known, words = memo.trim(), words_of(text or b"")
+            if new := words.difference(known):
+                known.update((w, math.fsum(weights.get(f, 0.0) for f in word_features(w))) for w in new)
+                memo.took(new)
             # An exact sum, as a set has no fixed order.
-            z = bias + math.fsum(memo[w] if w in memo else value(w) for w in words)
+            z = bias + math.fsum(map(known.__getitem__, words))
             return 1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) if z > -math.inf else 0.0
 
         return lambda texts: [pa.array([one(t) for t in texts], pa.float64())]
