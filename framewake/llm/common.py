@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..storage import remove, written
 
-__all__ = ["CHUNK_BYTES", "CHUNK_ROWS", "ENTRY_BYTES", "MEMO_BYTES", "Memo", "chunks", "held_out", "load", "per_text", "quoted", "remove", "utf8", "written"]
+__all__ = ["CHUNK_BYTES", "CHUNK_ROWS", "ENTRY_BYTES", "MEMO_BYTES", "Memo", "below_share", "chunks", "held_out", "load", "per_text", "quoted", "remove", "utf8", "written"]
 
 #: Documents that Python handles at once, and bytes of text after which a chunk ends.
 CHUNK_ROWS, CHUNK_BYTES = 256, 2 << 20
@@ -33,6 +33,11 @@ def utf8(column: str = "text") -> Column:
     return quoted(column).cast("string").cast("binary")
 
 
+def below_share(column: Column, rows: int, of: int) -> Column:
+    """Whether a column's hash is among the smallest, so that about `rows` of `of` values pass. No order and no exchange, and the same at every run."""
+    return F.xxhash64(column.cast("string")) <= F.lit(min((1 << 63) - 1, -(1 << 63) + (1 << 64) * rows // max(1, of)))
+
+
 class Memo:
     """A dict `known` of bytes or text that trim() empties beyond MEMO_BYTES. entry: bytes an entry has besides its key."""
 

@@ -3,15 +3,18 @@
 A credential has parts of three roles: an identifier (access, user), a secret
 (assign, hex, key40) and an endpoint. Strong kinds (assign, access, hex) are
 reported alone. Weak kinds, which are common in harmless text, are reported only
-where their complement lies in the same scope, within `scope` code points:
+where their complement lies in the same scope, with at most `scope` code points
+between the end of one part and the start of the other, however long the parts:
 key40 beside an identifier, user beside a secret, endpoint beside both.
 
 Positions come from two functions that agree on a pattern's leftmost matches:
 regexp_extract_all gives the matches, split the texts between them; running sums
-of lengths give offsets in code points. The interval join of parts is a range
-frame over a row's parts in order of position, so it is linear in the parts, and
-all parts of one row are in one place anyway. Only parts are shuffled, by a row
-number, so no key is hot.
+of lengths give offsets in code points. The interval join of parts is a pair of
+frames over a row's parts in order of position: of each role, the furthest end among
+parts that start no later, and the next start among those that start no earlier. So
+it is linear in the parts, and all parts of one row are in one place anyway. Parts
+are shuffled by a row number, so no key is hot; what is kept of a row goes with its
+first part only.
 
 Null and empty texts have no spans. Each row is scanned by itself: repeated rows
 repeat their result, null ids are kept, an empty table gives an empty result.
@@ -25,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load
+from .common import load, quoted
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "key40", "user", "endpoint")
-#: Code points between parts of one credential at most.
+#: Code points between the parts of one credential at most.
 SCOPE = 200
 
 # The base patterns. Lengths that fail are dropped after matching, where that makes a difference.
@@ -52,9 +55,8 @@ def _parts(text: Column, kind: str, pattern: str, only_if: Column, ok=None) -> C
     return F.when(only_if, found).otherwise(F.array().cast("array<struct<kind:int,before:int,length:int,ok:boolean>>"))
 
 
-def scan(df: DataFrame, keep: list[str], text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """The columns `keep` (none of them named spans) and spans array<struct<start, kind, end>> (kind as its place in KINDS), sorted; a row for each row of df."""
-    text = F.col(text_col).cast("string")
+def _scanned(df: DataFrame, keep: list[Column], text: Column, scope: int) -> DataFrame:
+    """__row, a struct of `keep`, and spans array<struct<start, kind, end, done>>, sorted; done: the furthest end of the spans before."""
     has_word = text.rlike(r"(?i)passw|secret|token|api_?key")
     has_access, has_hex = text.contains("AKIA"), text.rlike("[0-9a-f]{32}")
     flags = df.select(F.struct(*keep).alias("__row"), text.alias("__t"), has_word.alias("__w"), has_access.alias("__a"), has_hex.alias("__h"), F.monotonically_increasing_id().alias("__n"))
@@ -67,42 +69,54 @@ def scan(df: DataFrame, keep: list[str], text_col: str = "text", scope: int = SC
         _parts(t, "user", _USER, t.rlike("(?i)user|login|client_?id")),
         _parts(t, "endpoint", _ENDPOINT, t.contains("://")),
     )
-    rows = flags.select("__n", "__row", F.posexplode_outer(parts).alias("__pos", "__part")).select("__n", "__row", "__pos", "__part.*").repartition("__n")
+    each = flags.select("__n", "__row", F.posexplode_outer(parts).alias("__pos", "__part"))
+    first = F.when(F.coalesce("__pos", F.lit(0)) == 0, F.col("__row"))
+    rows = each.select("__n", first.alias("__row"), "__pos", "__part.*").repartition("__n")
     before = Window.partitionBy("__n", "kind").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.withColumn("end", F.sum(F.col("before") + F.coalesce("length", F.lit(0))).over(before))
     placed = ends.withColumn("start", F.col("end") - F.col("length")).withColumn("ok", F.coalesce(F.col("ok") & F.col("length").isNotNull(), F.lit(False)))
-    near = Window.partitionBy("__n").orderBy("start").rangeBetween(-scope, scope)
     is_kind = lambda *kinds: F.col("ok") & F.col("kind").isin(*(KINDS.index(k) for k in kinds))
-    role = lambda *kinds: F.coalesce(F.max(is_kind(*kinds)).over(near), F.lit(False))
+    # Parts of one start are peers in either direction.
+    so_far = lambda order: Window.partitionBy("__n").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def role(*kinds: str) -> Column:
+        last_end = F.max(F.when(is_kind(*kinds), F.col("end"))).over(so_far(F.col("start").asc()))
+        next_start = F.min(F.when(is_kind(*kinds), F.col("start"))).over(so_far(F.col("start").desc()))
+        return F.coalesce(last_end >= F.col("start") - scope, F.lit(False)) | F.coalesce(next_start <= F.col("end") + scope, F.lit(False))
+
     linked = placed.withColumns({"__id": role("access", "user"), "__secret": role("assign", "hex", "key40")})
     reported = is_kind(*BASE_KINDS) | (is_kind("key40") & F.col("__id")) | (is_kind("user") & F.col("__secret")) | (is_kind("endpoint") & F.col("__id") & F.col("__secret"))
-    span = F.when(reported, F.struct(F.col("start").cast("long").alias("start"), F.col("kind"), F.col("end").cast("long").alias("end")))
-    return linked.groupBy("__n").agg(F.first("__row").alias("__row"), F.array_sort(F.collect_list(span)).alias("spans")).select("__row.*", "spans")
+    earlier = Window.partitionBy("__n").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    done = linked.withColumn("__reported", reported).withColumn("__done", F.coalesce(F.max(F.when(F.col("__reported"), F.col("end"))).over(earlier), F.lit(0)))
+    span = F.when(F.col("__reported"), F.struct(F.col("start").cast("long").alias("start"), F.col("kind"), F.col("end").cast("long").alias("end"), F.col("__done").cast("long").alias("done")))
+    return done.groupBy("__n").agg(F.first("__row", ignorenulls=True).alias("__row"), F.array_sort(F.collect_list(span)).alias("spans")).drop("__n")
+
+
+def scan(df: DataFrame, keep: list[str], text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """The columns `keep` (none of them named spans) and spans array<struct<start, kind, end>> (kind as its place in KINDS), sorted; a row for each row of df."""
+    found = _scanned(df, [quoted(c).alias(f"c{k}") for k, c in enumerate(keep)], quoted(text_col).cast("string"), scope)
+    bare = F.transform("spans", lambda s: F.struct(s["start"], s["kind"], s["end"]))
+    return found.select(*(F.col(f"__row.c{k}").alias(c) for k, c in enumerate(keep)), bare.alias("spans"))
 
 
 def redact(df: DataFrame, text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """df with each reported span of the text replaced by [SECRET]; touching and overlapping spans become one. n_chars, where there is one, is counted anew."""
-    t, doc = F.col(text_col), F.col("__doc")
+    """df with each reported span of the text replaced by [SECRET]; touching and overlapping spans become one. n_chars, where there is one, is counted anew. Columns may have any names."""
+    text, own = quoted(text_col).cast("string"), [quoted(c).alias(f"c{k}") for k, c in enumerate(df.columns)]
     # Texts that no pattern can match stay where they are; only the others' rows are shuffled.
-    may = F.coalesce(t.cast("string").rlike(r"(?i)passw|secret|token|api_?key|user|login|client_?id|AKIA|[0-9a-f]{32}"), F.lit(False))
-    risky = df.where(may).select(F.struct(*df.columns).alias("__doc"), t.cast("string").alias("__text"))
-    scanned = scan(risky, ["__doc", "__text"], "__text", scope)
-    t = F.col("__text")
-    # Folded over spans in order: what is already written, and where the text goes on.
-    fold = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda s, x: F.struct(
-            F.when(x["start"] >= s["at"], F.concat(s["out"], F.substring(t, s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.when((x["start"] > s["at"]) | (s["at"] == 0), F.lit("[SECRET]")).otherwise(F.lit("")))).otherwise(s["out"]).alias("out"),
-            F.greatest(s["at"], x["end"]).alias("at"),
-        ),
-        lambda s: F.concat(s["out"], F.substring(t, s["at"].cast("int") + 1, F.length(t))),
-    )
-    new = scanned.select("__doc", F.when(F.size("spans") > 0, fold).alias("__new"))
-    fields = {c: doc[c] for c in df.columns} | {text_col: F.coalesce("__new", doc[text_col])}
+    may = F.coalesce(text.rlike(r"(?i)passw|secret|token|api_?key|user|login|client_?id|AKIA|[0-9a-f]{32}"), F.lit(False))
+    found = _scanned(df.where(may), own, text, scope)
+    doc = lambda c: F.col(f"__row.c{df.columns.index(c)}")
+    t = doc(text_col).cast("string")
+    # Each span gives what lies between it and the spans before it, and a mark unless it touches them.
+    between = lambda start, end: F.substring(t, start.cast("int") + 1, (end - start).cast("int"))
+    piece = lambda s: F.when((s["start"] > s["done"]) | (s["done"] == 0), F.concat(between(s["done"], s["start"]), F.lit("[SECRET]"))).otherwise("")
+    over = F.array_max(F.transform("spans", lambda s: s["end"]))
+    new = F.when(F.size("spans") > 0, F.concat(F.array_join(F.transform("spans", piece), ""), between(over, F.length(t).cast("long"))))
+    found = found.withColumn("__new", new)
+    fields = {c: doc(c) for c in df.columns} | {text_col: F.coalesce(F.col("__new").cast(df.schema[text_col].dataType), doc(text_col))}
     if "n_chars" in df.columns:
-        fields["n_chars"] = F.coalesce(F.length("__new").cast("long"), doc["n_chars"])
-    return df.where(~may).unionByName(new.select(*(v.alias(c) for c, v in fields.items())))
+        fields["n_chars"] = F.coalesce(F.length("__new").cast(df.schema["n_chars"].dataType), doc("n_chars"))
+    return df.where(~may).unionByName(found.select(*(v.alias(c) for c, v in fields.items())))
 
 
 def _is(kind: int):
@@ -145,7 +159,7 @@ OP6_SQL = (
         ]
     )
     + f"""),
-near AS (SELECT a.r, a.kind, a.s, a.e, bool_or(b.kind IN (1, 4)) AS id, bool_or(b.kind IN (0, 2, 3)) AS secret FROM parts a JOIN parts b ON a.r = b.r AND abs(a.s - b.s) <= {SCOPE} GROUP BY ALL),
+near AS (SELECT a.r, a.kind, a.s, a.e, bool_or(b.kind IN (1, 4)) AS id, bool_or(b.kind IN (0, 2, 3)) AS secret FROM parts a JOIN parts b ON a.r = b.r AND b.s - a.e <= {SCOPE} AND a.s - b.e <= {SCOPE} GROUP BY ALL),
 spans AS (SELECT * FROM near WHERE kind < 3 OR kind = 3 AND id OR kind = 4 AND secret OR kind = 5 AND id AND secret),
 named AS (SELECT *, concat(list_extract({list(KINDS)!r}, kind + 1), ':', s, ':', e) AS x FROM spans)
 SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
