@@ -12,8 +12,10 @@ everything else separates. Each word is coded after a separator and closed by
 one, and contexts don't reach across a separator, so a word's code length is a
 property of the word and is remembered by it.
 
-Only trained on rows that the caller passes; the sample is bounded by
-`max_train_rows` per language, taken by the smallest xxhash64 of the id.
+Only trained on rows that the caller passes; the sample is bounded: rows whose id's
+xxhash64 lies below a bound that about `train_rows` rows of the language pass, all
+of them where there are fewer. Any number of languages is learned; trees on the
+driver and in the workers grow with it. A null id's rows share one hash.
 
 Null texts and texts without a letter: `und`, score 0. So are all texts where no
 language could be learned. Null languages train nothing. Ties go to the language
@@ -31,14 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import ENTRY_BYTES, Memo, chunks, held_out, load, per_text, utf8
+from .common import ENTRY_BYTES, Memo, chunks, held_out, load, per_text, quoted, utf8
 
 #: Bytes of the longest context.
 ORDER = 4
-#: Training texts of each language at most, and languages at most.
-MAX_TRAIN_ROWS, MAX_LANGUAGES = 800, 64
+#: Training texts of each language, about: those with the smallest hashes of their ids.
+TRAIN_ROWS = 800
 _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: A separator in the trees.
 _EDGE = 32
@@ -106,19 +107,14 @@ class Tree:
         return out
 
 
-def train(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_train_rows: int = MAX_TRAIN_ROWS) -> dict[str, Tree]:
-    """A tree for each language of df. Word counts are summed in the tasks; the driver gets those of the bounded sample only."""
-    by_hash = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col).cast("string"))
-    picked = (
-        df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(lang_col), F.col(id_col))
-        .withColumn("__n", F.row_number().over(by_hash))
-        .where(F.col("__n") <= max_train_rows)
-        .select(F.col(lang_col).alias("__lang"), F.col(id_col).alias("__id"))
-        .distinct()
-        .limit(max_train_rows * MAX_LANGUAGES)
-    )
-    texts = df.select(lang_col, id_col, text_col).join(F.broadcast(picked), (F.col(lang_col) == F.col("__lang")) & (F.col(id_col) == F.col("__id")), "left_semi")
+def train(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, train_rows: int = TRAIN_ROWS) -> dict[str, Tree]:
+    """A tree for each language of df. Words are counted in the tasks and summed by word; the driver gets one row for each word of the sample."""
+    known = df.where(quoted(lang_col).isNotNull() & quoted(text_col).isNotNull()).select(quoted(lang_col).cast("string").alias("l"), quoted(id_col).alias("i"), utf8(text_col).alias("t"))
+    rows = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    bounds = [(lang, min((1 << 63) - 1, -(1 << 63) + (1 << 64) * train_rows // n)) for lang, n in rows.items()]
+    of = df.sparkSession.createDataFrame(bounds, "b string, bound long")
+    # Before the texts are read: the join has one small row for each language.
+    texts = known.join(of, F.col("l") == F.col("b")).where(F.xxhash64(F.col("i").cast("string")) <= F.col("bound")).select("l", "t")
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
 
     def run(batches):
@@ -132,11 +128,10 @@ def train(df: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=schema.fieldNames())
 
     found: dict[str, dict[bytes, int]] = {}
-    for batch in texts.select(F.col(lang_col).cast("string").alias("l"), utf8(text_col).alias("t")).mapInArrow(run, schema).toArrow().to_batches():
+    for batch in texts.mapInArrow(run, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_batches():
         for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = found.setdefault(lang, {})
-            own[word] = own.get(word, 0) + n
-    return {lang: Tree(count_grams(own, order)) for lang, own in sorted(found.items()) if own}
+            found.setdefault(lang, {})[word] = n
+    return {lang: Tree(count_grams(dict(sorted(own.items())), order)) for lang, own in sorted(found.items()) if own}
 
 
 def identify(df: DataFrame, trees: dict[str, Tree], id_cols: list, text_col: str = "text", order: int = ORDER) -> DataFrame:
