@@ -1,22 +1,30 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over words and beginnings of words is trained in numpy from
-confirmed toxic texts (P) and texts whose labels are ignored (U). With the class
-prior p, the risk of calling U negative less p times that of calling P negative
-estimates the negatives' risk; where a batch makes this estimate negative, the
-step goes against it instead (the non-negative correction), so a flexible model
+Linear classifiers over words and beginnings of words are trained in numpy from
+confirmed toxic texts (P) and texts without regard to any label (U), drawn from the
+whole training side, labelled or not. Labels that say "not toxic" are never used.
+With the class prior p, the risk of calling U negative less p times that of calling P
+negative estimates the negatives' risk; where a batch makes this estimate negative,
+the step goes against it instead (the non-negative correction), so a flexible model
 can't fit it below zero. Only features whose rates in P and U differ clearly
 (a likelihood-ratio test) get a weight, which keeps long clean texts near the bias.
 
-Training samples are bounded (`max_positive`, `max_unlabelled` rows, by the
-smallest xxhash64 of the id); the class prior is estimated from every training
-label, and every document is scored by its whole text.
+The class prior is a parameter; left out, it is estimated from P and U alone. A first
+classifier, fitted with a prior in the middle, scores what it wasn't fitted to, by folds.
+Above any score, the share of U divided by the share of P is at least the prior, as
+toxic texts in U score like those in P, and about the prior where scores are so high that
+only toxic texts have them. The least such quotient, with an allowance for chance, is taken, and a half at most:
+in no corpus are most texts toxic.
+
+Training samples are bounded by `positive_rows` and `unlabelled_rows` (about so many
+rows, by the smallest xxhash64 of the id, one text an id); every document is
+scored by its whole text.
 
 A document's features are counted over its distinct words. Null and empty texts
 have none and score as the bias alone says, below 0.5 in any trained model;
 without any positive row every score is 0. Rows are scored one by one: repeated
 rows repeat their score, an empty table gives an empty result. An id labelled
-twice counts as toxic if one of its labels does; null labels are ignored.
+twice counts as toxic if one of its labels does; null labels and null ids are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, chunks, held_out, load, per_text, utf8
+from .common import Memo, below_share, chunks, held_out, load, per_text, quoted, utf8
 
 #: Bytes of a word's beginnings that are features.
 PREFIXES = (4, 5, 6, 7)
-MAX_POSITIVE, MAX_UNLABELLED = 3_000, 8_000
+POSITIVE_ROWS, UNLABELLED_ROWS = 3_000, 8_000
+#: The classifiers that the estimate of the prior begins with: folds, prior, epochs; least share of P above a score that counts, and standard errors allowed for.
+FOLDS, FIRST_PRIOR, FIRST_EPOCHS, LEAST_SHARE, ERRORS = 4, 0.25, 60, 0.2, 2.0
 #: Least likelihood-ratio statistic and least number of documents of a feature with a weight.
 LEAST_G2, LEAST_DOCS = 12.0, 3
 EPOCHS, BATCH, RATE, DECAY, BETA = 240, 256, 0.3, 1e-5, 0.0
@@ -80,7 +90,7 @@ def select(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarr
     return names[(g2 >= LEAST_G2) & (counts.sum(0) >= LEAST_DOCS)]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[dict[int, float], float]:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS) -> tuple[dict[int, float], float]:
     """Weights by feature and the bias, by the non-negative risk estimator with the logistic, then the sigmoid loss (Adagrad, mini-batches)."""
     if not positive or not unlabelled:
         return {}, -math.inf
@@ -103,7 +113,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     rng = np.random.default_rng(_SEED)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     steps = math.ceil(len(unlabelled) / BATCH)
-    for epoch in range(EPOCHS):
+    for epoch in range(epochs):
         u_order = rng.permutation(len(unlabelled))
         p_order = rng.permutation(np.resize(np.arange(len(positive)), max(len(positive), 64 * steps)))
         for u, p in zip(np.array_split(u_order, steps), np.array_split(p_order, steps), strict=True):
@@ -128,10 +138,42 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     return dict(zip(names.tolist(), weights.tolist(), strict=True)), bias
 
 
-def _sample(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, rows: int) -> list[np.ndarray]:
-    """The features of a bounded sample of texts, made on the executors."""
-    ids = ids.orderBy(F.xxhash64(F.col("__lid").cast("string")), "__lid").limit(rows)
-    texts = df.join(F.broadcast(ids), F.col(id_col) == F.col("__lid"), "left_semi").select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), utf8(text_col).alias("t"))
+def risk(z_positive: np.ndarray, z_unlabelled: np.ndarray, prior: float) -> float:
+    """The non-negative risk of scores before the sigmoid, with the sigmoid loss."""
+    loss = lambda z: 1 / (1 + np.exp(np.clip(z, -40, 40)))
+    return prior * loss(z_positive).mean() + max(0.0, loss(-z_unlabelled).mean() - prior * loss(-z_positive).mean())
+
+
+def logits(model: tuple[dict[int, float], float], texts: list[np.ndarray]) -> np.ndarray:
+    weights, bias = model
+    return np.array([bias + math.fsum(weights.get(f, 0.0) for f in own.tolist()) for own in texts])
+
+
+def least_quotient(z_positive: np.ndarray, z_unlabelled: np.ndarray, least_share: float = LEAST_SHARE, errors: float = ERRORS) -> float:
+    """The least share of U above a score divided by the share of P above it, with chance allowed for, over scores that so much of P reaches."""
+    found = 1.0
+    for cut in np.unique(z_positive):
+        p, u = (z_positive >= cut).mean(), (z_unlabelled >= cut).mean()
+        if p >= least_share:
+            chance = math.sqrt(max(u, 1 / len(z_unlabelled)) * (1 - u) / len(z_unlabelled))
+            found = min(found, (u + errors * chance) / p)
+    return found
+
+
+def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> float:
+    """The share of U that is like P, between one in U and a half."""
+    scores: tuple[list, list] = ([], [])
+    for fold in range(FOLDS):
+        rest = [[x for k, x in enumerate(side) if k % FOLDS != fold] for side in (positive, unlabelled)]
+        model = fit(*rest, FIRST_PRIOR, FIRST_EPOCHS)
+        for found, side in zip(scores, (positive, unlabelled), strict=True):
+            # As shares: each fold's classifier has a scale of its own, which ends between 0 and 1.
+            found.append(1 / (1 + np.exp(-np.clip(logits(model, side[fold::FOLDS]), -40, 40))))
+    return min(0.5, max(1 / len(unlabelled), least_quotient(*map(np.concatenate, scores))))
+
+
+def _features(texts: DataFrame) -> list[np.ndarray]:
+    """The features of texts (i, t), made on the executors, one text an id, in a fixed order."""
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("f", T.BinaryType())])
 
     def run(batches):
@@ -139,19 +181,25 @@ def _sample(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, rows: int
         for batch in chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text_features(t or b"", memo).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["h", "f"])
 
-    found = sorted(zip(*(c.to_pylist() for c in texts.mapInArrow(run, schema).toArrow().columns), strict=True))
+    one = texts.select(F.xxhash64(F.col("i").cast("string")).alias("h"), "t").mapInArrow(run, schema).groupBy("h").agg(F.min("f").alias("f"))
+    found = sorted(zip(*(c.to_pylist() for c in one.toArrow().columns), strict=True))
     return [np.frombuffer(f, np.uint32) for _, f in found]
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[dict[int, float], float]:
-    """Weights and bias. labels: (id, toxic 0/1) of training rows; U is drawn from all labelled texts with their labels hidden."""
-    known = labels.toDF("__lid", "__toxic").where("__lid IS NOT NULL AND __toxic IS NOT NULL").groupBy("__lid").agg(F.max("__toxic").alias("__toxic"))
-    n, toxic = known.agg(F.count("*"), F.sum("__toxic")).first()
-    if not n or not toxic:
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float | None = None, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> tuple[dict[int, float], float]:
+    """Weights and bias. df: texts of the training side; labels: (id, toxic 0/1), of which only toxic ones are read."""
+    texts = df.select(quoted(id_col).alias("i"), utf8(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    toxic = labels.toDF("__lid", "__toxic").where("__lid IS NOT NULL AND __toxic = 1").select("__lid").distinct()
+    n, n_toxic = df.where(quoted(id_col).isNotNull()).count(), toxic.count()
+    if not n or not n_toxic:
+        return fit([], [], 0.0)
+    # About positive_rows ids, picked before any text is read.
+    picked = toxic.where(below_share(F.col("__lid"), positive_rows, n_toxic))
+    positive = _features(texts.join(F.broadcast(picked), F.col("i") == F.col("__lid"), "left_semi"))
+    unlabelled = _features(texts.where(below_share(F.col("i"), unlabelled_rows, n)))
+    if not positive or not unlabelled:
         return fit([], [], 0.0)
-    texts = df.select(id_col, text_col).where(F.col(text_col).isNotNull())
-    pick = lambda ids, rows: _sample(texts, ids.select("__lid"), id_col, text_col, rows)
-    return fit(pick(known.where("__toxic = 1"), max_positive), pick(known, max_unlabelled), min(toxic / n, 0.9))
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled) if prior is None else prior)
 
 
 def score(df: DataFrame, model: tuple[dict[int, float], float], id_cols: list, text_col: str = "text") -> DataFrame:
