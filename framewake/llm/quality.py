@@ -21,7 +21,6 @@ Other columns are never read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, load, per_text, remove, utf8, written
+from .common import chunks, load, per_text, quoted, utf8
 
 #: Buckets of the hashed n-grams (a prime): what the driver gathers is two counts for each, whatever the corpus.
 BUCKETS = 65521
@@ -40,8 +39,8 @@ WIDTH, FACTOR = 3, 8191
 PRIOR = 1000.0
 #: The least mean log ratio of a kept document.
 THRESHOLD = -0.6
-#: Trusted ids that are broadcast at once, about. More are dealt by hash into several blocks, with a pass for each.
-MAX_TRUSTED = 1_000_000
+#: Trusted ids that are broadcast at most; more are joined by a shuffle. Every one counts either way.
+MAX_BROADCAST = 1_000_000
 #: Code points hashed at once.
 _PIECE = 1 << 20
 _SYMBOLS = b"#*$%&|<>"
@@ -140,26 +139,19 @@ def score_quality(
     buckets: int = BUCKETS,
     prior: float = PRIOR,
     threshold: float = THRESHOLD,
-    max_trusted: int = MAX_TRUSTED,
+    max_broadcast: int = MAX_BROADCAST,
     keep: list | None = None,
 ) -> DataFrame:
     """A row for each row of df: the columns `keep` (the id), the five base counts, base_failed, llr (mean log ratio per n-gram), kept."""
-    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted_id")).where("__trusted_id IS NOT NULL").distinct()
-    blocks = max(1, math.ceil(ids.count() / max_trusted))
-    rows = df.select(F.col(id_col), F.col(text_col))
-    if blocks > 1:
-        ids = written(ids, "trusted")
-
-    def marked(block: int, how: str) -> DataFrame:
-        own = ids.where(F.pmod(F.xxhash64("__trusted_id"), F.lit(blocks)) == block) if blocks > 1 else ids
-        return rows.join(F.broadcast(own.withColumn("__good", F.lit(True))), F.col(id_col) == F.col("__trusted_id"), how).select(text_col, F.coalesce("__good", F.lit(False)).alias("__good"))
-
-    # The first pass counts the raw corpus, the others only their block's rows for the target.
-    counts = gram_counts(marked(0, "left"), "__good", text_col, buckets)
-    for block in range(1, blocks):
-        counts[:, 0] += gram_counts(marked(block, "inner"), "__good", text_col, buckets)[:, 0]
-    if blocks > 1:
-        remove(ids)
+    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted_id")).where("__trusted_id IS NOT NULL").distinct().withColumn("__good", F.lit(True))
+    rows, same = df.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__t")), F.col("__id") == F.col("__trusted_id")
+    good = F.coalesce("__good", F.lit(False)).alias("__good")
+    if ids.count() <= max_broadcast:
+        counts = gram_counts(rows.join(F.broadcast(ids), same, "left").select("__t", good), "__good", "__t", buckets)
+    else:
+        # Trusted rows meet their ids by a shuffle; the raw corpus is counted without one.
+        counts = gram_counts(rows.withColumn("__good", F.lit(False)), "__good", "__t", buckets)
+        counts[:, 0] = gram_counts(rows.join(ids.hint("shuffle_hash"), same).select("__t", good), "__good", "__t", buckets)[:, 0]
     ratio = log_ratios(counts, prior)
     shared = df.sparkSession.sparkContext.broadcast(ratio)
 
@@ -178,7 +170,7 @@ def score_quality(
         return work
 
     fields = [*(T.StructField(c, T.LongType()) for c in _COUNTS), T.StructField("llr", T.DoubleType())]
-    out = per_text(df, keep or [id_col], text_col, make, fields)
+    out = per_text(df, keep or [quoted(id_col)], text_col, make, fields)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
