@@ -1,15 +1,23 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Rows are dealt to blocks of bounded size by a hash of their id, queries to
-groups likewise; each pair of a block and a group is one task's work, so no task
-holds more than one of each. There the block and the group get a cover tree
-each: below a node of radius r, children are chosen farthest first until each
-point is within r / BASE of one, so children lie apart and cover all points
-(after FANOUT of them, points that none covers go to the nearest, whose radius
+Rows are dealt to clusters, each row to the nearest of up to `CLUSTERS` centres that
+a bounded sample gives, farthest first; large clusters are cut into blocks by a hash
+of the id, and queries likewise into groups. For each cluster its rows' and its
+queries' greatest distance from the centre is known. A pair of a group and a block is
+one task's work, so no task holds more than one of each. There the block and the
+group get a cover tree each: below a node of radius r, children are chosen farthest
+first until each point is within r / BASE of one, so children lie apart and cover all
+points (after FANOUT of them, points that none covers go to the nearest, whose radius
 grows to what it really takes).
-Pairs of nodes are visited best bound first; a pair is pruned when
+
+Pairs are pruned by one bound at every level, of clusters and of nodes: a pair with
 <cq, cr> + rho_q |cr| + rho_r |cq| + rho_q rho_r, the most that any query and any
-row below can score, is less than the worst kth score of the queries below.
+row below can score, less than the worst kth score of the queries below. In a task,
+pairs of nodes are visited best bound first, and a node's worst kth score is the
+least of its children's. Between tasks, each group first meets one block, of the
+cluster that promises most; its worst kth score then decides which clusters it meets
+at all, before anything is shuffled to them. Where vectors point evenly in all
+directions nothing can be pruned, and the search is a blocked product.
 Pruning is strict, so ties survive to be settled by the smaller id. What the
 blocks return for one query, k rows each, is merged by rank.
 
@@ -24,6 +32,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +41,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import load
+from .common import below_share, load, written
 
-#: Rows of a block and queries of a group (about, as a hash deals them out), points of a leaf, ratio of radii, children at most.
-BLOCK_ROWS, GROUP_ROWS, LEAF, BASE, FANOUT = 8192, 4096, 128, 1.5, 16
+#: Rows of a block and queries of a group (about, as a hash deals them out), points of a leaf, of one whose points lie in clusters, ratio of radii, children at most.
+BLOCK_ROWS, GROUP_ROWS, LEAF, LEAST, BASE, FANOUT = 8192, 4096, 128, 16, 1.5, 16
+#: Clusters at most, rows of the sample for each of them.
+CLUSTERS, SAMPLED = 256, 16
 
 
 class Node:
-    __slots__ = ("center", "children", "norm", "points", "radius", "worst")
+    __slots__ = ("center", "children", "norm", "parent", "points", "radius", "worst")
 
     def __init__(self, center: np.ndarray, points: np.ndarray, radius: float):
         self.center, self.points, self.radius = center, points, radius
         self.norm = math.sqrt(float(center @ center))
         self.children: list[Node] = []
+        self.parent: Node | None = None
         self.worst = -math.inf
 
+    def reached(self, worst: float) -> None:
+        """The worst kth score of the queries below is known to be this; a parent's is the least of its children's."""
+        node: Node | None = self
+        while node and worst > node.worst:
+            node.worst, node = worst, node.parent
+            if node:
+                worst = min(c.worst for c in node.children)
+
 
 def cover_tree(x: np.ndarray, points: np.ndarray | None = None, center: int = 0) -> Node:
     """The tree of rows `points` of x, whose root's center is row `center`."""
@@ -55,7 +75,7 @@ def cover_tree(x: np.ndarray, points: np.ndarray | None = None, center: int = 0)
     d = np.sqrt(np.maximum(((own - x[center]) ** 2).sum(1), 0))
     # Distances are rounded; a radius a little too large only prunes less.
     node = Node(x[center], points, float(d.max()) * (1 + 1e-9))
-    if len(points) <= LEAF or node.radius == 0:
+    if len(points) <= LEAST or node.radius == 0:
         return node
     centers, owner, reach = [center], np.zeros(len(points), np.int64), node.radius / BASE
     while True:
@@ -69,7 +89,12 @@ def cover_tree(x: np.ndarray, points: np.ndarray | None = None, center: int = 0)
         owner[new < d] = len(centers)
         d = np.minimum(d, new)
         centers.append(int(points[far]))
+    # Few points stay together, for one product is faster than many, unless parts of them lie much closer than the whole.
+    if len(points) <= LEAF and d.mean() > node.radius / 4:
+        return node
     node.children = [cover_tree(x, points[owner == k], c) for k, c in enumerate(centers) if (owner == k).any()]
+    for child in node.children:
+        child.parent = node
     return node
 
 
@@ -78,8 +103,8 @@ def bound(q: Node, r: Node) -> float:
     return most + 1e-9 * (1 + abs(most))
 
 
-def dual_tree(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (ids, scores) of its k best rows of another id; by score, ties to the smaller id."""
+def dual_tree(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, met: Callable[[int], None] = lambda pairs: None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (ids, scores) of its k best rows of another id; by score, ties to the smaller id. met: told of each number of (query, row) pairs that are compared."""
     order = np.argsort(row_ids, kind="stable")
     rows, row_ids = rows[order], row_ids[order]
     exact = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1]) < 2**53
@@ -90,6 +115,7 @@ def dual_tree(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
 
     def base(q: Node, r: Node) -> None:
         at = np.sort(r.points)
+        met(len(q.points) * len(at))
         score = qi[q.points] @ ri[at].T
         score = np.where(query_ids[q.points][:, None] == row_ids[at][None, :], best.dtype.type(-np.inf) if exact else -np.iinfo(np.int64).max, score)
         hit = score.max(1) >= best[q.points, -1]
@@ -101,7 +127,7 @@ def dual_tree(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
         # Rows are in id order, so of equal scores the smaller position is the smaller id.
         first = np.lexsort((a, -s), axis=1)[:, :k]
         best[who], best_at[who] = np.take_along_axis(s, first, 1), np.take_along_axis(a, first, 1)
-        q.worst = float(best[q.points, -1].min())
+        q.reached(float(best[q.points, -1].min()))
 
     queue, n = [(-bound(q_root, r_root), 0, q_root, r_root)], 1
     while queue:
@@ -113,8 +139,6 @@ def dual_tree(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_
             continue
         if q.children and (q.radius >= r.radius or not r.children):
             pairs = [(c, r) for c in q.children]
-            for c in q.children:
-                c.worst = max(c.worst, q.worst)
         else:
             pairs = [(q, c) for c in r.children]
         for a, b in pairs:
@@ -133,37 +157,115 @@ def finite(vector_col: str) -> Column:
     return F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
 
 
-def top_k(df: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(query_id, rank, id, score) of each query's k best other rows by inner product of whole numbers held as doubles."""
-    rows = df.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(finite(vector_col), F.lit(False))).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
-    )
-    n, n_queries = rows.agg(F.count("*"), F.coalesce(F.count_if("q"), F.lit(0))).first()
-    blocks, groups = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n_queries / group_rows))
-    h = F.xxhash64("id")
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    dealt = rows.select("id", "v", F.lit(False).alias("q"), F.pmod(h, F.lit(blocks)).cast("int").alias("b"), each(groups).alias("g")).unionByName(
-        rows.where("q").select("id", "v", "q", each(blocks).alias("b"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("g"))
+def farthest_first(x: np.ndarray, count: int) -> np.ndarray:
+    """Up to `count` different rows of x, each the farthest from those before."""
+    chosen, d = [0], ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < count and d.max() > 0:
+        chosen.append(int(d.argmax()))
+        d = np.minimum(d, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+def _by_length(vectors: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, matrix) of the vectors of each length."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = np.array(vectors.value_lengths())
+    return [(int(n), at, vectors.take(pa.array(at)).flatten().to_numpy().reshape(len(at), n)) for n in np.unique(sizes) for at in [np.flatnonzero(sizes == n)]]
+
+
+def _centres(rows: DataFrame, n: int, clusters: int) -> dict[int, np.ndarray]:
+    """For each length in a bounded sample, centres."""
+    if clusters == 1:
+        sample = rows.select("v").limit(SAMPLED)
+    else:
+        sample = rows.where(below_share(F.col("id"), clusters * SAMPLED, n)).select("v").limit(4 * clusters * SAMPLED)
+    found = [x for batch in sample.toArrow().to_batches() if batch.num_rows for x in _by_length(batch.column(0))]
+    return {size: farthest_first(np.concatenate([x for s, _, x in found if s == size]), clusters) for size in {s for s, *_ in found}}
+
+
+_PLACED = "id long, v array<double>, q boolean, size int, c int, away double"
+
+
+def _placed(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """rows with their length, the nearest centre of that length (0, which is the origin, where the sample has none), and the distance from it."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size, c, away = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for n, at, x in _by_length(batch.column(1)):
+                own = shared.value.get(n, np.zeros((1, n)))
+                near = ((own**2).sum(1)[None, :] - 2 * x @ own.T).argmin(1)
+                size[at], c[at], away[at] = n, near, np.sqrt(((x - own[near]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(c), pa.array(away)], names=["id", "v", "q", "size", "c", "away"])
+
+    return rows.mapInArrow(run, _PLACED)
+
+
+def _searched(placed: DataFrame, pairs: list[tuple], k: int) -> DataFrame:
+    """(qc, query_id, id, score): the k best of each query in each block it meets. pairs: (size, qc, groups, rc, blocks, only), where only is one block's number, or null for all blocks of the cluster."""
+    met = F.broadcast(placed.sparkSession.createDataFrame(pairs, "size int, qc int, groups int, rc int, blocks int, only int"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    row_block, group = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("groups")).cast("int")
+    rows = placed.withColumnRenamed("c", "rc").join(met, ["size", "rc"]).withColumn("b", row_block).where("only IS NULL OR only = b")
+    asked = placed.where("q").withColumnRenamed("c", "qc").join(met, ["size", "qc"]).withColumn("g", group)
+    key = ["size", "qc", "g", "rc", "b"]
+    dealt = rows.withColumn("g", F.explode(each(F.col("groups")))).select(*key, "id", "v", F.lit(False).alias("q")).unionByName(
+        asked.withColumn("b", F.explode(F.when(F.col("only").isNull(), each(F.col("blocks"))).otherwise(F.array("only")))).select(*key, "id", "v", "q")
     )
 
     def work(table: pa.Table) -> pa.Table:
-        sizes = np.array(table.column("v").combine_chunks().value_lengths())
         ids, is_q = table.column("id").to_numpy(), table.column("q").to_numpy()
         out: tuple[list, list, list] = ([], [], [])
-        for size in np.unique(sizes):
-            own = sizes == size
-            x = table.filter(pa.array(own)).column("v").combine_chunks().flatten().to_numpy().reshape(own.sum(), size)
-            i, q = ids[own], is_q[own]
-            if not q.any() or q.all():
-                continue
-            for query, (at, score) in zip(i[q], dual_tree(x[q], i[q], x[~q], i[~q], k), strict=True):
+        if is_q.any() and not is_q.all():
+            (_, _, x), q = _by_length(table.column("v"))[0], ids[is_q]
+            for query, (at, score) in zip(q, dual_tree(x[is_q], q, x[~is_q], ids[~is_q], k), strict=True):
                 out[0].append(np.full(len(at), query))
                 out[1].append(at)
                 out[2].append(score)
         join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        return pa.table({"query_id": join(out[0]), "id": join(out[1]), "score": join(out[2])})
+        qc = np.full(sum(map(len, out[0])), table.column("qc")[0].as_py(), np.int32)
+        return pa.table({"qc": qc, "query_id": join(out[0]), "id": join(out[1]), "score": join(out[2])})
+
+    return dealt.groupBy(*key).applyInArrow(work, "qc int, query_id long, id long, score long")
+
+
+def top_k(df: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(query_id, rank, id, score) of each query's k best other rows by inner product of whole numbers held as doubles."""
+    rows = df.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(finite(vector_col), F.lit(False))).select(
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
+    )
+    n = rows.count()
+    centres = _centres(rows, n, max(1, min(CLUSTERS, math.ceil(n / block_rows))))
+    placed = written(_placed(rows, centres), "placed")
+    # One row for each length and cluster.
+    stats = placed.groupBy("size", "c").agg(F.count("*").alias("rows"), F.max("away").alias("away"), F.count_if("q").alias("asked"), F.max(F.when(F.col("q"), F.col("away"))).alias("q_away")).collect()
+    of: dict[int, list] = {}
+    for r in stats:
+        of.setdefault(r["size"], []).append(r)
+
+    def node(r, away: float) -> Node:
+        return Node(centres.get(r["size"], np.zeros((1, r["size"])))[r.c], np.zeros(0, np.int64), away * (1 + 1e-9))
 
-    found = dealt.groupBy("b", "g").applyInArrow(work, "query_id long, id long, score long")
+    meets = []
+    for size, own in of.items():
+        for q in (r for r in own if r.asked):
+            bounds = [bound(node(q, q.q_away), node(r, r.away)) for r in own]
+            meets += [(size, q, r, b, b == max(bounds)) for r, b in zip(own, bounds, strict=True)]
+    number = lambda size, q, r, only: (size, q.c, math.ceil(q.asked / group_rows), r.c, math.ceil(r.rows / block_rows), only)
+    once = {(size, q.c): r for size, q, r, _, best in meets if best}
+    first = written(_searched(placed, [number(size, q, r, 0) for size, q, r, _, _ in meets if once[size, q.c] is r], k), "first")
+    # The worst kth score of a cluster's queries; none for a cluster in which a query has fewer than k so far.
+    reached = first.groupBy("qc", "query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).join(placed.where("q").select(F.col("id").alias("query_id"), "size").distinct(), "query_id")
+    worst = {(r["size"], r.qc): (r.n, r.kth) for r in reached.where(F.col("n") >= k).groupBy("size", "qc").agg(F.countDistinct("query_id").alias("n"), F.min("kth").alias("kth")).collect()}
+    asked = {(r["size"], r.c): r.n for r in placed.where("q").groupBy("size", "c").agg(F.countDistinct("id").alias("n")).collect()}
+    limit = lambda size, q: worst[size, q.c][1] if worst.get((size, q.c), (0, 0))[0] == asked[size, q.c] else -math.inf
+    rest = [(size, q, r) for size, q, r, b, _ in meets if b >= limit(size, q)]
+    # Of the cluster that came first, the other blocks.
+    more = [number(size, q, r, None if once[size, q.c] is not r else j) for size, q, r in rest for j in (range(1, math.ceil(r.rows / block_rows)) if once[size, q.c] is r else [0])]
+    found = first if not more else first.unionByName(_searched(placed, more, k))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
