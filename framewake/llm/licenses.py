@@ -5,7 +5,8 @@ hold a cue word are compared. Weights are tf * idf, with idf over all such
 segments of the corpus for words of templates (a bounded vocabulary, so its
 counts are gathered and broadcast) and that of a word never seen for all others.
 Notices are wrapped, so runs of up to JOINED consecutive segments around a cue word
-are compared as well, with the same weights. A file's header license is that of an
+are compared as well, with the same weights, and so is the whole text of a file whose
+name is that of a license file. A file's header license is that of an
 SPDX-License-Identifier (the first id of its expression), else that of its best
 segment or run with a cosine of at least `least`, ties to segments, then to the
 template listed first. A file is a license file if its name
@@ -32,8 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, written
+from .common import load, quoted, written
 
+# Parts of license texts.
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_NO_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_DISCLAIMED = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 #: License ids and how they are stated.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -57,6 +64,17 @@ TEMPLATES = (
     ("CC0-1.0", "Released under CC0 1.0 Universal, dedicated to the public domain."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "Copyright. All rights reserved."),
+    # Titles, which stand alone on a line.
+    ("MIT", "The MIT License (MIT)"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    # Whole texts, which license files are held against.
+    ("MIT", _GRANT + _AS_IS),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-3-Clause", _CONDITIONS + _NO_NAMES + _DISCLAIMED),
+    ("BSD-2-Clause", _CONDITIONS + _DISCLAIMED),
 )
 CUE = r"(?i)licen[cs]e|copyright|public domain|permission|redistribut|rights reserved|\bCC0\b|\bSPDX\b"
 #: Consecutive lines at most that are compared as one.
@@ -83,18 +101,20 @@ def _joined(lines: str) -> Column:
             e -> IF(e <= size({lines}), concat_ws(' ', slice({lines}, i + 1, e - i)), NULL)))))), w -> w IS NOT NULL))""")
 
 
-def headers(df: DataFrame, keep: list[str], text_col: str = "text", templates: tuple = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """The columns `keep`, license, score (null without a match) and share (of its words in matching segments)."""
+def headers(df: DataFrame, keep: list[str], text_col: str = "text", templates: tuple = TEMPLATES, least: float = LEAST, whole: Column | None = None) -> DataFrame:
+    """The columns `keep`, license, score (null without a match) and share (of its words in matching segments). whole: rows whose whole text is compared besides."""
     text = F.col(text_col).cast("string")
+    as_one = F.array() if whole is None else F.when(whole & text.rlike(CUE), F.array(text)).otherwise(F.array())
     own = F.when(text.rlike(CUE), F.filter(F.split(text, _SEGMENT_END, -1), lambda s: s.rlike(CUE)))
     n_words = F.when(text.rlike(CUE), F.regexp_count(F.lower(text), F.lit(_WORD))).otherwise(0)
     lines = F.when(text.rlike(CUE), F.filter(F.split(text, _SEGMENT_END, -1), lambda s: s.rlike(f"(?i){_WORD}")))
     stated = F.nullif(F.regexp_extract(text, _SPDX, 1), F.lit(""))
     marked = lambda c, one: F.transform(c, lambda s: F.struct(s.alias("s"), F.lit(one).alias("one")))
-    rows = df.select(F.monotonically_increasing_id().alias("__n"), F.struct(*keep, stated.alias("__stated")).alias("__row"), n_words.alias("__words"), own.alias("__s"), lines.alias("__lines"))
-    rows = rows.withColumn("__both", F.concat(marked(F.col("__s"), 1), marked(_joined("__lines"), 0)))
-    segments = rows.select(F.explode_outer("__s").alias("__segment"))
-    windows = rows.select("__n", "__row", "__words", F.posexplode_outer("__both").alias("__pos", "__b")).select("__n", "__row", "__words", "__pos", F.col("__b.s").alias("__segment"), F.col("__b.one").alias("__one"))
+    rows = df.select(F.monotonically_increasing_id().alias("__n"), F.struct(*keep, stated.alias("__stated")).alias("__row"), n_words.alias("__words"), own.alias("__s"), lines.alias("__lines"), as_one.cast("array<string>").alias("__whole"))
+    rows = rows.withColumn("__both", F.concat(marked(F.col("__s"), 1), marked(_joined("__lines"), 0), marked(F.col("__whole"), 0)))
+    # Written, so that texts are cut once, and the row numbers stand.
+    windows = written(rows.select("__n", "__row", "__words", F.posexplode_outer("__both").alias("__pos", "__b")).select("__n", "__row", "__words", "__pos", F.col("__b.s").alias("__segment"), F.col("__b.one").alias("__one")), "segments")
+    segments = windows.where("__one = 1").select("__segment")
     vectors = [Counter(re.findall(_WORD, t.lower())) for _, t in templates]
     vocabulary = sorted(set().union(*vectors))
     spark = df.sparkSession
@@ -145,9 +165,10 @@ def _parent(path: Column) -> Column:
 
 def scan_licenses(df: DataFrame, id_col: str, path_col: str, text_col: str = "text", templates: tuple = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(id, path, license, how: file | header | inherited | none, score, from_dir), a row for each row of df."""
-    rows = df.select(F.col(id_col).alias("__id"), F.col(path_col).cast("string").alias("__path"), F.col(text_col).alias("__text"))
-    found = written(headers(rows, ["__id", "__path"], "__text", templates, least), "licenses")
-    is_file = F.col("license").isNotNull() & (F.coalesce(F.col("__path").rlike(_NAME), F.lit(False)) | (F.col("share") >= 0.5))
+    rows = df.select(quoted(id_col).alias("__id"), quoted(path_col).cast("string").alias("__path"), quoted(text_col).alias("__text"))
+    named = F.coalesce(F.col("__path").rlike(_NAME), F.lit(False))
+    found = written(headers(rows, ["__id", "__path"], "__text", templates, least, named), "licenses")
+    is_file = F.col("license").isNotNull() & (named | (F.col("share") >= 0.5))
     files = found.withColumn("__dir", _parent(F.col("__path"))).withColumn("how", F.when(is_file, "file").when(F.col("license").isNotNull(), "header"))
     at = files.where("how = 'file' AND __dir IS NOT NULL").groupBy("__dir").agg(F.min(F.struct("__path", "license")).alias("f")).select(F.col("__dir").alias("from_dir"), F.col("f.license").alias("__inherited"))
     bare = files.where("license IS NULL AND __dir IS NOT NULL").select("__dir").distinct()
@@ -166,7 +187,7 @@ def scan_licenses(df: DataFrame, id_col: str, path_col: str, text_col: str = "te
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:
-    """The documents as files of a tree: a directory for each source and, in it, for each hundred ids."""
+    """The documents as files of a tree that is made up, as they have no paths: a directory for each source and, in it, for each hundred ids. What is inherited here shows the operator, not a fact about these documents."""
     docs = load(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("CAST(doc_id DIV 100 AS STRING)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return scan_licenses(docs.withColumn("path", path), "doc_id", "path")
