@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_text
+from .common import load, per_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "local_phone")
@@ -170,17 +170,71 @@ def redact(text: str | None, spans: list) -> str | None:
 
 
 def span_digest(spans: str = "spans", base: tuple[str, ...] = BASE_KINDS):
-    """The columns of base kinds' counts, the digest of base spans, and all spans as text."""
+    """The columns of base kinds' counts, the digest of base spans, all spans as text, their scores in the same order, their number and the best score (0 without spans)."""
     as_text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda *kinds: F.filter(F.col(spans), lambda s: s["kind"].isin(*kinds))
     return [
         *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base),
         F.sha2(as_text(of(*base)).cast("binary"), 256).alias("base_sha256"),
         as_text(F.col(spans)).alias("spans"),
+        F.array_join(F.transform(spans, lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
+        F.size(spans).cast("long").alias("n_spans"),
+        F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0)).alias("best_score"),
     ]
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
-    from .common import load
-
     return find_pii(load(spark, sf_dir, "documents")).select("doc_id", *span_digest())
+
+
+def _duck_spans(kind: str, pattern: str, ok: str = "true") -> str:
+    """(r, kind, s, e, m) of a pattern's leftmost matches: matches and what lies between them give places."""
+    return f"""SELECT r, {KINDS.index(kind)} AS kind, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, m FROM (
+  SELECT r, m, sum(length(m) + length(p)) OVER (PARTITION BY r ORDER BY i) AS e FROM (SELECT r, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, generate_subscripts(ms, 1) AS i
+    FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS ps FROM d))) WHERE {ok}"""
+
+
+def _op10_sql() -> str:
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn_sum = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({digits}[-i] AS INT) ELSE (2 * CAST({digits}[-i] AS INT)) // 10 + (2 * CAST({digits}[-i] AS INT)) % 10 END))"
+    base = [
+        _duck_spans("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+        _duck_spans("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR TRY_CAST(p AS HUGEINT) > 255)) = 0"),
+        _duck_spans("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 13 AND 19 AND {luhn_sum} % 10 = 0"),
+        _duck_spans("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+    ]
+    lengths = ", ".join(f"('{c}', {n})" for c, n in _IBAN_LENGTH.items())
+    # RE2 has no word borders beyond ASCII, so what may stand beside a word is spelled out.
+    begins, ends = r"(^|[^\pL\pN_])", r"([^\pL\pN_]|$)"
+    context = {"email": "e-?mail|contact|write to", "ip": f"{begins}ip{ends}|address|host|server", "card": "card|visa|master|amex|credit|pay", "iban": "iban|account|bank"}
+    context["phone"] = context["local_phone"] = f"phone|{begins}tel|call|mobile|fax"
+    near = "CASE kind " + " ".join(f"WHEN {k} THEN regexp_matches(before, '(?i){context[name]}')" for k, name in enumerate(KINDS)) + " END"
+    score = "CASE kind " + " ".join(f"WHEN {k} THEN CASE WHEN near THEN {min(1.0, _SCORE[name] + _BONUS):.2f} ELSE {_SCORE[name]:.2f} END" for k, name in enumerate(KINDS)) + " END"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+base AS ({" UNION ALL ".join(base)}),
+heads AS (SELECT r, s, t[s + 1:s + 80] AS w, t FROM ({_duck_spans("iban", "[A-Z]{2}[0-9]{2}")}) JOIN d USING (r) WHERE s = 0 OR NOT regexp_matches(t[s:s], '[A-Za-z0-9]')),
+runs AS (SELECT r, s, t, regexp_extract(w, '^[A-Z]{{2}}[0-9]{{2}}(?:\\x20?[A-Z0-9]){{11,30}}') AS run FROM heads),
+lengths AS (SELECT * FROM (VALUES {lengths}) v(country, n)),
+ends AS (SELECT r, s, t, run, unnest(range(15, length(replace(run, ' ', '')) + 1)) AS k, list_filter(range(1, length(run) + 1), lambda i: run[i] <> ' ') AS places, run[1:2] AS country FROM runs WHERE run <> ''),
+tried AS (SELECT r, s, t, k, run, places[k] AS size, country FROM ends WHERE NOT regexp_matches(t[s + places[k] + 1:s + places[k] + 1], '[A-Za-z0-9]')),
+summed AS (SELECT r, s, k, size, lengths.n, replace(run[1:size], ' ', '') AS x FROM tried LEFT JOIN lengths USING (country) WHERE lengths.n IS NULL OR lengths.n = k),
+valid AS (SELECT r, s, s + max(size) AS e FROM summed WHERE list_reduce(list_transform(string_split(x[5:] || x[1:4], ''), lambda c: CASE WHEN c <= '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1 GROUP BY r, s),
+ibans AS (SELECT r, {KINDS.index("iban")} AS kind, s, e FROM valid v WHERE NOT EXISTS (SELECT 1 FROM valid o WHERE o.r = v.r AND o.s < v.s AND o.e > v.s)),
+cores AS (SELECT r, s, e, t FROM ({_duck_spans("local_phone", r"[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}")}) JOIN d USING (r)),
+locals AS (SELECT r, {KINDS.index("local_phone")} AS kind, s - CAST(s > 0 AND t[s:s] = '(' AS BIGINT) AS s, e, t FROM cores WHERE NOT regexp_matches(t[e + 1:e + 1], '[0-9]')),
+spans AS (
+  SELECT r, kind, s, e FROM base UNION ALL SELECT * FROM ibans
+  UNION ALL SELECT r, kind, s, e FROM locals l WHERE (s = 0 OR NOT regexp_matches(t[s:s], '[0-9+(.-]')) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = l.r AND b.kind IN (2, 3) AND b.s < l.e AND l.s < b.e)
+),
+seen AS (SELECT r, kind, s, e, CASE WHEN s > 48 AND regexp_matches(t[s - 48:s - 48], '[\\pL\\pN_]') THEN '_' ELSE ' ' END || t[greatest(1, s - 47):s] AS before FROM spans JOIN d USING (r)),
+judged AS (SELECT *, {near} AS near FROM seen),
+kept AS (SELECT *, {score} AS score, concat(list_extract({list(KINDS)!r}, kind + 1), ':', s, ':', e) AS x FROM judged WHERE kind <> {KINDS.index("local_phone")} OR near)
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(BASE_KINDS))},
+  sha256(coalesce(string_agg(x, ',' ORDER BY kind, s) FILTER (kind < {len(BASE_KINDS)}), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY kind, s), '') AS spans,
+  coalesce(string_agg(format('{{:.2f}}', score), ',' ORDER BY kind, s), '') AS scores, count(x) AS n_spans, CAST(coalesce(max(score), 0) AS DOUBLE) AS best_score
+FROM d LEFT JOIN kept USING (r) GROUP BY r, doc_id
+"""
+
+
+OP10_SQL = _op10_sql()

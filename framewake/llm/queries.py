@@ -15,4 +15,4 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
 }
 
-SQL = {"op2_ngram_join": ngram_join.OP2_SQL, "op3_quality": quality.OP3_SQL, "op6_secrets": secrets.OP6_SQL, "op7_licenses": licenses.OP7_SQL, "op8_topk": topk.OP8_SQL}
+SQL = {"op2_ngram_join": ngram_join.OP2_SQL, "op3_quality": quality.OP3_SQL, "op6_secrets": secrets.OP6_SQL, "op7_licenses": licenses.OP7_SQL, "op8_topk": topk.OP8_SQL, "op10_pii": pii.OP10_SQL}
