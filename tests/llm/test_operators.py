@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from framewake.llm import bpe, langid, licenses, mixing, ngram_join, pii, quality, secrets, topk, toxicity
+from framewake.llm import bpe, common, langid, licenses, mixing, ngram_join, pii, quality, secrets, topk, toxicity
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, n_words string, spans string, score double"
@@ -143,13 +143,24 @@ def test_bpe_equals_the_library(spark, real):
 
 
 def test_bpe_with_a_full_memo(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 10)
+    monkeypatch.setattr(common, "MEMO_BYTES", 2000)
     coder = bpe.Bpe(bpe.read_vocabulary(bpe.word_vocabulary()))
     texts = [" ".join(f"w{i}x{k}" for i in range(20)) for k in range(5)]
     fresh = [bpe.Bpe(bpe.read_vocabulary(bpe.word_vocabulary())).encode([t])[0] for t in texts[:2]]
     assert [coder.encode([t])[0] for t in texts[:2]] == fresh
 
 
+def test_bpe_odd_tables(spark):
+    path = bpe.word_vocabulary()
+    df = docs(spark, ODD).withColumn("ids", F.lit("x")).withColumn("a.b", F.lit(1)).withColumn("n_tokens", F.lit(0))
+    twice = df.unionByName(df).unionByName(df.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    got, once = bpe.digest_documents(twice, path).collect(), by_id(bpe.digest_documents(df, path))
+    assert len(got) == 2 * len(ODD) + 2 and all(r.doc_id is None or r == once[r.doc_id] for r in got)
+    assert once[0].n_tokens == 0 and once[0].decoded_sha256 == sha256(b"").hexdigest()
+    for f in (bpe.digest_documents, bpe.encode_documents):
+        assert f(df.limit(0), path).count() == 0
+
+
 # Language
 
 
@@ -188,7 +199,7 @@ def test_language_accuracy_and_odd_rows(spark):
     base = "/root/testdata/sf0.01"
     out = langid.op5_language(spark, base).join(spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in out]) > 0.98 and all(0 <= r.score <= 1 for r in out)
-    trees = langid.train(spark.read.parquet(f"{base}/documents.parquet"), max_train_rows=50)
+    trees = langid.train(spark.read.parquet(f"{base}/documents.parquet"), train_rows=50)
     got = by_id(langid.identify(docs(spark, [*ODD, "12 + 34 = !", "日本", "the of and"]), trees, ["doc_id"]))
     und = {k for k, r in got.items() if r.lang_pred == "und"}
     assert und == {0, 1, 2, 9, 10} and all(got[k].score == 0 for k in und)
@@ -197,6 +208,20 @@ def test_language_accuracy_and_odd_rows(spark):
     assert langid.train(docs(spark, []).where("false")) == {}
 
 
+def test_many_languages_and_odd_tables(spark):
+    names = [chr(97 + k // 10) + chr(107 + k % 10) for k in range(90)]
+    rows = [(k, f"{name * 3}word {name}abc {name}xyz", name) for k, name in enumerate(names)] + [(None, "akabc", "ak"), (500, None, "al"), (501, "q", None), (0, "akword", "ak")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("l", F.lit("x")).withColumn("score", F.lit(1)).withColumn("a.b", F.lit(2))
+    trees = langid.train(df)
+    assert sorted(trees) == names
+    got = {r.doc_id: r for r in langid.identify(df.limit(90), trees, ["doc_id"]).collect()}
+    assert [got[k].lang_pred for k in range(90)] == names
+    empty = langid.identify(df.limit(0), trees, ["doc_id"])
+    assert empty.count() == 0 and empty.columns == ["doc_id", "lang_pred", "score"] and langid.train(df.limit(0)) == {}
+    few = langid.train(df.unionByName(df), train_rows=10**6)
+    assert sorted(few) == names
+
+
 # Toxicity
 
 
@@ -221,6 +246,52 @@ def test_toxicity_odd_rows_and_no_positives(spark):
     assert got[1].score > 0.7 > 0.3 > got[0].score and all(got[60 + k].score < 0.5 for k in range(len(ODD)))
 
 
+def test_toxicity_odd_tables(spark):
+    texts = [f"you idiot clown {k}" if k % 4 == 0 else f"a fine day {k}" for k in range(80)]
+    df = docs(spark, [*texts, None, ""]).withColumn("toxic", F.lit(1)).withColumn("__lid", F.lit(7)).withColumn("i", F.lit("x"))
+    twice = df.unionByName(df.limit(3)).unionByName(df.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(0, 80, 2)] + [(None, 1), (3, None), (999, 1)], "doc_id long, toxic int")
+    model = toxicity.train(twice, labels)
+    got = toxicity.score(twice, model, ["doc_id"])
+    assert got.count() == 86 and got.where("score IS NULL OR score < 0 OR score > 1").count() == 0
+    assert toxicity.score(df.limit(0), model, ["doc_id"]).count() == 0
+    empty = toxicity.train(df.limit(0), labels)
+    assert {r.score for r in toxicity.score(df, empty, ["doc_id"]).collect()} == {0.0}
+    assert toxicity.train(df, labels.where("toxic = 0")) == empty and toxicity.train(twice, labels.withColumn("toxic", F.when(F.col("toxic") == 1, 1))) == model
+
+
+def test_labels_of_clean_texts_are_never_read(spark):
+    """The same model comes out whatever is said of texts that aren't toxic."""
+    base = "/root/testdata/sf0.001"
+    df, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet").select("doc_id", "toxic")
+    assert toxicity.train(df, labels) == toxicity.train(df, labels.where("toxic = 1"))
+
+
+def plain_risk(positive, unlabelled, prior):
+    """The non-negative estimator, term by term, of lists of scores."""
+    loss = lambda z: 1 / (1 + math.exp(z))
+    mean = lambda xs: sum(xs) / len(xs)
+    called_negative = mean([loss(-z) for z in unlabelled]) - prior * mean([loss(-z) for z in positive])
+    return prior * mean([loss(z) for z in positive]) + (called_negative if called_negative > 0 else 0)
+
+
+def test_risk_and_prior_against_plain_python():
+    rng = np.random.default_rng(5)
+    p, u = rng.normal(2, 1, 300), np.append(rng.normal(2, 1, 200), rng.normal(-2, 1, 800))
+    for prior in (0.1, 0.2, 0.9):
+        assert toxicity.risk(p, u, prior) == pytest.approx(plain_risk(p.tolist(), u.tolist(), prior))
+    assert toxicity.risk(p, -np.abs(u), 0.9) == pytest.approx(plain_risk(p.tolist(), (-np.abs(u)).tolist(), 0.9))
+    # A fifth of U is like P.
+    assert 0.15 < toxicity.least_quotient(p, u) < 0.28
+    side = lambda n, toxic: [np.sort(np.array([1, *([7] if toxic else []), *rng.integers(100, 130, 4)], np.uint32)) for _ in range(n)]
+    positive, unlabelled = side(200, True), side(120, True) + side(480, False)
+    assert 0.15 < toxicity.estimate_prior(positive, unlabelled) < 0.3
+    # Training lowers the risk that it is meant to lower.
+    model, nothing = toxicity.fit(positive, unlabelled, 0.2), ({}, 0.0)
+    of = lambda m: toxicity.risk(toxicity.logits(m, positive), toxicity.logits(m, unlabelled), 0.2)
+    assert of(model) < 0.1 < of(nothing)
+
+
 def test_pu_risk_is_corrected():
     rng = np.random.default_rng(0)
     side = lambda n, toxic: [np.sort(np.array([1, *([7] if toxic else []), *rng.integers(100, 130, 4)], np.uint32)) for _ in range(n)]
@@ -266,6 +337,31 @@ def test_topk_odd_rows(spark):
     assert topk.top_k(df.limit(0), F.lit(True), 20).count() == 0
 
 
+def test_trees_prune_clustered_vectors():
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(40, 16))
+    middle = np.rint(3000 * middle / np.linalg.norm(middle, axis=1)[:, None])
+    x = middle[rng.integers(0, 40, 8000)] + rng.integers(-4, 5, (8000, 16))
+    ids, pairs = np.arange(8000), []
+    got = topk.dual_tree(x[:400], ids[:400], x, ids, 20, pairs.append)
+    assert sum(pairs) < 400 * 8000 / 10
+    want = brute_top(ids, x.astype(np.int64), ids < 400, 20)
+    assert {(int(ids[i]), r + 1, int(j), int(s)) for i, (at, score) in enumerate(got) for r, (j, s) in enumerate(zip(at, score, strict=True))} == want
+
+
+def test_clusters_are_pruned_before_the_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(30, 8))
+    middle = np.rint(5000 * middle / np.linalg.norm(middle, axis=1)[:, None])
+    x = middle[rng.integers(0, 30, 3000)] + rng.integers(-3, 4, (3000, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    met, real = [], topk._searched
+    monkeypatch.setattr(topk, "_searched", lambda placed, pairs, k: (met.extend(pairs), real(placed, pairs, k))[1])
+    got = topk.top_k(df, F.col("vec_id") % 9 == 0, 20, block_rows=100, group_rows=50)
+    assert {tuple(r) for r in got.collect()} == brute_top(np.arange(3000), x.astype(np.int64), np.arange(3000) % 9 == 0, 20)
+    assert len(met) < 30 * 30 / 4
+
+
 def test_tree_covers():
     x = np.random.default_rng(1).normal(size=(3000, 8)) * 20
 
@@ -315,6 +411,83 @@ def test_mixing(spark):
     assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(df.repartition(3)).collect()))
 
 
+def plain_draw(quotas, whole, blocks, shards, seed):
+    """The shards' units by the definition: the tree halves quotas, shards take turns at permuted units."""
+
+    def halves(own, n, s):
+        if n == 1:
+            return [own]
+        total, left = sum(own), n // 2
+        rng = np.random.default_rng([s, n, total])
+        taken = rng.multivariate_hypergeometric(own, total * left // n, method="marginals").tolist() if total else [0] * len(own)
+        return halves(taken, left, 2 * s + 1) + halves([a - b for a, b in zip(own, taken, strict=True)], n - left, 2 * s + 2)
+
+    per_shard, out = halves(quotas, shards, seed), {}
+    for i, own in enumerate(blocks):
+        rng = np.random.default_rng([seed, i])
+        units = []
+        for k in range(whole[i] + 1):
+            units += [(b, k) for b in rng.permutation(own).tolist()]
+        order = iter([units[k] for k in rng.permutation(quotas[i])])
+        for shard in range(shards):
+            for _ in range(per_shard[shard][i]):
+                b, k = next(order)
+                out[i, b, k] = shard
+    return out
+
+
+def test_draw_against_plain_python():
+    quotas, whole, blocks = [700, 33, 0, 5], [2, 0, 0, 1], [list(range(256)), list(range(64)), [1, 2], [0, 1, 2]]
+    got = mixing.draw(quotas, whole, blocks, 16, 3)
+    assert {(i, b, k): shard for i, own in enumerate(got) for b, units in own.items() for k, shard in units} == plain_draw(quotas, whole, blocks, 16, 3)
+    assert [sum(map(len, own.values())) for own in got] == quotas
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_mix_against_plain_python(spark, monkeypatch, few):
+    """What each row is taken for, from the definition, with many and with few blocks a source."""
+    if few:
+        monkeypatch.setattr(mixing, "PLAN_ROWS", 24)
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    rng = random.Random(8)
+    texts = [" ".join(["w"] * rng.randrange(0, 40)) for _ in range(700)]
+    df = docs(spark, texts, ["a", "b", None, "a", "a"])
+    rows = mixing.assign(df).select("*", F.xxhash64(F.col("doc_id").cast("string"), F.lit(mixing.SEED)).alias("h"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(mixing.SEED), F.lit(1)).alias("h1")).collect()
+    sources = ["a", "b", None]
+    size = {s: sum(r["__size"] for r in rows if r.source == s) for s in sources}
+    want = dict(zip(sources, mixing.targets([size[s] for s in sources]), strict=True))
+    n = {s: mixing.blocks_of(size[s], sum(size.values()), 3) for s in sources}
+    assert (max(n.values()) < 256) is few
+    place = lambda r: r.h % 256 % n[r.source]
+    sums = {s: {} for s in sources}
+    for r in rows:
+        sums[r.source][place(r)] = sums[r.source].get(place(r), 0) + r["__size"]
+    quotas, whole, cut = [], [], {}
+    for i, s in enumerate(sources):
+        passes, rest = divmod(want[s], size[s])
+        g, own = np.random.default_rng([mixing.SEED, i]), sorted(sums[s])
+        orders = [g.permutation(own).tolist() for _ in range(int(passes) + 1)]
+        more = 0
+        for b in orders[-1]:
+            if rest <= 0:
+                break
+            more += 1
+            if sums[s][b] > rest:
+                cut[i, b] = rest
+                break
+            rest -= sums[s][b]
+        quotas.append(int(passes) * len(own) + more)
+        whole.append(int(passes))
+    shard_of = plain_draw(quotas, whole, [sorted(sums[s]) for s in sources], mixing.SHARDS, mixing.SEED)
+    for i, s in enumerate(sources):
+        for b in sums[s]:
+            shards, before = [shard_of[i, b, k] for k in range(whole[i] + 1) if (i, b, k) in shard_of], 0
+            for r in sorted((r for r in rows if r.source == s and place(r) == b), key=lambda r: (r.h1, str(r.doc_id))):
+                kept = (i, b) not in cut or before + r["__size"] / 2 <= cut[i, b]
+                assert r["__shards"] == (shards if kept else shards[:-1])
+                before += r["__size"]
+
+
 def test_mixing_odd_tables(spark):
     assert mixing.assign(docs(spark, []).where("false")).count() == 0
     assert {len(r["__shards"]) for r in mixing.assign(docs(spark, [None, "", " "])).collect()} == {0}
@@ -356,6 +529,14 @@ def test_weak_parts_need_their_complement(spark):
     assert kinds == [[], ["access", "key40"], ["access"], [], ["user", "assign"], [], ["endpoint", "user", "assign"], ["assign"]]
 
 
+def test_scope_is_the_gap_between_parts(spark):
+    """However long a part is: what counts is what lies between its end and the other's start."""
+    long, short, gap = "Ab1/" * 60, "Ab1/" * 30, " " * secrets.SCOPE
+    texts = [f"password={s}{g}user=admin" for s in (short, long) for g in (" ", gap, gap + " ")] + [f"user=admin{g}password={long}" for g in (gap, gap + " ")]
+    got = by_id(secrets.scan(docs(spark, texts), ["doc_id"]))
+    assert ["user" in [secrets.KINDS[s.kind] for s in got[k].spans] for k in range(len(texts))] == [True, True, False, True, True, False, True, False]
+
+
 def test_secret_redaction_and_rows(spark):
     texts = [*ODD, 'x token = "0123456789abcdef0123456789abcdef" y', "password=abcdefgh,secret:ijklmnop", "token=aaaaaaaa"]
     df = docs(spark, texts).unionByName(docs(spark, texts).where("doc_id = 11"))
@@ -365,7 +546,12 @@ def test_secret_redaction_and_rows(spark):
     assert all(got[k] == t for k, t in enumerate(ODD))
     assert [got[k] for k in (10, 11, 12)] == ['x [SECRET]" y', "[SECRET],[SECRET]", "[SECRET]"]
     assert {r.doc_id: r.n_chars for r in out.collect()}[12] == 8
-    assert secrets.scan(df.limit(0), ["doc_id"]).count() == 0
+    assert secrets.scan(df.limit(0), ["doc_id"]).count() == 0 and secrets.redact(df.limit(0)).count() == 0
+    named = df.withColumn("a.b", F.lit(1)).withColumn("__n", F.lit("n")).withColumn("kind", F.lit(None).cast("int"))
+    again = secrets.redact(named)
+    assert again.columns == named.columns and sorted(map(str, again.select(df.columns).collect())) == sorted(map(str, out.collect()))
+    many = docs(spark, ["token=abcdefgh\n" * 3000 + "end"])
+    assert secrets.redact(many).first().text == "[SECRET]\n" * 3000 + "end"
 
 
 # Licenses
@@ -479,6 +665,43 @@ def test_join_odd_tables(spark):
     assert sorted(str(r.doc_id) for r in ngram_join.one_of_each(df).collect()) == ["1", "5", "6", "7", "None", "None"]
 
 
+def test_one_of_each_judges_rows_of_one_id(spark):
+    """Different texts under one id are different documents; a group whose first id is shared by another text keeps one row all the same."""
+    a, b, c = "a b c d e f g", "p q r s t u v w", "k l m n o p q r s"
+    rows = [(1, a, 1), (1, b, 2), (2, a, 3), (3, b.upper(), 4), (3, c, 5), (4, c, 6), (4, c, 7), (5, "", 8), (5, c, 9), (6, None, 10), (None, a, 11), (7, c + " x" * 90, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int").withColumn("a.b", F.col("k")).withColumn("__id", F.lit(1)).withColumn("doc", F.lit(2)).withColumn("node", F.lit("n"))
+    out = ngram_join.one_of_each(df)
+    assert out.columns == df.columns
+    kept = out.collect()
+    assert sorted(r.k for r in kept) == [1, 2, 5, 8, 10, 11, 12] and all(r["a.b"] == r.k for r in kept)
+    twice = ngram_join.one_of_each(df.unionByName(df).repartition(3)).collect()
+    assert sorted(r.k for r in twice if r.text and r.doc_id) == [1, 2, 5, 12]
+
+
+def test_links_of_two_sets():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint64) << np.uint64(54))
+        y = np.unique(np.append(rng.choice(x, rng.integers(1, len(x) + 1)), rng.integers(0, 400, rng.integers(0, 30)).astype(np.uint64) << np.uint64(54)))
+        both = len(set(x.tolist()) & set(y.tolist()))
+        assert ngram_join.links_of(x, y, 80) is (100 * both >= 80 * (len(x) + len(y) - both))
+
+
+@pytest.mark.parametrize("chains", [0, 4])
+def test_join_without_and_with_chains(spark, monkeypatch, chains):
+    """The exact part alone finds what chains leave, in blocks of few members and few shingles, with frequent shingles dealt out."""
+    for name, value in {"CHAINS": chains, "BLOCK": 8, "BLOCK_SHINGLES": 700, "HELD": 6, "HOT_ROWS": 20, "HOT_MEANS": 0, "BROADCAST_ROWS": 1}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    texts = near_copies(rng, words, 70, 80, 5) + near_copies(rng, words, 25, 60, 2) + near_copies(rng, words, 70, 40, 9)
+    passage = [rng.choice(words) for _ in range(60)]
+    texts += [" ".join([*passage, *(rng.choice(words) for _ in range(rng.randrange(4, 12)))]) for _ in range(60)]
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect()} == brute_components(rows)
+
+
 def test_join_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
@@ -530,6 +753,33 @@ def test_secret_sql(spark):
     assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in want.columns) for r in got.collect())
 
 
+def test_whole_license_files(spark):
+    """A license file is held against whole texts, however it is wrapped; titles and texts of two alike licenses are told apart."""
+    wrap = lambda text, width: "\n".join(text[k : k + width] for k in range(0, len(text), width)) if width else text
+    texts = {name: text for name, text in licenses.TEMPLATES[-4:]}
+    rows = [(f"p{k}{w}/LICENSE", "Copyright (c) 2020 A. Uthor\n\n" + wrap(" ".join(text.split()), 0 if not w else 10**6).replace(". ", f".{sep}"), name) for k, (name, text) in enumerate(texts.items()) for w, sep in enumerate((" ", "\n"))]
+    rows += [("t/LICENSE", "Apache License\nVersion 2.0, January 2004\n" + "filler " * 30, "Apache-2.0"), ("u/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n", "GPL-3.0"), ("v/readme", "a permission to smile", None)]
+    df = spark.createDataFrame([(k, *r[:2]) for k, r in enumerate(rows)], "doc_id long, path string, text string")
+    got = by_id(licenses.scan_licenses(df, "doc_id", "path"))
+    assert [got[k].license for k in range(len(rows))] == [name for *_, name in rows]
+    assert all(got[k].how == "file" for k in range(len(rows) - 1))
+
+
+def test_pii_sql(spark, tmp_path):
+    """The query against SQL, which has its own expressions, on documents and on hard texts, nulls, repeats and an empty table."""
+    rng = random.Random(6)
+    bits = ["DE89370400440532013000", " ", "GB82 WEST 1234 5698 7654 32", "(555) 123-4567", "555.123-4567", "+", "(", "1", "tel", "call", "é", "a", "@b.co", "x@y.zz", ".", "-", "4111111111111111", "10.1.2.3", "ip ", "FR1420041010050500013M02606", "iban", "\n", "A", "9", "001.2.3.256"]
+    made = ["".join(rng.choice(bits) for _ in range(12)) for _ in range(1500)] + [None, "", None, "hôtel 555-123-4567", "a@b.c a@b.c"]
+    own = docs(spark, made).select("doc_id", "text", "lang")
+    own = own.unionByName(own.limit(5)).unionByName(own.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    for k, df in enumerate((own.unionByName(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")), own.limit(0))):
+        df.withColumn("spans", F.lit("x")).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        con = duckdb.connect()
+        con.sql(f"create view documents as select * from '{tmp_path}/{k}/documents.parquet/*.parquet'")
+        want, got = con.sql(pii.OP10_SQL), pii.op10_pii(spark, f"{tmp_path}/{k}").collect()
+        assert sorted(want.fetchall(), key=str) == sorted((tuple(r[c] for c in want.columns) for r in got), key=str)
+
+
 def test_license_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
@@ -537,12 +787,25 @@ def test_license_sql(spark):
     assert sorted(want.fetchall(), key=str) == sorted((tuple(r[c] for c in want.columns) for r in licenses.op7_licenses(spark, DATA).collect()), key=str)
 
 
+def test_quality_odd_tables(spark, tmp_path):
+    """Repeated, null and unknown trusted ids, repeated rows, no rows, and nobody trusted."""
+    texts = [*ODD, *(" ".join(f"w{(k * j) % 37}" for j in range(80)) for k in range(1, 30))]
+    df = docs(spark, texts).withColumn("a.b", F.lit(1)).withColumn("__good", F.lit(True)).withColumn("llr", F.lit("x")).withColumn("__t", F.lit("y"))
+    twice = df.unionByName(df.limit(4)).unionByName(df.where("doc_id = 15").withColumn("doc_id", F.lit(None).cast("long")))
+    ids = lambda *k: spark.createDataFrame([(x,) for x in k], "doc_id long")
+    once, more = (sorted(map(str, quality.score_quality(twice, i).collect())) for i in (ids(12, 13, 14), ids(12, 12, 13, 14, 14, None, None, 999)))
+    assert once == more and len(once) == len(texts) + 5
+    assert quality.score_quality(df.limit(0), ids(1)).count() == 0
+    nobody = quality.score_quality(df, ids()).collect()
+    assert all(r.llr == 0 and r.kept is not r.base_failed for r in nobody)
+
+
 def test_quality_counts_every_trusted_row(spark, real):
     con = duckdb.connect()
     for t in ("documents", "labels"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want, good = con.sql(quality.OP3_SQL), quality.trusted_rows(spark, DATA)
-    cut, whole = quality.score_quality(real, good, max_trusted=2), by_id(quality.score_quality(real, good))
+    cut, whole = quality.score_quality(real, good, max_broadcast=2), by_id(quality.score_quality(real, good))
     rows = cut.collect()
     assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in want.columns) for r in rows)
     assert all(r.llr == whole[r.doc_id].llr for r in rows)
