@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -64,3 +65,32 @@ def test_tokens_and_run(spark, stages):
     assert got == sorted((d, len(e.ids), tuple(e.ids)) for (d, _), e in zip(texts, want, strict=True))
     assert sorted((r.doc_id, r.n_tokens, tuple(r.ids)) for r in pipeline.run(spark, DATA).collect()) == got
     assert secrets.KINDS[:3] == secrets.BASE_KINDS
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows and clashing or dotted names go through every stage; nothing but what a stage is for is lost."""
+    prose = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("lang = 'en' AND n_chars > 800").orderBy("doc_id").limit(8).collect()]
+    texts = [None, "", " \n", "short", *prose, prose[0], prose[0] + " token=abcdefgh1234", "a b " * 20_000, prose[1]]
+    rows = [(k, t, None if k % 3 == 0 else "en", None if k % 4 == 0 else "web", len(t or "")) for k, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, prose[2], None, None, None), (5, prose[3], "en", "web", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, name in enumerate(("a.b", "__id", "__row", "__n", "__size", "shard", "kept", "node", "ids", "spans", "`q`", "text.x", "c0")):
+        df = df.withColumn(name, F.lit(k) if k % 2 else F.lit(None).cast("string"))
+    passing = df
+    for name, stage in pipeline.STAGES:
+        out = written(stage(spark, passing, DATA), name)
+        if name != "encoding":
+            assert out.columns == df.columns, name
+        if name == "secrets":
+            assert out.count() == passing.count() and out.where("text LIKE '%abcdefgh1234%'").isEmpty()
+        if name == "near_copies":
+            assert out.where("doc_id IS NULL").count() == passing.where("doc_id IS NULL").count() and 0 < out.count() < passing.count()
+            assert out.where("doc_id = 5").count() <= 2
+        if name == "encoding":
+            assert out.count() == passing.count() and out.where("n_tokens <> size(ids) OR n_tokens IS NULL").isEmpty()
+        none = stage(spark, df.limit(0), DATA)
+        assert none.count() == 0 and (name == "encoding" or none.columns == df.columns)
+        passing = out
+    # What no stage before rejects, each takes as it comes.
+    for name, stage in pipeline.STAGES[1:]:
+        assert stage(spark, df, DATA).count() >= 0
