@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def nearest_int(x: Column) -> Column:
@@ -13,10 +11,17 @@ def nearest_int(x: Column) -> Column:
     return F.bround(x, 0).cast("long")
 
 
-@F.pandas_udf(T.DoubleType())
-def exact_round(x: pd.Series, digits: pd.Series) -> pd.Series:
-    """To so many decimals, half to even on the exact binary value; no built-in rounds that way. For tables with a row per clip, window or call."""
-    return pd.Series([None if pd.isna(v) else round(v, int(d)) for v, d in zip(x, digits, strict=True)], dtype="float64")
+def exact_round(x: Column, digits: int) -> Column:
+    """To at most 7 decimals, half to even on the exact binary value. No built-in rounds that way, so x * 10**digits is taken exactly, as the sum of two doubles. From 2**52 / 10**digits on, x stays as it is."""
+    m = float(10**digits)
+    # The upper and lower halves of x's digits: their products with m are exact, and so is the error of their sum.
+    upper = x * 134217729.0 - (x * 134217729.0 - x)
+    high, low = upper * m, (x - upper) * m
+    total = high + low
+    error = (high - (total - (total - high))) + (low - (total - high))
+    tie = F.abs(total - F.rint(total)) == 0.5
+    near = F.when(tie & (error > 0), F.ceil(total)).when(tie & (error < 0), F.floor(total)).otherwise(F.rint(total))
+    return F.when(F.abs(x) < 2.0**52 / m, near.cast("double") / m).otherwise(x)
 
 
 def fps_value(fps: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import compact_number
+from .labels import INITIALS
+from .numbers import compact_number, exact_round
 
 PROMPT_VERSION = "a3"
 
@@ -40,13 +41,36 @@ def run_tag(backend: Column, window_s: Column, stride_s: Column, started_at: Col
     return F.when(started_at.isNull(), slug).otherwise(F.concat(slug, F.lit("__"), F.date_format(started_at, "yyyyMMdd-HHmmss-SSS")))
 
 
+#: What every prompt ends with; {end} is the clip's stated length.
+_TASK = (
+    " Boxes found by a detector carry labels at their corners: {person}1, {person}2 and so on for people, {vehicle}1, {vehicle}2 and so on for vehicles of any kind; equal numbers mean nothing across the two."
+    " These labels are a help and not the truth: objects may go without one, lose it for a while, or get another."
+    " List every moment in which a person enters, leaves, opens, loads or otherwise handles a vehicle, labelled or not; passing by is none."
+    " Give person_ids and vehicle_ids as read from frames of the moment, in order of appearance, and [] where none was shown; never make one up."
+    " Give person_description, vehicle_description and interaction as text, and confidence from 0 to 1, below 0.5 where in doubt."
+    " Give start_time_s, evidence_time_s and end_time_s in seconds with decimals, so that 0 <= start_time_s <= evidence_time_s <= end_time_s <= "
+)
+_FORM = '. Answer with JSON alone: {"interactions": [...]}, the list empty if there is none.'
+
+
+def stated(seconds: Column) -> Column:
+    """Seconds as a prompt states them and answers are held against them: one decimal."""
+    return exact_round(seconds, 1)
+
+
 def prompt(clip_id: Column, duration_s: Column, start_s: Column | None = None, end_s: Column | None = None) -> Column:
-    """What a model is asked about a clip or one of its windows; times have one decimal."""
-    scope = F.format_string("Clip %s lasts %.1f s.", clip_id, duration_s)
+    """What a model is asked about a clip or one of its windows; times have one decimal, those of answers run on the clip's own clock."""
+    tenth = lambda x: F.format_string("%.1f", stated(x))
+    scope = F.concat(F.lit("Clip "), clip_id, F.lit(" lasts "), tenth(duration_s), F.lit(" s."))
     if start_s is not None:
-        scope = F.concat(scope, F.when(start_s.isNull(), "").otherwise(F.format_string(" You see %.1f s to %.1f s of it.", start_s, end_s)))
-    ask = " List every moment in which a person handles a vehicle as JSON {\"interactions\": [...]}, with person_ids, vehicle_ids, descriptions, times in seconds and a confidence from 0 to 1."
-    return F.concat(scope, F.lit(ask))
+        seen = F.concat(F.lit(" You see "), tenth(start_s), F.lit(" s to "), tenth(end_s), F.lit(" s of it; times count from the beginning of the whole clip, so what you see first is at "), tenth(start_s), F.lit("."))
+        scope = F.concat(scope, F.when(start_s.isNull(), "").otherwise(seen))
+    return F.concat(scope, F.lit(_TASK.format(**INITIALS)), tenth(duration_s), F.lit(_FORM))
+
+
+def iso_time(at: Column) -> Column:
+    """A moment in UTC to the millisecond, as ISO 8601 has it."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
 
 
 def merge_summary(clip_id: Column, source: Column, merged: Column, failed: Column, malformed: Column) -> Column:

@@ -5,10 +5,9 @@ frames: (clip_id, frame, t_s) of a regular timeline, frame k at k / per_second.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 KEY = ("run_id", "clip_id")
 
@@ -19,19 +18,23 @@ def nearest_index(t: Column, per_second: int, n_frames: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(up, n_frames - 1))
 
 
-def nearest_frame(moments: DataFrame, frames: DataFrame, reach_s: float) -> DataFrame:
-    """moments (clip_id, t_s, ...) with nearest_frame among frames at any times, ties to the lower.
+def nearest_frame(moments: DataFrame, frames: DataFrame) -> DataFrame:
+    """moments (clip_id, t_s, ...) with nearest_frame among frames at any times, ties to the lower; null where the clip has no frame.
 
-    Both are cut into bins of reach_s, the longest gap between a moment and its nearest
-    frame; a moment meets the frames of its own bin and its two neighbours.
+    Moments and frames of a clip stand in one order of time, and a moment's frame is
+    the last before or the first after it: linear, however far that is.
     """
-    if not 0 < reach_s < math.inf:
-        raise ValueError("reach_s must be positive")
-    binned = frames.select("clip_id", "frame", F.col("t_s").alias("__at"), F.floor(F.col("t_s") / reach_s).alias("__bin"))
-    asked = moments.withColumn("__id", F.monotonically_increasing_id()).withColumn("__b", F.floor(F.col("t_s") / reach_s))
-    near = asked.withColumn("__bin", F.explode(F.sequence(F.col("__b") - 1, F.col("__b") + 1))).join(binned, ["clip_id", "__bin"])
-    best = near.groupBy("__id", *moments.columns).agg(F.min_by("frame", F.struct(F.abs(F.col("__at") - F.col("t_s")), F.col("frame"))).alias("nearest_frame"))
-    return best.drop("__id")
+    shown = frames.groupBy("clip_id", F.col("t_s").alias("__t")).agg(F.min("frame").alias("frame"))
+    marks = shown.select("clip_id", "__t", F.struct("__t", "frame").alias("__f"), F.lit(None).cast(moments.schema).alias("__m"))
+    asked = moments.select("clip_id", F.col("t_s").alias("__t"), F.lit(None).cast(marks.schema["__f"].dataType).alias("__f"), F.struct(*moments.columns).alias("__m"))
+    per = Window.partitionBy("clip_id")
+    # Nulls of __f last, so that a frame at the very moment comes before it in either direction.
+    at = lambda t: F.last("__f", ignorenulls=True).over(per.orderBy(t, F.col("__f").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = marks.unionByName(asked).withColumn("__before", at(F.col("__t").asc())).withColumn("__after", at(F.col("__t").desc())).where("__m IS NOT NULL")
+    off = lambda c: F.abs(F.col(f"{c}.__t") - F.col("__t"))
+    closer = F.when(off("__before") < off("__after"), F.col("__before.frame")).when(off("__before") > off("__after"), F.col("__after.frame"))
+    nearest = F.coalesce(closer, F.least("__before.frame", "__after.frame"))
+    return near.select("__m.*", nearest.alias("nearest_frame"))
 
 
 def window_frames(windows: DataFrame, frames: DataFrame, per_second: int) -> DataFrame:
@@ -49,8 +52,11 @@ def covered_frames(sightings: DataFrame, windows: DataFrame, frames: DataFrame,
     own = sightings.where(F.col("confidence") >= min_confidence).join(sizes, "clip_id").join(spans, [*KEY, "window_index"], "left")
     lo = F.greatest(nearest_index(F.col("start_time_s"), per_second, F.col("n")), F.coalesce(F.ceil(F.col("start_s") * per_second).cast("long"), F.lit(0)))
     hi = F.least(nearest_index(F.col("end_time_s"), per_second, F.col("n")), F.coalesce(F.floor(F.col("end_s") * per_second).cast("long"), F.col("n") - 1))
-    ranges = own.withColumn("lo", lo).withColumn("hi", hi).where("hi >= lo").select(*KEY, "lo", "hi").distinct()
-    return ranges.select(*KEY, F.explode(F.sequence("lo", "hi")).alias("frame")).distinct()
+    ranges = own.withColumn("lo", lo).withColumn("hi", hi).where("hi >= lo").groupBy(*KEY, "lo").agg(F.max("hi").alias("hi"))
+    # Only what lies beyond every earlier range of its run is spread, so no frame comes twice.
+    reached = F.max("hi").over(Window.partitionBy(*KEY).orderBy("lo").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = ranges.withColumn("lo", F.greatest(F.col("lo"), F.coalesce(reached + 1, F.col("lo")))).where("hi >= lo")
+    return fresh.select(*KEY, F.explode(F.sequence("lo", "hi")).alias("frame"))
 
 
 def unexamined_frames(windows: DataFrame, frames: DataFrame, per_second: int) -> DataFrame:
@@ -69,11 +75,20 @@ def coverage(sightings: DataFrame, windows: DataFrame, frames: DataFrame, per_se
     return out.withColumn("missing", F.col("frames") - F.col("covered")).withColumn("missed", F.col("missing") - F.col("never_examined"))
 
 
-def strip_frames(covered: DataFrame, most: int = 6) -> DataFrame:
-    """At most `most` frames of each run's covered ones, evenly spread, ends included."""
-    from pyspark.sql.window import Window
+def strip_frames(covered: DataFrame, most: int = 6, evidence: DataFrame | None = None) -> DataFrame:
+    """At most `most` frames of each run's covered ones, evenly spread, ends included.
 
+    evidence: (run_id, clip_id, frame), a frame that the strip must show: where it isn't
+    chosen, it takes the place of the chosen frame nearest to it, the lower of two.
+    """
     own = Window.partitionBy(*KEY)
     at = covered.withColumn("i", F.row_number().over(own.orderBy("frame")) - 1).withColumn("n", F.count("*").over(own))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * ((F.col("n") - 1) / F.lit(max(1, most - 1))), 0).cast("int"))
-    return at.where((F.col("n") <= most) | F.array_contains(wanted, F.col("i"))).select(*KEY, "frame")
+    chosen = at.where((F.col("n") <= most) | F.array_contains(wanted, F.col("i")))
+    if evidence is None:
+        return chosen.select(*KEY, "frame")
+    shown = chosen.join(evidence.select(*KEY, F.col("frame").alias("must")), list(KEY), "left")
+    nearest = F.min(F.struct(F.abs(F.col("frame") - F.col("must")), "frame")).over(own)
+    in_strip = F.max(F.coalesce(F.col("frame") == F.col("must"), F.lit(False))).over(own)
+    gives_way = F.col("must").isNotNull() & ~in_strip & (F.col("frame") == nearest["frame"])
+    return shown.select(*KEY, F.when(gives_way, F.col("must")).otherwise(F.col("frame")).alias("frame"))

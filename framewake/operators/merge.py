@@ -67,9 +67,12 @@ def group_sightings(sightings: DataFrame) -> DataFrame:
 
 
 def with_windows(sightings: DataFrame, windows: DataFrame) -> DataFrame:
-    """sightings with window_start_s and window_end_s."""
-    spans = windows.select(*KEY, "window_index", F.col("start_s").alias("window_start_s"), F.col("end_s").alias("window_end_s"))
-    return sightings.join(spans, [*KEY, "window_index"])
+    """sightings with window_start_s and window_end_s. A sighting whose window is missing or listed twice fails the job: dropping or doubling it would be silent."""
+    at = [*KEY, "window_index"]
+    spans = windows.groupBy(*at).agg(F.count("*").alias("__listed"), F.min("start_s").alias("__start"), F.min("end_s").alias("__end"))
+    told = F.concat(F.lit("a sighting's window is missing or listed twice: "), *(F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null")), F.lit(" ")) for k in at))
+    one = lambda c: F.when(F.col("__listed") == 1, F.col(c)).otherwise(F.raise_error(told).cast("double"))
+    return sightings.join(spans, at, "left").withColumns({"window_start_s": one("__start"), "window_end_s": one("__end")}).drop("__listed", "__start", "__end")
 
 
 def ranked(grouped: DataFrame, confidence_band: float = CONFIDENCE_BAND) -> DataFrame:

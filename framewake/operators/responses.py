@@ -34,9 +34,10 @@ def parse(responses: DataFrame, text_col: str = "raw_text") -> DataFrame:
 
 def items(answers: DataFrame) -> DataFrame:
     """A row for each reported item, with its position, the item as a Variant and its JSON as it came but for number formats."""
-    good = answers.where("parse_error IS NULL")
-    out = good.select("*", F.posexplode(F.try_variant_get(F.col("payload"), "$.interactions", "array<variant>")).alias("position", "item"))
-    return out.withColumn("raw", F.call_function("get_json_object", F.col("repaired_text"), F.concat(F.lit("$.interactions["), F.col("position"), F.lit("]"))))
+    # The answer is split once; its JSON for an item is the item's share of that.
+    good = answers.where("parse_error IS NULL").withColumn("__texts", F.from_json("repaired_text", "interactions array<string>")["interactions"])
+    each = F.posexplode(F.arrays_zip(F.try_variant_get(F.col("payload"), "$.interactions", "array<variant>").alias("item"), F.col("__texts").alias("raw")))
+    return good.select("*", each.alias("position", "__item")).select(*answers.columns, "position", "__item.item", "__item.raw")
 
 
 def _not_label(initial: str):
@@ -57,9 +58,9 @@ def validated(items: DataFrame, window: bool = False, tolerance_s: float = 0.0)
     looked at only where all types are right.
     """
     c = F.col
-    out = with_numbers(items, (*TIMES, "confidence"))
-    out = settled(out, __kind=kind(c("item")), **{f"f_{n}": field(c("item"), n) for n in REQUIRED})
+    out = settled(items, __kind=kind(c("item")), **{f"f_{n}": field(c("item"), n) for n in REQUIRED})
     out = settled(out, **{f"k_{n}": kind(c(f"f_{n}")) for n in REQUIRED})
+    out = settled(out, **{f"n_{n}": F.when(c(f"k_{n}") == "number", F.try_variant_get(c(f"f_{n}"), "$", "double")) for n in (*TIMES, "confidence")})
     there = lambda n, want: (c(f"k_{n}") != "missing") & (c(f"k_{n}") != want)
     typed = [F.when(c(f"k_{n}") == "missing", f"missing:{n}") for n in REQUIRED]
     typed += [F.when(there(n, "number"), f"not_number:{n}") for n in (*TIMES, "confidence")]
@@ -75,9 +76,9 @@ def validated(items: DataFrame, window: bool = False, tolerance_s: float = 0.0)
         low, high = c("start_s") - tolerance_s, c("end_s") + tolerance_s
         ranged.append(F.when((end < low) | (start > high), "span_outside_window"))
         ranged.append(F.when(~evidence.between(low, high), "evidence_outside_window"))
-    out = settled(out, __types=F.array_compact(F.array(*typed)), __ranges=F.array_compact(F.array(*ranged)))
-    errors = F.when(c("__kind") != "object", F.array(F.lit("not_object"))).when(F.size("__types") > 0, c("__types")).otherwise(c("__ranges"))
-    return settled(out, errors=errors).drop("__kind", "__types", "__ranges", *(f"{x}_{n}" for n in REQUIRED for x in "fk"))
+    out = settled(out, __types=F.array_compact(F.array(*typed)))
+    errors = F.when(c("__kind") != "object", F.array(F.lit("not_object"))).when(F.size("__types") > 0, c("__types")).otherwise(F.array_compact(F.array(*ranged)))
+    return settled(out, errors=errors).drop("__kind", "__types", *(f"{x}_{n}" for n in REQUIRED for x in "fk"))
 
 
 def record() -> list[Column]:

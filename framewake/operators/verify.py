@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import unverified_summary
 
@@ -11,15 +12,19 @@ from ..functions.text import unverified_summary
 def verify_labels(sightings: DataFrame, times: DataFrame, tolerance_s: float, keys: tuple[str, ...] = ("run_id", "clip_id", "position")) -> DataFrame:
     """sightings with each label that was never drawn within the span, give or take, moved to the unverified lists.
 
-    An interval semi-join: distinct claims meet times on clip and label, the range
-    is what remains, and what goes back to a sighting is the set of labels it may keep.
-    Order and repeats stay, and earlier unverified labels stay in front.
+    An interval semi-join without pairs: claims and times of a clip and label stand in
+    one order, a claim where its span begins, and it holds if the next time from there
+    on is within the span. What goes back to a sighting is the set of labels it may
+    keep. Order and repeats stay, and earlier unverified labels stay in front.
     """
     claims = sightings.select(*keys, "start_time_s", "end_time_s", F.explode(F.array_distinct(F.concat("person_ids", "vehicle_ids"))).alias("label"))
-    drawn = claims.join(times.select("clip_id", "label", "t_s"), ["clip_id", "label"]).where(
-        F.col("t_s").between(F.col("start_time_s") - tolerance_s, F.col("end_time_s") + tolerance_s)
-    )
-    seen = drawn.groupBy(*keys).agg(F.collect_set("label").alias("__seen"))
+    claimed = claims.select("clip_id", "label", (F.col("start_time_s") - tolerance_s).alias("__t"), F.lit(None).cast("double").alias("__drawn"), (F.col("end_time_s") + tolerance_s).alias("__until"), F.struct(*keys).alias("__keys"))
+    drawn = times.select("clip_id", "label", F.col("t_s").cast("double").alias("__t")).distinct()
+    drawn = drawn.select("clip_id", "label", "__t", F.col("__t").alias("__drawn"), F.lit(None).cast("double").alias("__until"), F.lit(None).cast(claimed.schema["__keys"].dataType).alias("__keys"))
+    # Backwards in time: what was drawn at the very beginning of a claim comes before it.
+    later = Window.partitionBy("clip_id", "label").orderBy(F.col("__t").desc(), F.col("__drawn").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = claimed.unionByName(drawn).withColumn("__next", F.last("__drawn", ignorenulls=True).over(later)).where("__keys IS NOT NULL AND __next <= __until")
+    seen = held.select("__keys.*", "label").groupBy(*keys).agg(F.collect_set("label").alias("__seen"))
     out = sightings.join(seen, list(keys), "left").withColumn("__seen", F.coalesce("__seen", F.array().cast("array<string>")))
     for ids in ("person_ids", "vehicle_ids"):
         unsupported = F.filter(ids, lambda x: ~F.array_contains(F.col("__seen"), x))

@@ -25,7 +25,7 @@ TABLES = {
 SELECT event_id, user_id, event_type, value, CAST(floor({US} / 86400000000) AS BIGINT) AS clip, CAST(floor(({US} % 86400000000) / {TICK}) AS BIGINT) AS t
 FROM events WHERE ts IS NOT NULL""",
     "clips": """
-SELECT concat('clip', clip) AS clip_id, clip, (8640 - (clip % 5) * 3) / 10.0D AS duration_s,
+SELECT concat('clip', clip) AS clip_id, clip, (8640 - (clip % 5) * 3) / 10.0D + (clip % 7) * 0.0137D AS duration_s,
   CASE clip % 3 WHEN 0 THEN '30000/1001' WHEN 1 THEN '25/1' ELSE '6/1' END AS fps,
   CASE clip % 4 WHEN 0 THEN 3840 WHEN 1 THEN 1920 WHEN 2 THEN 1280 ELSE 352 END AS width,
   CASE clip % 4 WHEN 0 THEN 2160 WHEN 1 THEN 1080 WHEN 2 THEN 720 ELSE 288 END AS height,
@@ -73,13 +73,14 @@ def _text(dialect: dict, tick_us: int, table: str) -> str:
 
 
 def duck_cte(*tables: str, tick_us: int = TICK_US) -> str:
-    """The definitions, for DuckDB, of these tables and of all before them in TABLES that they need; windows is made by whole tenths."""
+    """The definitions, for DuckDB, of these tables and of all before them in TABLES that they need; windows are numbered tenths, the regular ones and the last."""
     names = [t for t in TABLES if t in tables or t == "ev" or (t == "clips" and "windows" in tables)]
     parts = [f"{t} AS ({_text(_DUCK, tick_us, t)})" for t in names]
     if "windows" in tables:
         parts.append("""windows AS (SELECT 'run1' AS run_id, clip_id, CAST(k AS INTEGER) AS window_index, s / CAST(10 AS DOUBLE) AS start_s, e / CAST(10 AS DOUBLE) AS end_s, CASE WHEN k % 13 = 5 OR clip % 9 = 4 AND k % 2 = 0 THEN 'TimeoutError: late' END AS error FROM (
-  SELECT clip_id, clip, k, 40 * k AS s, 40 * k + 80 AS e, d FROM (SELECT *, CAST(round(duration_s * 10) AS BIGINT) AS d FROM clips), range(0, 300) r(k) WHERE 40 * k + 80 < d
-  UNION ALL SELECT clip_id, clip, CAST(ceil((d - 80) / 40) AS BIGINT), d - 80, d, d FROM (SELECT *, CAST(round(duration_s * 10) AS BIGINT) AS d FROM clips)))""")
+  SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY s) - 1 AS k FROM (
+    SELECT clip_id, clip, 40 * k AS s, 40 * k + 80 AS e FROM clips, range(0, 300) r(k) WHERE 4 * k + 8 < duration_s
+    UNION SELECT clip_id, clip, CAST(round_even((duration_s - 8) * 10, 0) AS BIGINT), CAST(round_even(duration_s * 10, 0) AS BIGINT) FROM clips)))""")
     return "WITH RECURSIVE " + ",\n".join(parts)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .bridge import duck_cte
 
-FRAMES = "frames AS (SELECT clip_id, r.k AS frame, r.k / 2.0 AS t_s FROM clips, range(0, 1728) r(k) WHERE r.k / 2.0 < duration_s)"
+FRAMES = "frames AS (SELECT clip_id, r.k AS frame, r.k / 2.0 AS t_s FROM clips, range(0, 1800) r(k) WHERE r.k / 2.0 < duration_s)"
 DETECTIONS = """classes AS (SELECT * FROM (VALUES (0, 'person', 'person'), (2, 'car', 'vehicle'), (3, 'motorcycle', 'vehicle'), (5, 'bus', 'vehicle'), (7, 'truck', 'vehicle')) t(class_id, class_name, category)),
 detections AS (SELECT r.*, class_name, category FROM raw_detections r JOIN classes USING (class_id) WHERE track_id IS NOT NULL),
 translation AS (SELECT clip_id, category, track_id, first_frame, CAST(row_number() OVER (PARTITION BY clip_id, category ORDER BY first_frame, track_id) AS INTEGER) AS number
@@ -125,7 +125,11 @@ SQL: dict[str, str] = {
     "q_track_buffer": _sql(("clips",), "SELECT clip_id, fps, buffer_seconds, greatest(20, CAST(round_even(buffer_seconds * (CAST(split_part(fps, '/', 1) AS DOUBLE) / CAST(split_part(fps, '/', 2) AS DOUBLE)), 0) AS INTEGER)) AS frames FROM clips"),
     "q_slug": _sql(("clips",), f"SELECT clip_id, concat({_STEM('weights')}, '__', {_STEM('tracker')}, '__reid-', {_STEM('reid')}, '__imgsz', CASE WHEN height >= 1080 THEN 1280 ELSE 640 END, '__buf', CASE WHEN buffer_seconds = 3 THEN '3' ELSE '2.5' END) AS slug FROM clips"),
     "q_run_tag": f"SELECT event_id, concat(CASE WHEN event_id % 3 = 0 THEN '3.8-flash' ELSE 'local-27b' END, CASE WHEN event_id % 2 = 0 THEN concat('__w8s', {_SCALE}) ELSE '' END, '__a3', CASE WHEN event_id % 5 <> 0 THEN strftime(ts, '__%Y%m%d-%H%M%S-%g') ELSE '' END) AS tag FROM events WHERE ts IS NOT NULL",
-    "q_prompt": _sql(_W, "SELECT clip_id, window_index, format('Clip {} lasts {:.1f} s. You see {:.1f} s to {:.1f} s of it.', clip_id, duration_s, start_s, end_s) AS scope FROM windows JOIN clips USING (clip_id)"),
+    "q_prompt": _sql(_W, """SELECT clip_id, window_index, format('Clip {} lasts {:.1f} s. You see {:.1f} s to {:.1f} s of it; times count from the beginning of the whole clip, so what you see first is at {:.1f}.', clip_id, duration_s, start_s, end_s, start_s)
+  || ' Boxes found by a detector carry labels at their corners: P1, P2 and so on for people, V1, V2 and so on for vehicles of any kind; equal numbers mean nothing across the two. These labels are a help and not the truth: objects may go without one, lose it for a while, or get another.'
+  || ' List every moment in which a person enters, leaves, opens, loads or otherwise handles a vehicle, labelled or not; passing by is none. Give person_ids and vehicle_ids as read from frames of the moment, in order of appearance, and [] where none was shown; never make one up.'
+  || ' Give person_description, vehicle_description and interaction as text, and confidence from 0 to 1, below 0.5 where in doubt. Give start_time_s, evidence_time_s and end_time_s in seconds with decimals, so that 0 <= start_time_s <= evidence_time_s <= end_time_s <= '
+  || format('{:.1f}', duration_s) || '. Answer with JSON alone: {"interactions": [...]}, the list empty if there is none.' AS prompt FROM windows JOIN clips USING (clip_id)"""),
     "q_draw_metrics": _sql(("clips",), "SELECT clip_id, thickness, font_scale, halo, thickness // 2 + 1 AS clearance FROM metrics", METRICS),
     "q_box_clamp": _sql(_D, "SELECT clip_id, box_position, x_left, y_top, x_right, y_bottom FROM rects", METRICS, RECTS),
     "q_outline_rule": _sql(_D, "SELECT clip_id, box_position, w - 2 * greatest(thickness, CAST(round_even(w * 0.25, 0) AS BIGINT)) <= thickness OR h - 2 * greatest(thickness, CAST(round_even(h * 0.25, 0) AS BIGINT)) <= thickness AS outlined FROM (SELECT *, x_right - x_left + 1 AS w, y_bottom - y_top + 1 AS h FROM rects)", METRICS, RECTS),
@@ -154,10 +158,21 @@ SQL: dict[str, str] = {
   JOIN (SELECT r.clip_id, count(*) AS malformed_count FROM checked JOIN responses r USING (event_id) WHERE errors <> '' GROUP BY ALL) USING (clip_id)""", _grouped("sightings"), REPAIRED, _checked()),
     "q_summary_rollup": _sql(("sightings",), "SELECT clip_id, count(*) AS records, count(*) FILTER (len(person_ids) = 0 OR len(vehicle_ids) = 0) AS unlabelled, CAST(sum(len(person_ids)) AS BIGINT) AS people_claims, CAST(sum(len(vehicle_ids)) AS BIGINT) AS vehicle_claims FROM sightings GROUP BY ROLLUP (clip_id)"),
     "q_argmax": _sql(("sightings",), _SUREST),
-    "q_mode_compare": _sql(("sightings",), "SELECT clip_id, count(*) FILTER (event_id % 3 = 0) AS whole_records, count(*) FILTER (event_id % 5 < 4) AS windowed_records, count(*) FILTER (event_id % 5 < 4) - count(*) FILTER (event_id % 3 = 0) AS difference FROM sightings GROUP BY ALL HAVING whole_records > 0 AND windowed_records > 0"),
+    "q_mode_compare": _sql(("sightings",), "SELECT clip_id, count(*) FILTER (event_id % 3 = 0) AS whole_records, count(*) FILTER (event_id % 3 <> 0) AS windowed_records, count(*) FILTER (event_id % 3 <> 0) - count(*) FILTER (event_id % 3 = 0) AS difference FROM sightings GROUP BY ALL HAVING whole_records > 0 AND windowed_records > 0"),
     "q_batch_outcome": _sql(("calls",), "SELECT count(*) AS clips, count(*) FILTER (NOT bad) AS answered, count(*) FILTER (bad) AS failed, CASE WHEN count(*) FILTER (bad) > 0 THEN 1 ELSE 0 END AS exit_code FROM (SELECT clip_id = 'clip3' OR n = m AS bad FROM (SELECT clip_id, count(error) AS n, count(*) AS m FROM calls GROUP BY clip_id))"),
     "q_clip_order": _sql(("sightings",), "SELECT clip_id, event_id, CAST(position AS INTEGER) AS place, CASE WHEN len(person_ids) = 0 THEN 'no id' ELSE array_to_string(person_ids, ',') END AS people, interaction[1:6] AS short FROM sightings"),
-    "q_nearest_frame": _sql(("clips", "sightings"), "SELECT clip_id, event_id, arg_min(f.frame, (abs(f.t_s - m.t_s), f.frame)) AS nearest_frame FROM (SELECT clip_id, event_id, evidence_time_s % 864 AS t_s FROM sightings) m JOIN odd f USING (clip_id) JOIN (SELECT clip_id, max(t_s) AS last_s FROM odd GROUP BY ALL) USING (clip_id) WHERE m.t_s <= last_s + 1 AND abs(f.t_s - m.t_s) < 3 GROUP BY ALL", FRAMES, "odd AS (SELECT * FROM frames WHERE frame % 5 <> 2)"),
+    "q_nearest_frame": _sql(("clips", "sightings"), "SELECT clip_id, event_id, arg_min(f.frame, (abs(f.t_s - m.t_s), f.frame)) AS nearest_frame FROM (SELECT clip_id, event_id, evidence_time_s % 864 AS t_s FROM sightings) m JOIN odd f USING (clip_id) GROUP BY ALL", FRAMES, "odd AS (SELECT * FROM frames WHERE frame % 5 <> 2)"),
+    "q_display_order": _sql(("sightings",), "SELECT clip_id, event_id, row_number() OVER (PARTITION BY clip_id ORDER BY start_time_s, confidence, position) - 1 AS strip_place, row_number() OVER (PARTITION BY clip_id ORDER BY start_time_s, window_index, position) - 1 AS list_place FROM sightings"),
+    "q_label_order": _sql(_D, "SELECT clip_id, concat(CASE category WHEN 'person' THEN 'P' ELSE 'V' END, number) AS label, row_number() OVER (PARTITION BY clip_id ORDER BY category, number) - 1 AS place FROM translation", DETECTIONS),
+    "q_malformed_order": _sql(("responses",), "SELECT clip_id, event_id AS window_index, CAST(position AS INTEGER) AS position, row_number() OVER (PARTITION BY clip_id ORDER BY event_id, position) - 1 AS place FROM checked JOIN (SELECT event_id, clip_id FROM responses) USING (event_id) WHERE errors <> ''", REPAIRED, _checked()),
+    "q_shortest_clip": _sql(("clips",), "SELECT clip_id, duration_s FROM clips ORDER BY duration_s, clip_id LIMIT 1"),
+    "q_batch_lines": _sql(("calls", "sightings"), """SELECT clip_id, clip_id <> 'clip3' AND bad < n AS ok, CASE WHEN clip_id = 'clip3' THEN 'clip3: FAILED ValueError: no frames' WHEN bad = n THEN format('{}: FAILED all {} call(s) failed', clip_id, n)
+  ELSE format('{}: {} record(s) -> 2 event(s)', clip_id, coalesce(s, 0)) || CASE WHEN bad > 0 THEN format('  [{} call(s) failed, 0 malformed -- clip not fully examined]', bad) ELSE '' END END AS line
+  FROM (SELECT clip_id, count(*) AS n, count(error) AS bad FROM calls GROUP BY clip_id) LEFT JOIN (SELECT clip_id, count(*) AS s FROM sightings GROUP BY clip_id) USING (clip_id)"""),
+    "q_evidence_strip": _sql(("clips", "windows", "sightings"), """SELECT clip_id, CASE WHEN must IS NOT NULL AND NOT shown AND rank = 1 THEN must ELSE frame END AS frame FROM (
+  SELECT *, bool_or(coalesce(frame = must, false)) OVER (PARTITION BY clip_id) AS shown, row_number() OVER (PARTITION BY clip_id ORDER BY abs(frame - must), frame) AS rank FROM (
+    SELECT clip_id, frame FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY clip_id) AS n FROM covered) WHERE n <= 6 OR list_contains(list_transform(range(0, 6), lambda k: CAST(round_even(k * ((n - 1) / 5.0), 0) AS BIGINT)), i)
+  ) LEFT JOIN (SELECT clip_id, min(frame) AS must FROM covered WHERE frame % 7 = 3 GROUP BY clip_id) USING (clip_id))""", FRAMES, _COVERED.format(c=0.9)),
     "q_coverage": _sql(("clips", "windows", "sightings"), """SELECT clip_id, frames, coalesce(c.n, 0) AS covered, coalesce(u.n, 0) AS never_examined, frames - coalesce(c.n, 0) AS missing, frames - coalesce(c.n, 0) - coalesce(u.n, 0) AS missed FROM (SELECT clip_id, count(*) AS frames FROM frames GROUP BY ALL)
   LEFT JOIN (SELECT clip_id, count(*) AS n FROM covered GROUP BY ALL) c USING (clip_id) LEFT JOIN (SELECT clip_id, count(*) AS n FROM (SELECT * FROM unexamined EXCEPT SELECT * FROM covered) GROUP BY ALL) u USING (clip_id)""", FRAMES, _COVERED.format(c=0.4), _UNEXAMINED),
     "q_unexamined": _sql(("clips", "windows"), "SELECT clip_id, frame FROM unexamined", FRAMES, _UNEXAMINED),

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry, labels, numbers, text
-from ..operators import accounting, coverage, layout, merge, responses, tracks, verify, windows
-from ..storage import written
+from ..operators import accounting, coverage, layout, merge, reports, responses, tracks, verify, windows
 from .bridge import TICK_US, Bridge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,7 +195,7 @@ def q_run_tag(b: Bridge) -> DataFrame:
 def q_prompt(b: Bridge) -> DataFrame:
     own = b.windows().join(b.table("clips").select("clip_id", "duration_s"), "clip_id")
     asked = text.prompt(F.col("clip_id"), F.col("duration_s"), F.col("start_s"), F.col("end_s"))
-    return own.select("clip_id", "window_index", F.substring_index(asked, " List every", 1).alias("scope"))
+    return own.select("clip_id", "window_index", asked.alias("prompt"))
 
 
 @query
@@ -315,7 +314,8 @@ def q_run_status(b: Bridge) -> DataFrame:
 def q_run_summary(b: Bridge) -> DataFrame:
     sightings, spans = b.table("sightings"), b.windows()
     _, malformed = responses.split_items(_checked(b))
-    events = written(merge.merge_events(sightings, spans), "events")
+    # An event is a group; its fields don't count here.
+    events = merge.group_sightings(sightings).select("run_id", "clip_id", "group").distinct()
     return accounting.run_summary(sightings, events, spans, malformed).drop("run_id")
 
 
@@ -332,7 +332,8 @@ def q_argmax(b: Bridge) -> DataFrame:
 @query
 def q_mode_compare(b: Bridge) -> DataFrame:
     own = b.table("sightings")
-    return accounting.compare_modes(own.where("event_id % 3 = 0"), own.where("event_id % 5 < 4"))
+    by_whole_clip = F.coalesce(F.col("event_id") % 3 == 0, F.lit(True))
+    return accounting.compare_modes(own.where(by_whole_clip), own.where(~by_whole_clip))
 
 
 @query
@@ -350,10 +351,47 @@ def q_clip_order(b: Bridge) -> DataFrame:
 @query
 def q_nearest_frame(b: Bridge) -> DataFrame:
     moments = b.table("sightings").select("clip_id", "event_id", (F.col("evidence_time_s") % 864).alias("t_s"))
+    # Frames at uneven distances, as of a timeline with gaps.
     odd = _frames(b).where("frame % 5 <> 2")
-    last = odd.groupBy("clip_id").agg(F.max("t_s").alias("last_s"))
-    inside = moments.join(last, "clip_id").where("t_s <= last_s + 1").drop("last_s")
-    return coverage.nearest_frame(inside, odd, 2.0).select("clip_id", "event_id", "nearest_frame")
+    return coverage.nearest_frame(moments, odd).select("clip_id", "event_id", "nearest_frame")
+
+
+@query
+def q_display_order(b: Bridge) -> DataFrame:
+    own = b.table("sightings")
+    strip = reports.by_confidence(own).select("clip_id", "event_id", F.col("place").alias("strip_place"))
+    return strip.join(reports.by_window(own).select("event_id", F.col("place").alias("list_place")), "event_id")
+
+
+@query
+def q_label_order(b: Bridge) -> DataFrame:
+    return reports.label_order(tracks.translation(_boxes(b))).select("clip_id", "label", "place")
+
+
+@query
+def q_malformed_order(b: Bridge) -> DataFrame:
+    _, malformed = responses.split_items(_checked(b).withColumn("window_index", F.col("event_id")))
+    return reports.in_call_order(malformed).select("clip_id", "window_index", "position", "place")
+
+
+@query
+def q_shortest_clip(b: Bridge) -> DataFrame:
+    return reports.shortest_clip(b.table("clips"))
+
+
+@query
+def q_batch_lines(b: Bridge) -> DataFrame:
+    runs = accounting.run_status(b.table("calls")).withColumnRenamed("error", "run_error")
+    counts = b.table("sightings").groupBy("clip_id").agg(F.count("*").alias("source_interaction_count"))
+    results = runs.join(counts, "clip_id", "left").withColumns({"error": F.when(F.col("clip_id") == "clip3", "ValueError: no frames"), "merged_interaction_count": F.lit(2), "malformed_count": F.lit(0)})
+    return reports.batch_lines(results)
+
+
+@query
+def q_evidence_strip(b: Bridge) -> DataFrame:
+    hit = coverage.covered_frames(b.table("sightings"), b.windows(), _frames(b), PER_SECOND, 0.9)
+    must = hit.groupBy("run_id", "clip_id").agg(F.min(F.when(F.col("frame") % 7 == 3, F.col("frame"))).alias("frame"))
+    return coverage.strip_frames(hit, evidence=must).select("clip_id", "frame")
 
 
 @query

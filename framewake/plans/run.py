@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import accounting, merge, responses, tracks, verify
+from ..functions.text import PROMPT_VERSION, stated
 from ..operators.windows import check_window_settings, make_windows
 from ..sources.backend import Backend, ask, request
 from ..storage import written
@@ -27,7 +28,9 @@ def find_interactions(clips: DataFrame, backend: Backend, run_id: str, window_s:
     """
     check_window_settings(window_s, stride_s)
     spans = make_windows(clips, window_s, stride_s).withColumn("run_id", F.lit(run_id))
-    calls = written(ask(request(spans, clips, backend.segment_local), backend, window_s is not None), "calls")
+    # The length that the prompt tells is the one that answers are held against.
+    clips = clips.withColumn("duration_s", stated(F.col("duration_s")))
+    calls = written(ask(request(spans, clips, backend.segment_local, window_s is not None), backend, window_s is not None), "calls")
     parsed = responses.parse(calls.join(clips.select("clip_id", "duration_s"), "clip_id"))
     calls = parsed.withColumn("error", F.coalesce("error", F.when(F.col("raw_text").isNotNull(), F.col("parse_error")))).select(*calls.columns)
     items = responses.items(parsed)
@@ -62,11 +65,13 @@ def run_batch(clips: DataFrame, raw: DataFrame, backend: Backend, run_id: str, w
 
     clips: (clip_id, duration_s, fps, error); clips with an error are reported and not asked about.
     """
-    from ..sources.sinks import event_documents, write_documents, write_run
+    from ..sources.sinks import event_documents, run_documents, write_documents, write_run
 
     good = clips.where("error IS NULL")
     run = find_interactions(good, backend, run_id, *(window or (None, None)))
     events, summary = events_of(run, drawn_times(raw, good), run.calls, backend.tolerance_s)
+    config = getattr(backend, "config", dict)()
+    write_documents(run_documents(run.calls, run.malformed, run_id, config, PROMPT_VERSION), f"{path}/records")
     write_run(run.calls, events, path)
     write_documents(event_documents(events, summary), f"{path}/documents")
     status = accounting.run_status(run.calls).select("clip_id", F.col("error").alias("run_error"))

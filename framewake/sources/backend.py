@@ -49,11 +49,11 @@ class Replay:
         return Answer(text, {"total_input_tokens": float(len(prompt)), "total_output_tokens": float(len(text))})
 
 
-def request(windows: DataFrame, clips: DataFrame, segment_local: bool) -> DataFrame:
-    """windows with duration_s and prompt; a backend that sees only the segment is told the segment's length."""
+def request(windows: DataFrame, clips: DataFrame, segment_local: bool, windowed: bool = True) -> DataFrame:
+    """windows with duration_s and prompt; a backend that sees only the segment is told the segment's length, one that is asked about whole clips no window."""
     both = windows.join(clips.select("clip_id", "duration_s"), "clip_id")
-    if segment_local:
-        return both.withColumn("prompt", prompt(F.col("clip_id"), F.col("end_s") - F.col("start_s")))
+    if segment_local or not windowed:
+        return both.withColumn("prompt", prompt(F.col("clip_id"), F.col("end_s") - F.col("start_s") if segment_local else F.col("duration_s")))
     return both.withColumn("prompt", prompt(F.col("clip_id"), F.col("duration_s"), F.col("start_s"), F.col("end_s")))
 
 
@@ -65,17 +65,21 @@ def ask(requests: DataFrame, backend: Backend, windowed: bool = True) -> DataFra
             [("run_id", pa.string()), ("clip_id", pa.string()), ("window_index", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]
             + [("prompt", pa.string()), ("raw_text", pa.string()), ("usage", pa.map_(pa.string(), pa.float64())), ("error", pa.string())]
         )
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                text, usage, error = None, {}, None
-                try:
-                    a = backend.generate(r["clip_id"], r["prompt"], (r["start_s"], r["end_s"]) if windowed else None)
-                    text, usage = a.text, dict(a.usage)
-                except Exception as e:  # a call's failure is data
-                    error = f"{type(e).__name__}: {e}"
-                rows.append({**r, "raw_text": text, "usage": list(usage.items()), "error": error})
-            yield pa.RecordBatch.from_pylist(rows, schema=shape)
+        try:
+            for batch in batches:
+                rows = []
+                for r in batch.to_pylist():
+                    text, usage, error = None, {}, None
+                    try:
+                        a = backend.generate(r["clip_id"], r["prompt"], (r["start_s"], r["end_s"]) if windowed else None)
+                        text, usage = a.text, dict(a.usage)
+                    except Exception as e:  # a call's failure is data
+                        error = f"{type(e).__name__}: {e}"
+                    rows.append({**r, "raw_text": text, "usage": list(usage.items()), "error": error})
+                yield pa.RecordBatch.from_pylist(rows, schema=shape)
+        finally:
+            # Whatever a backend has open, such as uploads, ends with the task.
+            getattr(backend, "close", lambda: None)()
 
     return requests.select("run_id", "clip_id", F.col("window_index").cast("int").alias("window_index"), "start_s", "end_s", "prompt").mapInArrow(run, ANSWER)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import shutil
+import subprocess
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stem
 
-HEADER = "path string, width int, height int, fps string, duration_s double, error string"
+HEADER = "path string, width int, height int, fps string, duration_s double, frames long, error string"
 
 
 def discover_clips(spark: SparkSession, source: str, output_dir: str | None = None, pattern: str = "*.mp4") -> DataFrame:
@@ -34,8 +37,30 @@ def discover_clips(spark: SparkSession, source: str, output_dir: str | None = No
     return found.orderBy("path")
 
 
+def needed_binary(name: str, find: Callable[[str], str | None] = shutil.which) -> str:
+    """Where a program is; an error that names it where it isn't, before any clip is opened."""
+    path = find(name)
+    if path is None:
+        raise FileNotFoundError(f"{name} isn't installed here")
+    return path
+
+
+def ffprobe(path: str, run: Callable = subprocess.run, find: Callable[[str], str | None] = shutil.which) -> dict:
+    """A header for probe_clips() by ffprobe: of the first video stream, and the container's duration."""
+    command = [needed_binary("ffprobe", find), "-v", "error", "-of", "json", "-select_streams", "v:0", "-show_entries", "stream=width,height,avg_frame_rate,nb_frames:format=duration", path]
+    done = run(command, capture_output=True, text=True)
+    if done.returncode:
+        raise RuntimeError(f"{path}: ffprobe says {(done.stderr or '').strip() or done.returncode}")
+    told = json.loads(done.stdout)
+    if not told.get("streams"):
+        raise ValueError(f"{path}: no video stream")
+    stream, length = told["streams"][0], told.get("format", {}).get("duration")
+    frames = stream.get("nb_frames")
+    return {"width": stream["width"], "height": stream["height"], "fps": stream["avg_frame_rate"], "duration_s": None if length is None else float(length), "frames": int(frames) if str(frames or "").isdigit() else None}
+
+
 def probe_clips(paths: DataFrame, probe: Callable[[str], dict]) -> DataFrame:
-    """A header for each path by a caller's function (width, height, fps, duration_s); its exceptions become a column error.
+    """A header for each path by a function (width, height, fps, duration_s and, if it knows, frames) such as ffprobe(); its exceptions become a column error.
 
     Degenerate rates (no or a zero numerator or denominator) and durations are errors too.
     """
@@ -51,10 +76,10 @@ def probe_clips(paths: DataFrame, probe: Callable[[str], dict]) -> DataFrame:
                         raise ValueError(f"{path}: no frame rate")
                     if not h["duration_s"] or h["duration_s"] <= 0:
                         raise ValueError(f"{path}: no duration")
-                    rows.append({"path": path, **{k: h[k] for k in ("width", "height", "fps", "duration_s")}, "error": None})
+                    rows.append({"path": path, **{k: h[k] for k in ("width", "height", "fps", "duration_s")}, "frames": h.get("frames"), "error": None})
                 except Exception as e:  # a clip's failure is data
-                    rows.append({"path": path, "width": None, "height": None, "fps": None, "duration_s": None, "error": f"{type(e).__name__}: {e}"})
-            shape = pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("fps", pa.string()), ("duration_s", pa.float64()), ("error", pa.string())])
+                    rows.append({"path": path, "width": None, "height": None, "fps": None, "duration_s": None, "frames": None, "error": f"{type(e).__name__}: {e}"})
+            shape = pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("fps", pa.string()), ("duration_s", pa.float64()), ("frames", pa.int64()), ("error", pa.string())])
             yield pa.RecordBatch.from_pylist(rows, schema=shape)
 
     return paths.select("path").mapInArrow(run, HEADER)

@@ -7,64 +7,83 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import suppress
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
+
 from .backend import Answer, example_of, time_fields
 
-#: Dollars per million tokens, in and out, of hosted models that are priced.
+#: Dollars per million tokens, in and out, of hosted models that are priced; what a client's counts are called.
 PRICES = {"gemini-3.8-flash": (0.75, 3.75)}
-_COUNTS = ("total_input_tokens", "total_output_tokens", "total_thought_tokens", "total_tokens")
+_READ, _SAID, _THOUGHT, _ALL = "total_input_tokens", "total_output_tokens", "total_thought_tokens", "total_tokens"
+
+#: What becomes of an upload by its state: it is used, asked about again, or given up for any other.
+_READY, _PENDING = "ACTIVE", "PROCESSING"
 
 
 def usage_of(counts: Mapping[str, float | None] | None, model_id: str) -> dict[str, float]:
-    """Token counts with what is billed as output, thoughts included, and its price; empty without counts."""
+    """A call's token counts, what of them is billed as output, and their price; empty without counts."""
+    tokens = pd.Series(dict.fromkeys((_READ, _SAID, _THOUGHT, _ALL), 0.0) | {k: v or 0.0 for k, v in (counts or {}).items()}, dtype="float64")
     if counts is None:
         return {}
-    own = {c: float(counts.get(c) or 0) for c in _COUNTS}
-    billable = own["total_output_tokens"] + own["total_thought_tokens"]
-    price_in, price_out = PRICES[model_id]
-    cost = own["total_input_tokens"] / 1e6 * price_in + billable / 1e6 * price_out
-    return own | {"billable_output_tokens": billable, "estimated_cost_usd": round(cost, 6)}
+    billed = pd.Series({_READ: tokens[_READ], _SAID: tokens[[_SAID, _THOUGHT]].sum()})
+    price = float((billed / 1e6 * PRICES[model_id]).sum())
+    return tokens[[_READ, _SAID, _THOUGHT, _ALL]].to_dict() | {"billable_output_tokens": float(billed[_SAID]), "estimated_cost_usd": round(price, 6)}
+
+
+def polled(first: Any, again: Callable[[Any], Any], waits: int, pause_s: float) -> Iterator[Any]:
+    """A handle as it is at first and after each of so many pauses."""
+    yield first
+    for _ in range(waits):
+        time.sleep(pause_s)
+        first = again(first)
+        yield first
 
 
 class Uploads:
-    """Each file is uploaded once and its handle used again. get(handle's name) tells a state; waiting is bounded."""
+    """Handles of files, each put up on its first use. put(path) and get(name) give handles with name and state."""
 
     def __init__(self, put: Callable[[str], Any], get: Callable[[str], Any], delete: Callable[[str], None], timeout_s: float = 180.0, poll_s: float = 2.0):
-        self.put, self.get, self.delete, self.timeout_s, self.poll_s = put, get, delete, timeout_s, poll_s
+        self.put, self.get, self.delete = put, get, delete
+        self.waits, self.poll_s = int(timeout_s / poll_s), poll_s
         self.handles: dict[str, Any] = {}
 
     def __call__(self, path: str) -> Any:
         if path not in self.handles:
-            handle, deadline = self.put(path), time.monotonic() + self.timeout_s
-            while handle.state != "ACTIVE":
-                if handle.state != "PROCESSING":
-                    raise RuntimeError(f"{path}: upload is {handle.state}")
-                if time.monotonic() > deadline:
-                    raise TimeoutError(f"{path}: still processing after {self.timeout_s:g} s")
-                time.sleep(self.poll_s)
-                handle = self.get(handle.name)
-            self.handles[path] = handle
+            self.handles[path] = self._ready(path)
         return self.handles[path]
 
+    def _ready(self, path: str) -> Any:
+        states = polled(self.put(path), lambda handle: self.get(handle.name), self.waits, self.poll_s)
+        settled = next((h for h in states if h.state != _PENDING), None)
+        if settled is None:
+            raise TimeoutError(f"{path}: not ready after {self.waits * self.poll_s:g} s")
+        if settled.state != _READY:
+            raise RuntimeError(f"{path}: the upload ended as {settled.state}")
+        return settled
+
     def clear(self) -> list[str]:
-        """Delete what was uploaded; a file that can't be deleted doesn't keep the others. Names of those that could."""
-        gone = []
-        for path in list(self.handles):
-            handle = self.handles.pop(path)
-            try:
-                self.delete(handle.name)
-                gone.append(handle.name)
-            except Exception:  # it may have expired
-                continue
-        return gone
+        """Forget all handles and delete their files. The names of those that could be deleted; one that is gone already doesn't keep the others."""
+        names = [handle.name for handle in self.handles.values()]
+        self.handles.clear()
+        return [name for name in names if self._deleted(name)]
+
+    def _deleted(self, name: str) -> bool:
+        with suppress(Exception):
+            self.delete(name)
+            return True
+        return False
 
 
 @dataclass
 class Hosted:
-    """Sees the whole clip and is told the window. call(handle, prompt, window, schema, store=False) gives (text, counts)."""
+    """Sees the whole clip and is told the window. call(handle, prompt, window, schema, store=False, **settings) gives (text, counts).
+
+    settings: what a request fixes besides, such as fps, resolution, seed and the most tokens of an answer; config() is what a run's record says of it.
+    """
 
     upload: Uploads
     call: Callable[..., tuple[str, Mapping[str, float] | None]]
@@ -73,6 +92,7 @@ class Hosted:
     fps: float = 2.0
     schema: Mapping = field(default_factory=dict)
     segment_local: bool = False
+    settings: Mapping[str, Any] = field(default_factory=dict)
 
     def __post_init__(self):
         if self.model_id not in PRICES:
@@ -83,9 +103,16 @@ class Hosted:
         return 1 / self.fps
 
     def generate(self, clip_id: str, prompt: str, window: tuple[float, float] | None) -> Answer:
-        text, counts = self.call(self.upload(self.path_of[clip_id]), prompt, window, self.schema, store=False)
+        text, counts = self.call(self.upload(self.path_of[clip_id]), prompt, window, self.schema, store=False, **self.settings)
         return Answer(text, usage_of(counts, self.model_id))
 
+    def config(self) -> dict[str, Any]:
+        return {"kind": "hosted", "model_id": self.model_id, "fps": self.fps, **self.settings}
+
+    def close(self) -> None:
+        """Uploads go when a task has made its calls, failed or not."""
+        self.upload.clear()
+
 
 @dataclass
 class Local:
@@ -111,6 +138,9 @@ class Local:
         text, counts = self.run(path, f"{prompt}\nAnswer like this, and with nothing else: {example_of(self.schema)}")
         return Answer(text, {**counts, "estimated_cost_usd": 0.0})
 
+    def config(self) -> dict[str, Any]:
+        return {"kind": "local", "model_id": self.model_id, "fps": self.sample_fps}
+
 
 def pick_device(cuda: bool, mps: bool) -> str:
     return "cuda" if cuda else "mps" if mps else "cpu"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 RENDERED = "clip_id string, output string, frames int, error string"
 
@@ -19,27 +19,36 @@ def render_clips(clips: DataFrame, layouts: DataFrame, encode: Callable[[dict, I
     many. It writes to a name of its own; only a finished file takes the output's name, and
     a failed one is removed. Odd sizes and outputs that are their source are refused.
     """
-    labels = layouts.groupBy("clip_id", "frame_index").agg(F.array_sort(F.collect_list(F.struct("track_id", "category", "label", "rect_left", "rect_top", "rect_right", "rect_bottom"))).alias("labels"))
-    frames = labels.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", "labels"))).alias("frames"))
-    work = clips.join(frames, "clip_id", "left").repartition("clip_id")
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for clip in batch.to_pylist():
-                partial, count, error = f"{clip['output']}.partial", None, None
-                try:
-                    if clip["width"] % 2 or clip["height"] % 2:
-                        raise ValueError("width and height must be even")
-                    if os.path.abspath(clip["output"]) == os.path.abspath(clip["path"]):
-                        raise ValueError("the output is the source")
-                    count = encode(clip, ((f["frame_index"], f["labels"]) for f in clip["frames"] or []), partial)
-                    os.replace(partial, clip["output"])
-                except Exception as e:  # a clip's failure is data
-                    error = f"{type(e).__name__}: {e}"
-                    if os.path.exists(partial):
-                        os.remove(partial)
-                rows.append({"clip_id": clip["clip_id"], "output": clip["output"], "frames": count, "error": error})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("clip_id", pa.string()), ("output", pa.string()), ("frames", pa.int32()), ("error", pa.string())]))
-
-    return work.mapInArrow(run, RENDERED)
+    shape = pa.schema([("clip_id", pa.string()), ("output", pa.string()), ("frames", pa.int32()), ("error", pa.string())])
+    places = ("track_id", "category", "label", "rect_left", "rect_top", "rect_right", "rect_bottom")
+    # A clip's rows stream through one task in order of frame; never more than a frame's labels are held.
+    rows = clips.select("clip_id", "path", "output", "width", "height").join(layouts.select("clip_id", "frame_index", *places), "clip_id", "left")
+    dealt = rows.repartition("clip_id").sortWithinPartitions("clip_id", "frame_index", "track_id", "category")
+
+    def frames_of(rows: Iterator[dict]) -> Iterator[tuple[int, list[dict]]]:
+        for frame, own in groupby(rows, lambda r: r["frame_index"]):
+            if frame is not None:
+                yield frame, [{k: r[k] for k in places} for r in own]
+
+    def rendered(clip: dict, rows: Iterator[dict]) -> dict:
+        partial, count, error = f"{clip['output']}.partial", None, None
+        try:
+            if clip["width"] % 2 or clip["height"] % 2:
+                raise ValueError("width and height must be even")
+            if os.path.abspath(clip["output"]) == os.path.abspath(clip["path"]):
+                raise ValueError("the output is the source")
+            count = encode(clip, frames_of(rows), partial)
+            os.replace(partial, clip["output"])
+        except Exception as e:  # a clip's failure is data
+            error = f"{type(e).__name__}: {e}"
+            if os.path.exists(partial):
+                os.remove(partial)
+        return {"clip_id": clip["clip_id"], "output": clip["output"], "frames": count, "error": error}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (row for batch in batches for piece in range(0, batch.num_rows, 1024) for row in batch.slice(piece, 1024).to_pylist())
+        for _, own in groupby(stream, lambda r: r["clip_id"]):
+            first = next(own)
+            yield pa.RecordBatch.from_pylist([rendered(first, chain([first], own))], schema=shape)
+
+    return dealt.mapInArrow(run, RENDERED)

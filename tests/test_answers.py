@@ -1,6 +1,8 @@
 """Answers of models to sightings."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,58 +12,74 @@ from framewake.plans.run import events_of, find_interactions
 from framewake.sources.backend import Replay, example_of, time_fields
 
 BASE = {"person_ids": ["P1"], "vehicle_ids": ["V2"], "person_description": "a", "vehicle_description": "b", "interaction": "c", "start_time_s": 4.0, "evidence_time_s": 6.0, "end_time_s": 8.0, "confidence": 0.9}
-
-
-def errors(spark, item, window=None, tolerance=0.5):
-    text = json.dumps({"interactions": [item]})
-    df = spark.createDataFrame([("r", "c", 0, text, 27.3, *(window or (0.0, 0.0)))], "run_id string, clip_id string, window_index int, raw_text string, duration_s double, start_s double, end_s double")
-    return responses.validated(responses.items(responses.parse(df)), window is not None, tolerance).first().errors
-
-
-@pytest.mark.parametrize(
-    ("change", "want"),
-    [
-        ({}, []),
-        ({"person_ids": ["P1", "P2"]}, []),
-        ({"person_ids": []}, []),
-        ({"person_ids": ["P1", "P1"]}, []),
-        ({"person_ids": ["the man"]}, ["bad_label:person_ids"]),
-        ({"person_ids": ["V1"]}, ["bad_label:person_ids"]),
-        ({"person_ids": ["P"]}, ["bad_label:person_ids"]),
-        ({"person_ids": ["P0"]}, ["bad_label:person_ids"]),
-        ({"person_ids": ["P01"]}, ["bad_label:person_ids"]),
-        ({"person_ids": [""]}, ["bad_label:person_ids"]),
-        ({"person_ids": "P1"}, ["not_list:person_ids"]),
-        ({"person_ids": [1]}, ["bad_label:person_ids"]),
-        ({"end_time_s": 900}, ["outside_clip:end_time_s"]),
-        ({"start_time_s": -1.0}, ["outside_clip:start_time_s"]),
-        ({"start_time_s": 9.0}, ["reversed_span"]),
-        ({"evidence_time_s": 9.0}, ["evidence_outside_span"]),
-        ({"confidence": 1.4}, ["confidence_range"]),
-        ({"start_time_s": "4.0"}, ["not_number:start_time_s"]),
-        ({"start_time_s": True}, ["not_number:start_time_s"]),
-        ({"start_time_s": None}, ["not_number:start_time_s"]),
-        ({"start_time_s": "x", "confidence": 3}, ["not_number:start_time_s"]),
-        ({"interaction": 3}, ["not_string:interaction"]),
-    ],
-)
-def test_rules(spark, change, want):
-    assert errors(spark, BASE | change) == want
-
-
-def test_missing_and_odd_items(spark):
-    assert errors(spark, {k: v for k, v in BASE.items() if k != "interaction"}) == ["missing:interaction"]
-    for odd in (None, 5, "x", [1], True):
-        assert errors(spark, odd) == ["not_object"]
-
-
-@pytest.mark.parametrize(
-    ("times", "ok"),
-    [((15.6, 16.0, 18.0), True), ((17.0, 22.4, 25.0), True), ((10.0, 18.0, 27.0), True), ((1.0, 2.0, 3.0), False), ((14.0, 15.0, 18.0), False), ((17.0, 23.0, 25.0), False)],
-)
-def test_windowed(spark, times, ok):
-    item = BASE | dict(zip(("start_time_s", "evidence_time_s", "end_time_s"), times, strict=True))
-    assert (errors(spark, item, (16.0, 22.0)) == []) is ok
+LENGTH, SPAN, SLACK = 31.7, (9.0, 14.0), 0.75
+GONE = object()
+
+
+def rules(item, window):
+    """Which rules an item breaks, from their definition."""
+    if not isinstance(item, dict):
+        return ["not_object"]
+    times, ids = ("start_time_s", "evidence_time_s", "end_time_s"), {"person_ids": "P", "vehicle_ids": "V"}
+    number = lambda x: isinstance(x, int | float) and not isinstance(x, bool)
+    label = lambda x, letter: isinstance(x, str) and re.fullmatch(f"{letter}[1-9][0-9]*", x)
+    out = [f"missing:{k}" for k in BASE if k not in item]
+    out += [f"not_number:{k}" for k in (*times, "confidence") if k in item and not number(item[k])]
+    out += [f"not_string:{k}" for k in ("person_description", "vehicle_description", "interaction") if k in item and not isinstance(item[k], str)]
+    for k, letter in ids.items():
+        if k in item and not isinstance(item[k], list):
+            out.append(f"not_list:{k}")
+        elif not all(label(x, letter) for x in item.get(k, [])):
+            out.append(f"bad_label:{k}")
+    if out:
+        return out
+    start, seen, end = (item[k] for k in times)
+    out = [f"outside_clip:{k}" for k in times if not 0 <= item[k] <= LENGTH]
+    out += ["reversed_span"] if start > end else ["evidence_outside_span"] if not start <= seen <= end else []
+    out += ["confidence_range"] if not 0 <= item["confidence"] <= 1 else []
+    if window:
+        low, high = window[0] - SLACK, window[1] + SLACK
+        out += ["span_outside_window"] if end < low or start > high else []
+        out += ["evidence_outside_window"] if not low <= seen <= high else []
+    return out
+
+
+def drawn_items(rng, count):
+    """Items with up to three fields of any sort, among them those at the edges of every rule."""
+    odd = [None, True, "7.5", "", 12, [], {}, [[]]]
+    moments = [0, 0.0, -0.1, 8.25, 8.2, 9, 9.5, 14.75, 14.8, 31.7, 31.75, 40, *odd]
+    pools = {k: moments for k in ("start_time_s", "evidence_time_s", "end_time_s")} | {"confidence": [0, 1, 1.001, -0.5, 0.25, *odd]}
+    pools |= {k: ["text", "", *odd] for k in ("person_description", "vehicle_description", "interaction")}
+    for k, own, other in (("person_ids", "P", "V"), ("vehicle_ids", "V", "P")):
+        named = [f"{own}3", f"{own}12", f"{own}00", f"{own}07", f"{other}4", own, own.lower() + "2", f" {own}2", f"{own}2x", 8, None, ""]
+        pools[k] = [[], *([x] for x in named), [f"{own}3", f"{own}3"], [f"{own}5", f"{other}5"], *odd]
+    out = [BASE | dict(zip(("start_time_s", "evidence_time_s", "end_time_s"), sorted(rng.choice([8, 8.2, 8.25, 10, 14.75, 14.8, 20]) for _ in range(3)), strict=True)) for _ in range(count // 4)]
+    while len(out) < count:
+        item = dict(BASE)
+        for k in rng.sample(sorted(pools), rng.randrange(4)):
+            item[k] = rng.choice([GONE, *pools[k]])
+        out.append({k: v for k, v in item.items() if v is not GONE})
+    return [*out, *odd[:-2], [1], "text"]
+
+
+@pytest.mark.parametrize("window", [None, SPAN])
+def test_rules(spark, window):
+    items = drawn_items(random.Random(3), 400)
+    rows = [(k, json.dumps({"interactions": [item]}), LENGTH, *SPAN) for k, item in enumerate(items)]
+    df = spark.createDataFrame(rows, "k int, raw_text string, duration_s double, start_s double, end_s double")
+    got = responses.validated(responses.items(responses.parse(df)), window is not None, SLACK).select("k", "errors").collect()
+    assert {r.k: sorted(r.errors) for r in got} == {k: sorted(rules(item, window)) for k, item in enumerate(items)}
+    assert {e.partition(":")[0] for r in got for e in r.errors} >= {"missing", "not_number", "not_string", "not_list", "bad_label", "outside_clip", "reversed_span", "evidence_outside_span", "confidence_range", "not_object"}
+
+
+def test_a_clip_has_one_length(spark):
+    """What the prompt says is what an answer is held against: an end at the stated length is inside the clip."""
+    clips = spark.createDataFrame([("c", 27.29863), ("d", 27.25)], "clip_id string, duration_s double")
+    to = lambda end: json.dumps({"interactions": [BASE | {"end_time_s": end}]})
+    run = find_interactions(clips, Replay({("c", 0.0): to(27.3), ("d", 0.0): to(27.25)}), "r")
+    assert [r.end_time_s for r in run.sightings.collect()] == [27.3] and [r.errors for r in run.malformed.collect()] == [["outside_clip:end_time_s"]]
+    prompts = {r.clip_id: r.prompt for r in run.calls.collect()}
+    assert "lasts 27.3 s." in prompts["c"] and "<= 27.3." in prompts["c"] and "lasts 27.2 s." in prompts["d"] and "You see" not in prompts["c"]
 
 
 @pytest.mark.parametrize(

@@ -100,3 +100,14 @@ def test_integrity(spark):
     windows = spark.createDataFrame([("r", "c", 0, 0.0, 1.0), ("r", "c", 0, 0.0, 1.0)], "run_id string, clip_id string, window_index int, start_s double, end_s double")
     found = merge.integrity_faults(spark.createDataFrame([sighting(0, 7, 0.0, 1.0)], SCHEMA), windows).collect()
     assert {(r.window_index, r.fault) for r in found} == {(0, "duplicate"), (7, "missing")}
+
+
+@pytest.mark.parametrize("fault", ["missing", "twice"])
+def test_merging_refuses_faulty_windows(spark, fault):
+    """A sighting whose window is missing would be lost, one whose window is listed twice would count twice."""
+    own = spark.createDataFrame([sighting(k, k, 8.0 * k, 8.0 * k + 1) for k in range(2)], SCHEMA)
+    spans = spark.createDataFrame([("r", "c", k, 8.0 * k, 8.0 * k + 8) for k in range(2)], "run_id string, clip_id string, window_index int, start_s double, end_s double")
+    assert merge.merge_events(own, spans).count() == 2
+    faulty = spans.where("window_index = 0") if fault == "missing" else spans.unionByName(spans.where("window_index = 1"))
+    with pytest.raises(Exception, match="missing or listed twice"):
+        merge.merge_events(own, faulty).collect()

@@ -7,7 +7,7 @@ import pytest
 
 from framewake.plans.options import Options, parse, size_or_auto
 from framewake.plans.run import run_batch
-from framewake.sources.backend import Replay
+from framewake.sources.backend import Replay, ask
 from framewake.sources.models import Hosted, Local, Uploads, pick_device, pick_runtime, response_schema, usage_of
 from framewake.sources.render import render_clips
 
@@ -47,6 +47,23 @@ def test_hosted_and_local():
     assert pick_runtime("Darwin", "arm64") == "mlx" and pick_runtime("Linux", "x86_64") == "torch"
 
 
+def test_uploads_go_when_calls_are_made(spark):
+    """Whatever a backend has open is closed by the task that used it, after failing calls too."""
+    closed = spark.sparkContext.accumulator(0)
+
+    class Failing:
+        tolerance_s, segment_local = 0.0, False
+
+        def generate(self, clip_id, prompt, window):
+            raise RuntimeError("no")
+
+        def close(self):
+            closed.add(1)
+
+    requests = spark.createDataFrame([("r", "c", 0, 0.0, 1.0, "p")], "run_id string, clip_id string, window_index int, start_s double, end_s double, prompt string")
+    assert "no" in ask(requests.coalesce(1), Failing()).collect()[0].error and closed.value == 1
+
+
 def test_options():
     assert Options("i", "o").window() == (8.0, 4.0) and Options("i", "o", whole_clip=True).window() is None
     assert parse(["i", "o", "--backend", "local", "--model-id", "m", "--max-new-tokens", "9", "--seed", "2"]).backend_settings() == {"max_new_tokens": 9, "seed": 2}
@@ -86,5 +103,7 @@ def test_batch(spark, tmp_path):
     results, code = run_batch(clips, raw, backend, "r1", None, f"{tmp_path}/out")
     got = {r.clip_id: r for r in results.collect()}
     assert code == 1 and got["a"].merged_interaction_count == 1 and (got["a"].people, got["a"].vehicles) == (1, 1) and got["b"].run_error == "all 1 call(s) failed" and got["x"].error
+    records = {r.clip_id: json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out/records").collect()}
+    assert records["a"]["run_tag"] == "r1" and "lasts 10.0 s" in records["a"]["calls"][0]["prompt"] and (records["b"]["failed_windows"], "late" in records["b"]["calls"][0]["error"]) == (1, True)
     documents = {r.clip_id: json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out/documents").collect()}
     assert documents["a"]["interactions"][0]["person_ids"] == ["P1"] and spark.read.parquet(f"{tmp_path}/out/calls").count() == 2

@@ -1,10 +1,17 @@
 """Tracks, windows, geometry, coverage, text and sources."""
 
+import json
+import math
+import random
+import re
+from decimal import Decimal
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from framewake.functions import geometry, numbers, text
-from framewake.operators import accounting, coverage, layout, tracks, windows
+from framewake.operators import accounting, coverage, layout, reports, tracks, windows
 from framewake.sources import clips as clip_source
 from framewake.sources.sinks import event_documents, write_documents
 from framewake.sources.tracker import track_clips, tracker_config
@@ -56,7 +63,13 @@ def test_buffers_sizes_and_rates(spark):
 
 def test_exact_rounding(spark):
     df = spark.createDataFrame([(0.35,), (0.25,), (27.25,), (None,)], "x double")
-    assert [r.y for r in df.select(numbers.exact_round("x", F.lit(1)).alias("y")).collect()] == [0.3, 0.2, 27.2, None]
+    assert [r.y for r in df.select(numbers.exact_round(F.col("x"), 1).alias("y")).collect()] == [0.3, 0.2, 27.2, None]
+    rng = random.Random(1)
+    some = [rng.choice([rng.uniform(-1e4, 1e4), rng.randrange(-4000, 4000) / 8, rng.randrange(10**9) / 10**7, rng.randrange(10**6) / 20, rng.randrange(10**8) * 5e-7, rng.uniform(-1, 1) * 10.0 ** rng.randrange(-12, 25)]) for _ in range(4000)] + [0.0, -0.0, 1e300, math.inf]
+    table = spark.createDataFrame([(x,) for x in some], "x double")
+    for digits in (0, 1, 3, 6, 7):
+        got = [r.y for r in table.select(numbers.exact_round(F.col("x"), digits).alias("y")).collect()]
+        assert got == [round(x, digits) if abs(x) < 2**52 / 10**digits else x for x in some]
 
 
 def test_draw_sizes_and_layout(spark):
@@ -75,7 +88,34 @@ def test_draw_sizes_and_layout(spark):
 def test_nearest_frame_ties_go_low(spark):
     frames = spark.createDataFrame([("c", k, k / 2) for k in range(20)], "clip_id string, frame long, t_s double")
     asked = spark.createDataFrame([("c", 0.25), ("c", 0.26), ("c", 99.0), ("c", 0.25)], "clip_id string, t_s double")
-    assert sorted(r.nearest_frame for r in coverage.nearest_frame(asked, frames, 90.0).collect()) == [0, 0, 1, 19]
+    assert sorted(r.nearest_frame for r in coverage.nearest_frame(asked, frames).collect()) == [0, 0, 1, 19]
+
+
+def test_nearest_frame_against_all_frames(spark):
+    rng = random.Random(4)
+    frames = [(c, k, rng.randrange(400) / 4) for c in "ab" for k in range(30)]
+    moments = [(c, k, rng.randrange(-40, 900) / 8) for k, c in enumerate("ab" * 60)] + [("z", 500, 1.0), ("a", 501, None), (None, 502, 1.0)]
+    got = coverage.nearest_frame(spark.createDataFrame(moments, "clip_id string, k int, t_s double"), spark.createDataFrame(frames, "clip_id string, frame long, t_s double"))
+    want = {k: min(((abs(t - at), f) for c, f, t in frames if c == clip), default=(0, None))[1] for clip, k, at in moments if at is not None}
+    found = {r.k: r.nearest_frame for r in got.collect()}
+    assert len(found) == len(moments) and all(found[k] == f for k, f in want.items())
+
+
+def test_windows_by_definition(spark):
+    """Window k begins at k strides and ends inside the clip; the last ends with it; one that is the last counts once."""
+    rng = random.Random(9)
+    cases = [(rng.randrange(1, 4000) / rng.choice([10, 7, 8]), rng.randrange(1, 90) / 10, rng.randrange(1, 90) / 10) for _ in range(60)] + [(20.0, 8.0, 4.0), (20.03, 8.0, 4.0), (8.0, 8.0, 4.0), (0.04, 8.0, 4.0), (27.25, 8.0, 8.0)]
+    for d, w, step in cases:
+        step = min(w, step)
+        width, stride, n = Decimal(str(w)), Decimal(str(step)), 0
+        want = []
+        while stride * n + width < Decimal(d):
+            want.append((float(stride * n), float(stride * n + width)))
+            n += 1
+        last = (round(max(0.0, d - w), 1), round(d, 1))
+        want += [last] if last not in want[-1:] else []
+        made = windows.make_windows(spark.createDataFrame([("c", d), ("n", None)], "clip_id string, duration_s double"), w, step).orderBy("window_index").collect()
+        assert [(r.start_s, r.end_s) for r in made] == want and [r.window_index for r in made] == list(range(len(want)))
 
 
 def test_coverage_credits_only_the_reporting_window(spark):
@@ -91,6 +131,8 @@ def test_usage(spark):
     prices = spark.createDataFrame([("m", 10.0, 100.0)], "model_id string, usd_per_m_in double, usd_per_m_out double")
     assert [(r.billable_output_tokens, r.estimated_cost_usd) for r in accounting.usage_cost(calls, prices).collect()] == [(600.0, 0.07), (0.0, 0.0)]
     assert accounting.unpriced_models(calls, prices).isEmpty()
+    with pytest.raises(Exception, match="no price is known for m"):
+        accounting.usage_cost(calls, prices.limit(0)).collect()
     maps = spark.createDataFrame([("r", {"a": 10.0, "b": 0.5}), ("r", {"a": 4.0}), ("r", {})], "run_id string, usage map<string,double>")
     assert accounting.usage_map(maps).first().usage == {"a": 14.0, "b": 0.5}
 
@@ -154,3 +196,32 @@ def test_live_activity(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert [(r.boxes, r.identities) for r in spark.table("activity").collect()] == [(2, 1)]
+
+
+def test_probing_by_ffprobe(spark):
+    told = lambda out, code=0: lambda command, **_: SimpleNamespace(returncode=code, stdout=json.dumps(out), stderr="broken header")
+    here = lambda name: f"/bin/{name}"
+    stream = {"width": 640, "height": 360, "avg_frame_rate": "30000/1001", "nb_frames": "818"}
+    assert clip_source.ffprobe("a.mp4", told({"streams": [stream], "format": {"duration": "27.3"}}), here) == {"width": 640, "height": 360, "fps": "30000/1001", "duration_s": 27.3, "frames": 818}
+    for out, code, error in (({}, 1, RuntimeError), ({"streams": []}, 0, ValueError)):
+        with pytest.raises(error, match="a.mp4"):
+            clip_source.ffprobe("a.mp4", told(out, code), here)
+    with pytest.raises(FileNotFoundError, match="ffprobe"):
+        clip_source.ffprobe("a.mp4", told({}), lambda name: None)
+    headers = {"a": {**stream, "avg_frame_rate": "0/0"}, "b": stream, "c": {**stream, "nb_frames": "N/A"}}
+    probe = lambda path: clip_source.ffprobe(path, told({"streams": [headers[path]], "format": {} if path == "b" else {"duration": "3"}}), here)
+    got = {r.path: r for r in clip_source.probe_clips(spark.createDataFrame([(p,) for p in headers], "path string"), probe).collect()}
+    assert "frame rate" in got["a"].error and "duration" in got["b"].error and (got["c"].error, got["c"].frames, got["c"].duration_s) == (None, None, 3.0)
+
+
+def test_reports(spark):
+    none = spark.createDataFrame([("c", None)], "clip_id string, duration_s double")
+    assert reports.shortest_clip(none).isEmpty() and reports.shortest_clip(none.unionByName(spark.createDataFrame([("b", 2.0), ("a", 2.0)], none.schema))).first().clip_id == "a"
+    names = spark.createDataFrame([("c", "person", f"P{k}") for k in (10, 9, 1, 2)], "clip_id string, category string, label string")
+    assert [r.label for r in reports.label_order(names).orderBy("place").collect()] == ["P1", "P2", "P9", "P10"]
+    covered = spark.createDataFrame([("r", "c", k) for k in range(0, 40, 2)], "run_id string, clip_id string, frame long")
+    shown = lambda f: sorted(r.frame for r in coverage.strip_frames(covered, evidence=spark.createDataFrame([("r", "c", f)], covered.schema)).collect())
+    assert sorted(r.frame for r in coverage.strip_frames(covered).collect()) == shown(None) == shown(8) == [0, 8, 16, 22, 30, 38]
+    assert shown(12) == [0, 12, 16, 22, 30, 38] and shown(34) == [0, 8, 16, 22, 34, 38]
+    at = spark.sql("SELECT TIMESTAMP'2024-03-01 12:00:00.0125' AS t").select(text.iso_time(F.col("t")).alias("s")).first().s
+    assert re.fullmatch(r"2024-0[23]-[0-9]{2}T[0-9:]{8}\.012\+00:00", at)
