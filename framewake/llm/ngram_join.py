@@ -53,6 +53,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,13 +131,13 @@ def prefix_length(n: int, percent: int) -> int:
 _SETS = T.StructType(
     [
         T.StructField("row", T.BooleanType()), T.StructField("doc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
-        T.StructField("bits", T.BinaryType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType()),
+        T.StructField("bits", T.BinaryType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("read", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("counts", T.BinaryType()),
     ]
 )
 
 
 def _sets(df: DataFrame, width: int) -> DataFrame:
-    """Rows of sets (row is true) and pieces of each task's sketch."""
+    """Rows of sets (row is true) and pieces of each task's sketch. df: (doc, t, read), where read is a hash of the text."""
 
     def run(batches):
         shingles, sketch = Shingles(width), np.zeros(COUNTERS, np.uint32)
@@ -149,14 +150,14 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
                 [
                     pa.array([True] * k), batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([set_name(s) if len(s) else None for s in found], pa.int64()),
                     pa.array([bitmap(s) if len(s) else None for s in found], pa.binary()),
-                    *(pa.array([s[at].view(np.int64) if len(s) else None for s in found], pa.int64()) for at in (0, -1)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
+                    *(pa.array([s[at].view(np.int64) if len(s) else None for s in found], pa.int64()) for at in (0, -1)), batch.column(2), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
                 ],
                 names=_SETS.fieldNames(),
             )
         if sketch.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, PIECES)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([False] * PIECES), *(pa.nulls(PIECES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())), pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())],
+                [pa.array([False] * PIECES), *(pa.nulls(PIECES, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())), pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())],
                 names=_SETS.fieldNames(),
             )
 
@@ -181,14 +182,14 @@ def _summed(sketches: DataFrame) -> np.ndarray:
 
 
 def _prefixes(df: DataFrame, counts, width: int, percent: int) -> DataFrame:
-    """(h, salt, node, n, pos) of each set's prefix; a task emits a set once. salt: 0, or for frequent shingles the task to which the set is dealt, from 1 on."""
-    names = ["h", "salt", "node", "n", "pos"]
+    """(h, salt, node, pos) of each set's prefix; a task emits a set once. salt: 0, or for frequent shingles the task to which the set is dealt, from 1 on."""
+    names = ["h", "node", "at"]
 
     def run(batches):
         shingles, seen, sketch = Shingles(width), set(), counts.value
         hot = max(HOT_ROWS, HOT_MEANS * int(sketch.mean()))
         for batch in chunks(batches):
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [])
             for text in batch.column(0).to_pylist():
                 s = shingles(text)
                 if not len(s) or (name := set_name(s)) in seen:
@@ -207,17 +208,18 @@ def _prefixes(df: DataFrame, counts, width: int, percent: int) -> DataFrame:
                 salts = np.zeros(p, np.int32)
                 often = rows > hot
                 salts[often] = 1 + (name & 0x7FFFFFFFFFFFFFFF) % -(-rows[often] // hot)
-                for part, value in zip(out, (s[first].view(np.int64), salts, np.full(p, name), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)), strict=True):
+                for part, value in zip(out, (s[first].view(np.int64), np.full(p, name), (salts.astype(np.int64) << 32) + np.arange(p)), strict=True):
                     part.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
-    return df.mapInArrow(run, "h long, salt int, node long, n int, pos int")
+    # Three numbers a row are what is shuffled.
+    return df.mapInArrow(run, "h long, node long, at long")
 
 
 def _groups(prefixes: DataFrame) -> DataFrame:
-    """(gid, node, n, pos) of shingles that two sets or more have; groups of equal members get one gid."""
-    names = ["gid", "node", "n", "pos"]
+    """(gid, node, pos) of shingles that two sets or more have; groups of equal members get one gid."""
+    names = ["gid", "node", "pos"]
 
     def run(batches):
         known: dict[int, np.ndarray] = {}
@@ -225,7 +227,7 @@ def _groups(prefixes: DataFrame) -> DataFrame:
         out: list[np.ndarray] = []
 
         def group(h: int, rows: np.ndarray, whole: bool):
-            """rows: [node, n, pos] of one shingle, each node once. A group that came in parts is named by its shingle."""
+            """rows: [node, pos] of one shingle, each node once. A group that came in parts is named by its shingle."""
             nonlocal held
             if whole:
                 if len(rows) < 2:
@@ -235,7 +237,7 @@ def _groups(prefixes: DataFrame) -> DataFrame:
                     known.clear()
                     held = 0
                 # Known members: only lesser positions are news, as the positional filter holds for a pair's first common shingle.
-                least = np.minimum(rows[:, 2], known[gid]) if gid in known else rows[:, 2].copy()
+                least = np.minimum(rows[:, 1], known[gid]) if gid in known else rows[:, 1].copy()
                 if gid in known and (least == known[gid]).all():
                     return
                 held += 0 if gid in known else 8 * len(rows) + ENTRY_BYTES
@@ -247,12 +249,12 @@ def _groups(prefixes: DataFrame) -> DataFrame:
         def sent():
             table = np.concatenate(out)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1]), pa.array(table[:, 2].astype(np.int32)), pa.array(table[:, 3].astype(np.int32))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1]), pa.array(table[:, 2].astype(np.int32))], names=names)
 
         open_key, parts, size, split = None, [], 0, False
         for batch in batches:
-            h, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            rows = np.column_stack([batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4)])
+            h, at = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            salt, rows = at >> 32, np.column_stack([batch.column(1).to_numpy(), at & 0xFFFFFFFF])
             if not len(h):
                 continue
             new = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (rows[1:, 0] != rows[:-1, 0]))
@@ -283,9 +285,10 @@ def _groups(prefixes: DataFrame) -> DataFrame:
         if out:
             yield sent()
 
-    dealt = prefixes.repartition("h", "salt").sortWithinPartitions("h", "salt", "node")
+    salt = F.shiftright("at", 32)
+    dealt = prefixes.repartition("h", salt).sortWithinPartitions("h", salt, "node")
     # The same group may be known to several tasks; the least position of each member bounds for all of them.
-    return dealt.mapInArrow(run, "gid long, node long, n int, pos int").groupBy("gid", "node").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+    return dealt.mapInArrow(run, "gid long, node long, pos int").groupBy("gid", "node").agg(F.min("pos").alias("pos"))
 
 
 @dataclass
@@ -384,7 +387,7 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def _chained(members: DataFrame, attrs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a < b: each member and the nearest before it that passes. members: (gid, node, n, pos); attrs: (node, bits, k1, k2)."""
+    """Distinct (a, b), a < b: each member and the nearest before it that passes. members: (gid, node, pos); attrs: (node, n, bits, k1, k2)."""
     large = written(members.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "large")
     dealt = members.join(_few(large), "gid", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int"))
     dealt = dealt.join(attrs, "node").select("gid", "block", "k1", "k2", "node", "n", "pos", "bits")
@@ -423,45 +426,61 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _sets_of(nodes: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """A written table (node, s) of the whole sets of these nodes. texts: (doc, t); reps: (node, doc, ...)."""
-    wanted = written(reps.join(nodes, "node", "left_semi").select(F.col("doc").alias("wanted_doc")).distinct(), "wanted")
-    source = texts.join(_few(wanted), F.col("doc").eqNullSafe(F.col("wanted_doc")), "left_semi").select("t")
+def _with_sets(rows: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """rows (node, ...) with s, the whole set of the node, at least once each, and the written table that it reads. texts: (doc, t, read); reps: (node, doc, read, ...).
 
-    def hashed(batches):
-        shingles = Shingles(width)
+    What is asked for goes to the texts, and a set goes from there to where it is
+    needed: no set is shuffled but once for each row that needs it.
+    """
+    # A node's list is as long as the groups that its prefix gives it.
+    asked = rows.join(reps.select("node", F.col("doc").alias("asked_doc"), F.col("read").alias("asked_read")), "node")
+    asked = written(asked.groupBy("asked_doc", "asked_read").agg(F.collect_list(F.struct(*rows.columns)).alias("asked")), "asked")
+    source = texts.join(_few(asked), (F.col("read") == F.col("asked_read")) & F.col("doc").eqNullSafe(F.col("asked_doc"))).select("t", "asked")
+    schema = T.StructType([*rows.schema.fields, T.StructField("s", T.BinaryType())])
+
+    def run(batches):
+        shingles, seen = Shingles(width), set()
         for batch in chunks(batches):
-            found = [s for s in map(shingles, batch.column(0).to_pylist()) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "s"])
+            for text, lists in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingles(text)
+                name = set_name(s) if len(s) else None
+                if name is None or name in seen:
+                    continue
+                # Rows that repeat an id and a text give the same; one of a task is enough.
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.add(name)
+                own = pa.RecordBatch.from_struct_array(lists.values)
+                own = own.filter(pc.equal(own.column("node"), name))
+                if own.num_rows:
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array([s.tobytes()] * own.num_rows, pa.binary())], names=schema.fieldNames())
 
-    # Rows that share the id but not the set aren't wanted, those that repeat the set are copies.
-    sets = written(source.mapInArrow(hashed, "node long, s binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    remove(wanted)
-    return sets
+    return source.mapInArrow(run, schema), asked
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """A written table of those of the pairs (a, b) of sets that link, by their whole sets."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, reps, width)
+    both, asked = _with_sets(pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b"), texts, reps, width)
 
     def compare(batches):
-        own = None
+        first = None
         for batch in batches:
-            keep = []
-            for b, s in zip(batch.column(1), batch.column(2), strict=True):
-                s = np.frombuffer(s.as_py(), np.uint64)
-                # The row of a's own set comes first.
-                if not b.is_valid:
-                    own = s
-                keep.append(b.is_valid and links_of(own, s, percent))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    firsts = pairs.select("a").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "s")
-    seconds = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", "s")
-    # A chain gives a node no more partners than its prefix has shingles, so no a is a hot key.
-    met = firsts.unionByName(seconds).repartition("a").sortWithinPartitions("a", "b")
+            found = []
+            for node, a, b, s in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if first and first[:2] == (a, b):
+                    # a's set came first, as a < b; a repeated one changes nothing.
+                    if node == b and first[2] is not None:
+                        if links_of(first[2], np.frombuffer(s.as_py(), np.uint64), percent):
+                            found.append((a, b))
+                        first = (a, b, None)
+                else:
+                    first = (a, b, np.frombuffer(s.as_py(), np.uint64))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    met = both.repartition("a", "b").sortWithinPartitions("a", "b", "node")
     links = written(met.mapInArrow(compare, "a long, b long"), "links")
-    remove(sets)
+    remove(asked)
     return links
 
 
@@ -503,13 +522,14 @@ def _rest(members: DataFrame, attrs: DataFrame, texts: DataFrame, reps: DataFram
             if needed:
                 yield from table.select([*keys, "block", "node", "n", "comp", "gids", "bits"]).take(pa.array(sorted(needed))).combine_chunks().to_batches()
 
-    schema = "gid long, lo int, hi int, block int, node long, n int, comp long, gids array<long>, bits binary"
+    schema = "gid long, lo int, hi int, block int, node long, n long, comp long, gids array<long>, bits binary"
     sorted_by = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
     needed = written(sorted_by(met.join(attrs.select("node", "bits"), "node")).mapInArrow(look, schema), "needed")
-    sets = _sets_of(needed.select("node").distinct(), texts, reps, width)
 
     def settle(batches):
         for table in _runs(batches, keys):
+            # A set that came twice counts once.
+            table = table.take(pa.array(np.unique(table.column("node").to_numpy(), return_index=True)[1]))
             b, found = block(table), []
             s = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
             for i, j in b.passing(percent):
@@ -520,20 +540,23 @@ def _rest(members: DataFrame, attrs: DataFrame, texts: DataFrame, reps: DataFram
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    links = written(sorted_by(needed.join(sets, "node")).mapInArrow(settle, "a long, b long"), "links")
-    remove(met, needed, sets)
+    whole, asked = _with_sets(needed.select("node", *(c for c in needed.columns if c != "node")), texts, reps, width)
+    links = written(whole.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(settle, "a long, b long"), "links")
+    remove(met, needed, asked)
     return links
 
 
 def _placed(df: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Written tables: (doc, n, node) of each row of df, and (node, comp), the component of each set. df: (doc, text)."""
     spark = df.sparkSession
-    texts = df.select(F.col("doc").cast("long").alias("doc"), utf8("text").alias("t"))
+    texts = df.select(F.col("doc").cast("long").alias("doc"), utf8("text").alias("t")).withColumn("read", F.xxhash64("t"))
     sets = written(_sets(texts, width), "shingles")
     counts = spark.sparkContext.broadcast(_summed(sets.where("NOT row")))
     named = sets.where("row AND node IS NOT NULL")
-    reps = written(named.groupBy("node").agg(F.min("doc").alias("doc"), *(F.first(c).alias(c) for c in ("bits", "k1", "k2"))), "reps")
-    attrs = reps.select("node", "bits", "k1", "k2")
+    # Where a set is read: of the row with the smallest id.
+    row = F.min(F.struct(F.col("doc").isNull().alias("no"), "doc", "read")).alias("row")
+    reps = written(named.groupBy("node").agg(row, *(F.first(c).alias(c) for c in ("n", "bits", "k1", "k2"))).select("node", "row.doc", "row.read", "n", "bits", "k1", "k2"), "reps")
+    attrs = reps.select("node", "n", "bits", "k1", "k2")
     members = written(_groups(_prefixes(texts.select("t"), counts, width, percent)), "members")
 
     links, found, tried, tables = None, None, None, []
@@ -552,14 +575,15 @@ def _placed(df: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
         # Groups of one block have met whole; in larger ones one member of each component goes on.
         large = members.groupBy("gid").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK).select("gid")
         now = members.join(large, "gid", "left_semi").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        ends = now.groupBy("gid", "comp").agg(F.min("node").alias("node"), F.min_by("n", "node").alias("n"), F.min_by("pos", "node").alias("pos"))
+        ends = now.groupBy("gid", "comp").agg(F.min("node").alias("node"), F.min_by("pos", "node").alias("pos"))
         ends = written(ends.drop("comp"), "ends")
         tables.append(ends)
         if ends.isEmpty() or ends.count() == ends.select("gid").distinct().count():
             break
     if found is None:
-        found = new.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    grouped = written(members.drop("pos").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+        found = spark.createDataFrame([], "node long, comp long")
+    grouped = members.drop("pos").join(reps.select("node", "n"), "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    grouped = written(grouped, "members")
     more = _rest(grouped, attrs, texts, reps, width, percent)
     if not more.isEmpty():
         found = written(components(more if links is None else links.unionByName(more)), "components")
