@@ -70,6 +70,8 @@ COUNTERS, PIECES = 1 << 20, 16
 HOT_ROWS, HOT_MEANS = 4096, 16
 #: Members of a block and shingles that they have in all; members of a group that a task holds to name it by them; rows of candidate ids that are broadcast at most.
 BLOCK, BLOCK_SHINGLES, HELD, BROADCAST_ROWS = 512, 1 << 20, 4096, 2_000_000
+#: Bytes, written as text, of what is asked of texts and broadcast at most.
+ASKED_BYTES = 64 << 20
 #: Bits of a bitmap at most; members before it that one is compared with in a chain; rounds of chains at most.
 BITS, LOOK, CHAINS = 2048, 4, 4
 #: Names of sets that a task remembers so as to emit each once.
@@ -435,7 +437,15 @@ def _with_sets(rows: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -
     # A node's list is as long as the groups that its prefix gives it.
     asked = rows.join(reps.select("node", F.col("doc").alias("asked_doc"), F.col("read").alias("asked_read")), "node")
     asked = written(asked.groupBy("asked_doc", "asked_read").agg(F.collect_list(F.struct(*rows.columns)).alias("asked")), "asked")
-    source = texts.join(_few(asked), (F.col("read") == F.col("asked_read")) & F.col("doc").eqNullSafe(F.col("asked_doc"))).select("t", "asked")
+    same = (F.col("read") == F.col("asked_read")) & F.col("doc").eqNullSafe(F.col("asked_doc"))
+    lists, size = asked.agg(F.count("*"), F.sum(F.length(F.to_json("asked")))).first()
+    if (size or 0) <= ASKED_BYTES:
+        source = texts.join(F.broadcast(asked), same).select("t", "asked")
+    else:
+        # Lists too large to be everywhere: their keys leave only the texts that are asked about, and these meet them by a shuffle.
+        keys = asked.select("asked_doc", "asked_read")
+        wanted = texts.join(F.broadcast(keys) if lists <= BROADCAST_ROWS else keys, same, "left_semi")
+        source = wanted.join(asked.hint("merge"), same).select("t", "asked")
     schema = T.StructType([*rows.schema.fields, T.StructField("s", T.BinaryType())])
 
     def run(batches):

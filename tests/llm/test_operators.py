@@ -690,7 +690,7 @@ def test_links_of_two_sets():
 @pytest.mark.parametrize("chains", [0, 4])
 def test_join_without_and_with_chains(spark, monkeypatch, chains):
     """The exact part alone finds what chains leave, in blocks of few members and few shingles, with frequent shingles dealt out."""
-    for name, value in {"CHAINS": chains, "BLOCK": 8, "BLOCK_SHINGLES": 700, "HELD": 6, "HOT_ROWS": 20, "HOT_MEANS": 0, "BROADCAST_ROWS": 1}.items():
+    for name, value in {"CHAINS": chains, "BLOCK": 8, "BLOCK_SHINGLES": 700, "HELD": 6, "HOT_ROWS": 20, "HOT_MEANS": 0, "BROADCAST_ROWS": 1, "ASKED_BYTES": 0}.items():
         monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(11)
     words = [f"w{k}" for k in range(300)]
