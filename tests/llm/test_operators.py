@@ -376,6 +376,44 @@ def test_tree_covers():
     walk(topk.cover_tree(x))
 
 
+def test_even_vectors_meet_in_few_products():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8000, 64))
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1)[:, None])
+    assert not topk.cover_tree(x).children
+    ids, pairs = np.arange(8000), []
+    got = topk.dual_tree(x[:400], ids[:400], x, ids, 20, pairs.append)
+    assert sum(pairs) <= 400 * 8000 and len(pairs) < 20
+    want = brute_top(ids, x.astype(np.int64), ids < 400, 20)
+    assert {(int(ids[i]), r + 1, int(j), int(s)) for i, (at, score) in enumerate(got) for r, (j, s) in enumerate(zip(at, score, strict=True))} == want
+
+
+@pytest.mark.parametrize("scale", [1, 2**9, 2**24, 2**27])
+def test_floors_keep_what_reaches_them(scale):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-6, 7, (700, 6)).astype(float) * scale
+    x[300:500] = x[1]
+    ids = rng.permutation(700)
+    want = {}
+    for q, _, j, s in sorted(brute_top(ids, x.astype(np.int64), np.arange(700) < 60, 20)):
+        want.setdefault(q, []).append((j, s))
+    # The kth row of what a part of the rows gives, and a query without any.
+    floors = np.zeros(60, np.int64), np.full(60, topk.NO_ID)
+    for i, (at, score) in enumerate(topk.dual_tree(x[:60], ids[:60], x[100:350], ids[100:350], 20)):
+        if i % 7:
+            floors[0][i], floors[1][i] = score[-1], at[-1]
+    best = topk.search(x[:60], ids[:60], x, ids, 20, floors=floors)
+    assert {int(ids[i]): list(zip(best.ids[i].tolist(), map(int, best.scores[i]), strict=True)) for i in range(60)} == want
+
+
+def test_topk_of_components_of_all_sizes(spark):
+    rng = np.random.default_rng(7)
+    x = rng.integers(-100, 101, (400, 5)).astype(float) * 10.0 ** rng.integers(0, 8, 400)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 5 == 0, 20, block_rows=90, group_rows=30)
+    assert {tuple(r) for r in got.collect()} == brute_top(np.arange(400), x.astype(np.int64), np.arange(400) % 5 == 0, 20)
+
+
 # Mixing
 
 
