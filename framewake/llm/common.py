@@ -6,16 +6,18 @@ x09-x0D, which is the word rule of these operators, and no Unicode white space.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..storage import remove, written
 
-__all__ = ["CHUNK_BYTES", "CHUNK_ROWS", "ENTRY_BYTES", "MEMO_BYTES", "Memo", "below_share", "chunks", "held_out", "load", "per_text", "quoted", "remove", "utf8", "written"]
+__all__ = ["CHUNK_BYTES", "CHUNK_ROWS", "ENTRY_BYTES", "MEMO_BYTES", "Memo", "below_share", "chunks", "held_out", "load", "local_frame", "mapped", "per_text", "quoted", "remove", "utf8", "written"]
 
 #: Documents that Python handles at once, and bytes of text after which a chunk ends.
 CHUNK_ROWS, CHUNK_BYTES = 256, 2 << 20
@@ -71,6 +73,30 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start += n
 
 
+def release() -> None:
+    """Give freed memory back to the machine. Allocators keep much of it, and a worker that waits for its next task would hold it beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow, after each task of which the worker gives back what run() has freed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(task, schema)
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a DataFrame. They go to the JVM as Arrow, for a list of rows is read in Python workers of its own, which executors keep beside those of mapInArrow."""
+    fields = to_arrow_schema(T.StructType.fromDDL(schema))
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields))
+
+
 def per_text(
     df: DataFrame, columns: list[str | Column], text: str | Column, make: Callable[[], Callable], fields: list[T.StructField]
 ) -> DataFrame:
@@ -84,7 +110,7 @@ def per_text(
             out = work(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], names=schema.fieldNames())
 
-    return kept.mapInArrow(run, schema)
+    return mapped(kept, run, schema)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

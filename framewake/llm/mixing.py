@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, quoted, remove, written
+from .common import load, local_frame, quoted, remove, written
 
 #: Blocks of a source at most (a power of two) and of all sources together about; parts of a cut block; output shards (a power of two); tasks of a shard.
 BLOCKS, PLAN_ROWS, CUTS, SHARDS, SALT = 256, 1 << 16, 256, 64, 16
@@ -129,7 +129,7 @@ def plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
     sources, total = sorted(size_of, key=lambda s: (s is None, s or "")), sum(size_of.values())
     n_blocks = {s: blocks_of(size_of[s], total, len(sources)) for s in sources}
     # Block numbers are hashes modulo a power of two, so those of fewer blocks are their remainders.
-    fewer = spark.createDataFrame(list(n_blocks.items()), "t string, m int")
+    fewer = local_frame(spark, list(n_blocks.items()), "t string, m int")
     at = sums.join(fewer, F.col("s").eqNullSafe(F.col("t"))).groupBy("s", (F.col("__block") % F.col("m")).alias("b")).agg(F.sum("n").alias("n"))
     by: dict[str | None, dict[int, int]] = {s: {} for s in sources}
     for r in at.toLocalIterator():
@@ -168,8 +168,8 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """df with __size, __source_size, __target and __shards: the shard of each pass in which the mix takes the row."""
     spark = df.sparkSession
     rows, totals = plan(df, id_col, text_col, source_col, shards, seed)
-    units = spark.createDataFrame(rows, "__s string, __b int, __shards array<int>, __cut double")
-    sums = spark.createDataFrame([(s, *v) for s, v in totals.items()], "__t string, __source_size long, __target double, __blocks int")
+    units = local_frame(spark, rows, "__s string, __b int, __shards array<int>, __cut double")
+    sums = local_frame(spark, [(s, *v) for s, v in totals.items()], "__t string, __source_size long, __target double, __blocks int")
     source = F.col(source_col).cast("string")
     in_block = source.eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b"))
     ready = _prepared(df, id_col, text_col, seed).join(_small(totals, sums), source.eqNullSafe(F.col("__t")), "left").withColumn("__block", F.col("__block") % F.col("__blocks"))
@@ -180,7 +180,7 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     # One block of each source at most has a cut. Its rows' sizes, without texts, are summed in hashed order up to a last
     # row that is still taken: sums of parts of the block first, so that only rows of one part are ever in one order.
     place = lambda i, size: F.struct(_hash(i, seed, 1).alias("h"), F.col(i).cast("string").alias("i"), F.col(size).alias("n"))
-    of_cut = spark.createDataFrame(cut, "__s string, __b int, __c double")
+    of_cut = local_frame(spark, cut, "__s string, __b int, __c double")
     # Rows that repeat id and size go together; the last are taken if that ends nearer to the target.
     own = ready.select(F.col(id_col), source_col, source.alias("__k"), "__block", "__size").join(_small(cut, of_cut), in_block)
     own = own.groupBy("__k", "__c", place(id_col, "__size").alias("__place"), "__size").agg(F.count("*").alias("__copies"))

@@ -61,7 +61,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..operators.closure import components
-from .common import ENTRY_BYTES, MEMO_BYTES, Memo, chunks, load, quoted, remove, utf8, written
+from .common import ENTRY_BYTES, MEMO_BYTES, Memo, chunks, load, local_frame, mapped, quoted, remove, utf8, written
 
 WIDTH, PERCENT = 5, 80
 #: Counters of the sketch (8 bytes each on the driver and in every worker) and the pieces in which they are summed.
@@ -163,7 +163,7 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
                 names=_SETS.fieldNames(),
             )
 
-    return df.mapInArrow(run, _SETS)
+    return mapped(df, run, _SETS)
 
 
 def _summed(sketches: DataFrame) -> np.ndarray:
@@ -178,7 +178,7 @@ def _summed(sketches: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["piece", "counts"])
 
     out = np.zeros((PIECES, COUNTERS // PIECES), np.uint64)
-    for piece, part in sketches.select("piece", "counts").repartition("piece").mapInArrow(add, "piece int, counts binary").collect():
+    for piece, part in mapped(sketches.select("piece", "counts").repartition("piece"), add, "piece int, counts binary").collect():
         out[piece] += np.frombuffer(part, np.uint64)
     return np.minimum(out.reshape(-1), 2**32 - 1).astype(np.uint32)
 
@@ -216,7 +216,7 @@ def _prefixes(df: DataFrame, counts, width: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
     # Three numbers a row are what is shuffled.
-    return df.mapInArrow(run, "h long, node long, at long")
+    return mapped(df, run, "h long, node long, at long")
 
 
 def _groups(prefixes: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def _groups(prefixes: DataFrame) -> DataFrame:
     salt = F.shiftright("at", 32)
     dealt = prefixes.repartition("h", salt).sortWithinPartitions("h", salt, "node")
     # The same group may be known to several tasks; the least position of each member bounds for all of them.
-    return dealt.mapInArrow(run, "gid long, node long, pos int").groupBy("gid", "node").agg(F.min("pos").alias("pos"))
+    return mapped(dealt, run, "gid long, node long, pos int").groupBy("gid", "node").agg(F.min("pos").alias("pos"))
 
 
 @dataclass
@@ -416,7 +416,7 @@ def _chained(members: DataFrame, attrs: DataFrame, percent: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.repartition("gid", "block").sortWithinPartitions("gid", "block", "k1", "k2", "node").mapInArrow(run, "a long, b long").distinct()
+    return mapped(dealt.repartition("gid", "block").sortWithinPartitions("gid", "block", "k1", "k2", "node"), run, "a long, b long").distinct()
 
 
 def apart(x: bytes, y: bytes) -> int:
@@ -465,7 +465,7 @@ def _with_sets(rows: DataFrame, texts: DataFrame, reps: DataFrame, width: int) -
                 if own.num_rows:
                     yield pa.RecordBatch.from_arrays([*own.columns, pa.array([s.tobytes()] * own.num_rows, pa.binary())], names=schema.fieldNames())
 
-    return source.mapInArrow(run, schema), asked
+    return mapped(source, run, schema), asked
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
@@ -489,7 +489,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, width: int, p
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     met = both.repartition("a", "b").sortWithinPartitions("a", "b", "node")
-    links = written(met.mapInArrow(compare, "a long, b long"), "links")
+    links = written(mapped(met, compare, "a long, b long"), "links")
     remove(asked)
     return links
 
@@ -534,7 +534,7 @@ def _rest(members: DataFrame, attrs: DataFrame, texts: DataFrame, reps: DataFram
 
     schema = "gid long, lo int, hi int, block int, node long, n long, comp long, gids array<long>, bits binary"
     sorted_by = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
-    needed = written(sorted_by(met.join(attrs.select("node", "bits"), "node")).mapInArrow(look, schema), "needed")
+    needed = written(mapped(sorted_by(met.join(attrs.select("node", "bits"), "node")), look, schema), "needed")
 
     def settle(batches):
         for table in _runs(batches, keys):
@@ -551,7 +551,7 @@ def _rest(members: DataFrame, attrs: DataFrame, texts: DataFrame, reps: DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     whole, asked = _with_sets(needed.select("node", *(c for c in needed.columns if c != "node")), texts, reps, width)
-    links = written(whole.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(settle, "a long, b long"), "links")
+    links = written(mapped(whole.repartition(*keys).sortWithinPartitions(*keys, "node"), settle, "a long, b long"), "links")
     remove(met, needed, asked)
     return links
 
@@ -591,7 +591,7 @@ def _placed(df: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
         if ends.isEmpty() or ends.count() == ends.select("gid").distinct().count():
             break
     if found is None:
-        found = spark.createDataFrame([], "node long, comp long")
+        found = local_frame(spark, [], "node long, comp long")
     grouped = members.drop("pos").join(reps.select("node", "n"), "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     grouped = written(grouped, "members")
     more = _rest(grouped, attrs, texts, reps, width, percent)
@@ -645,7 +645,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                 found = [shingles(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([set_name(s) if len(s) else None for s in found], pa.int64())], names=schema.fieldNames())
 
-        rest = rest.mapInArrow(named, schema)
+        rest = mapped(rest, named, schema)
         hashed = [c for c in own.columns if "map<" not in dict(own.dtypes)[c] and "variant" not in dict(own.dtypes)[c]]
         first = Window.partitionBy(doc, "__node").orderBy(text, F.xxhash64(*hashed))
         chosen = rest.join(kept.select(F.col("doc").alias("__doc"), F.col("node").alias("__kept")), same & (F.col("__node") == F.col("__kept")), "left_semi")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, load, per_text, quoted, utf8
+from .common import chunks, load, mapped, per_text, quoted, utf8
 
 #: Buckets of the hashed n-grams (a prime): what the driver gathers is two counts for each, whatever the corpus.
 BUCKETS = 65521
@@ -114,7 +114,7 @@ def gram_counts(df: DataFrame, trusted: str, text_col: str = "text", buckets: in
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=schema.fieldNames())
 
     out = np.zeros((buckets, 2), np.int64)
-    sums = df.select(utf8(text_col).alias("t"), F.col(trusted).alias("g")).mapInArrow(run, schema)
+    sums = mapped(df.select(utf8(text_col).alias("t"), F.col(trusted).alias("g")), run, schema)
     for r in sums.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow().to_batches():
         out[r.column(0).to_numpy()] = np.stack([r.column(1).to_numpy(), r.column(2).to_numpy()], 1)
     return out
