@@ -10,6 +10,8 @@ quadratic.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,8 @@ from .closure import components
 
 #: How far below a group's best confidence a sighting may lie and still supply fields; how far inside its window a contained span is.
 CONFIDENCE_BAND, EPSILON = 0.3, 0.01
+#: Spans below this, a power of four, count as equally long where cells are chosen for them.
+SHORTEST = 4.0**-5
 KEY = ("run_id", "clip_id")
 
 
@@ -50,12 +54,33 @@ def islands(sightings: DataFrame) -> DataFrame:
 
 
 def same_event_pairs(sightings: DataFrame) -> DataFrame:
-    """(run_id, clip_id, left_position, right_position) of sightings that match directly, for reports; merging doesn't need it."""
-    own = islands(sightings)
-    one, other = own.alias("l"), own.alias("r")
-    keys = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in (*KEY, "person", "vehicle", "island")]
-    meet = (F.col("l.position") < F.col("r.position")) & (F.col("l.start_time_s") <= F.col("r.end_time_s")) & (F.col("r.start_time_s") <= F.col("l.end_time_s"))
-    return one.join(other, [*keys, meet]).select("l.run_id", "l.clip_id", F.col("l.position").alias("left_position"), F.col("r.position").alias("right_position")).distinct()
+    """(run_id, clip_id, left_position, right_position) of sightings that match directly, for reports; merging doesn't need it.
+
+    Of two that match the later begins within the span of the earlier. Spans are sorted
+    by length into powers of four, and each lies in the cells of that width that it
+    touches, three at most; a beginning is looked up in its cell of each width in use.
+    So what is compared is a few times what is returned, and a pair is found once: at
+    the least person and vehicle that its sightings share.
+    """
+    c = F.col
+    ids = {n: F.array_distinct(f"{n}_ids") for n in ("person", "vehicle")}
+    several = F.size(ids["person"]) * F.size(ids["vehicle"]) > 1
+    slim = sightings.select(*KEY, "position", "start_time_s", "end_time_s", *(v.alias(f"{n}s") for n, v in ids.items()), *(F.when(several, v).alias(f"all_{n}s") for n, v in ids.items()))
+    pairs = slim.select("*", F.explode("persons").alias("person")).select("*", F.explode("vehicles").alias("vehicle")).drop("persons", "vehicles")
+    length = c("end_time_s") - c("start_time_s")
+    width = F.pow(F.lit(4.0), F.when(length > SHORTEST, F.ceil(F.log2(length) / 2)).otherwise(math.log(SHORTEST, 4)))
+    cell = lambda at: F.floor(c(at) / c("width"))
+    spans = pairs.where("start_time_s <= end_time_s").withColumn("width", width)
+    spans = spans.withColumn("cell", F.explode(F.sequence(cell("start_time_s"), cell("end_time_s"))))
+    widths = sightings.where("start_time_s <= end_time_s").select(width.alias("width")).distinct()
+    begun = pairs.crossJoin(F.broadcast(widths)).withColumn("cell", cell("start_time_s"))
+    l, r = spans.alias("l"), begun.alias("r")
+    keys = [c(f"l.{k}") == c(f"r.{k}") for k in (*KEY, "person", "vehicle", "width", "cell")]
+    later = (c("l.start_time_s") < c("r.start_time_s")) | ((c("l.start_time_s") == c("r.start_time_s")) & (c("l.position") < c("r.position")))
+    meet = later & (c("r.start_time_s") <= c("l.end_time_s")) & (c("l.start_time_s") <= c("r.end_time_s")) & (c("l.position") != c("r.position"))
+    least = lambda n: F.array_min(F.array_intersect(f"l.all_{n}s", f"r.all_{n}s")) == c(f"l.{n}")
+    once = c("l.all_persons").isNull() | c("r.all_persons").isNull() | (least("person") & least("vehicle"))
+    return l.join(r, [*keys, meet & once]).select("l.run_id", "l.clip_id", F.least("l.position", "r.position").alias("left_position"), F.greatest("l.position", "r.position").alias("right_position"))
 
 
 def group_sightings(sightings: DataFrame) -> DataFrame:
