@@ -7,6 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,14 +51,8 @@ def _stars(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[p
     def stars(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts)
         nodes = pa.concat_arrays([c for name in "uv" for c in table.column(name).chunks])
-        if pa.types.is_integer(nodes.type):
-            first, at = np.unique(nodes.to_numpy(), return_index=True, return_inverse=True)[1:]
-        else:
-            # In Spark's order: nulls first, structs field by field.
-            keyed = [_key(x) for x in nodes.to_pylist()]
-            where = {k: i for i, k in reversed(list(enumerate(keyed)))}
-            order = {k: i for i, k in enumerate(sorted(where))}
-            first, at = np.array([where[k] for k in order]), np.array([order[k] for k in keyed])
+        values = nodes.to_numpy() if pa.types.is_integer(nodes.type) else _ranks(nodes)
+        first, at = np.unique(values, return_index=True, return_inverse=True)[1:]
         label = least_reachable(at[: table.num_rows], at[table.num_rows :], len(first))
         kept = np.flatnonzero((label != np.arange(len(first))) | whole)
         return pa.RecordBatch.from_arrays([nodes.take(pa.array(first[kept])), nodes.take(pa.array(first[label[kept]]))], names=["u", "v"])
@@ -74,10 +69,18 @@ def _stars(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[p
         yield stars(held)
 
 
-def _key(x) -> tuple:
-    if isinstance(x, dict):
-        return tuple(map(_key, x.values()))
-    return (x is not None, x)
+def _ranks(values: pa.Array) -> np.ndarray:
+    """Each value's rank among the distinct ones in Spark's order: nulls first, structs field by field. By columns, as an object for each value would take some hundred bytes."""
+    if pa.types.is_struct(values.type):
+        rank = values.is_valid().to_numpy(False).astype(np.int64)
+        for own in map(_ranks, values.flatten()):
+            rank = np.unique(rank * (own.max() + 1) + own, return_inverse=True)[1]
+        return rank
+    coded = values.dictionary_encode()
+    count = len(coded.dictionary)
+    rank = np.zeros(count + 1, np.int64)
+    rank[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(1, count + 1)
+    return rank[coded.indices.fill_null(count).to_numpy(False)]
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import written
 from .closure import components
 
 #: How far below a group's best confidence a sighting may lie and still supply fields; how far inside its window a contained span is.
@@ -83,12 +84,23 @@ def same_event_pairs(sightings: DataFrame) -> DataFrame:
     return l.join(r, [*keys, meet & once]).select("l.run_id", "l.clip_id", F.least("l.position", "r.position").alias("left_position"), F.greatest("l.position", "r.position").alias("right_position"))
 
 
+def island_ties(sightings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((run_id, clip_id, position, first), ties): by the least position of one of its islands a sighting is found; ties (a, b) are of such positions, each once."""
+    whole = Window.partitionBy(*KEY, "person", "vehicle", "island")
+    named = islands(sightings).select(*KEY, "position", F.min("position").over(whole).alias("first"))
+    # Written, as ties and members are read from it.
+    told = written(named.groupBy(*KEY, "position").agg(F.array_sort(F.collect_set("first")).alias("firsts")), "islands")
+    node = lambda c: F.struct(*KEY, c.alias("position"))
+    several = told.where(F.size("firsts") > 1).select(*KEY, F.element_at("firsts", 1).alias("one"), F.explode(F.slice("firsts", 2, F.size("firsts"))).alias("other"))
+    return told.select(*KEY, "position", F.element_at("firsts", 1).alias("first")), several.distinct().select(node(F.col("one")).alias("a"), node(F.col("other")).alias("b"))
+
+
 def group_sightings(sightings: DataFrame) -> DataFrame:
     """sightings with group, the position of their event's earliest member."""
-    node = lambda c: F.struct(*KEY, F.col(c).alias("position"))
-    links = islands(sightings).where("position <> island").select(node("position").alias("a"), node("island").alias("b")).distinct()
-    found = components(links).select("node.*", F.col("comp.position").alias("group"))
-    return sightings.join(found, [*KEY, "position"], "left").withColumn("group", F.coalesce("group", "position"))
+    members, ties = island_ties(sightings)
+    found = components(ties).select("node.run_id", "node.clip_id", F.col("node.position").alias("first"), F.col("comp.position").alias("group"))
+    grouped = members.join(found, [*KEY, "first"], "left").select(*KEY, "position", F.coalesce("group", "first").alias("group"))
+    return sightings.join(grouped, [*KEY, "position"], "left").withColumn("group", F.coalesce("group", "position"))
 
 
 def with_windows(sightings: DataFrame, windows: DataFrame) -> DataFrame:

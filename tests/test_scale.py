@@ -1,10 +1,12 @@
 """Steps whose work or memory must not grow faster than their input."""
 
 import random
+import tracemalloc
 
-import pytest
+import numpy as np
+import pyarrow as pa
 
-from framewake.operators import merge
+from framewake.operators import closure, merge
 
 from .test_merge import SCHEMA, sighting
 
@@ -41,3 +43,54 @@ def test_pairs_of_a_long_island_meet_in_cells(spark):
     assert joined and all("cell" in x for x in joined)
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
     assert found.count() == 2999
+
+
+def test_ties_are_of_islands_not_of_sightings(spark, monkeypatch):
+    """However many sightings an island holds, none of them goes into the closure; those of two pairs tie two islands once."""
+    given = []
+    monkeypatch.setattr(merge, "components", lambda links: given.append(links.count()) or closure.components(links))
+    rows = [sighting(k, 0, 0.0, 9.0, ["P1", "P2"] if k % 3 == 0 else [f"P{1 + k % 2}"]) for k in range(300)] + [sighting(300, 0, 0.0, 9.0, ["P3"])]
+    got = {r.position: r.group for r in merge.group_sightings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert given[0] <= 1
+    assert got == {k: 300 if k == 300 else 0 for k in range(301)}
+
+
+def test_groups_of_odd_sightings_are_named_by_their_least_member(spark):
+    """Positions in no order of time."""
+    rows = [r for r in odd_sightings(200, 8) if r[11] is not None and r[11] >= r[9]]
+    found = {r[3]: {r[3]} for r in rows}
+    for a in rows:
+        for b in rows:
+            if a[9] <= b[11] and b[9] <= a[11] and set(a[4]) & set(b[4]) and set(a[5]) & set(b[5]) and found[a[3]] is not found[b[3]]:
+                found[a[3]] |= found[b[3]]
+                found.update({k: found[a[3]] for k in found[a[3]]})
+    got = {r.position: r.group for r in merge.group_sightings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: min(own) for k, own in found.items()}
+
+
+def _edges(nodes, u, v):
+    kind = pa.struct([("clip", pa.string()), ("position", pa.int64())])
+    told = lambda at: pa.array([nodes[k] for k in at], kind)
+    return pa.RecordBatch.from_arrays([told(u), told(v)], names=["u", "v"])
+
+
+def test_stars_of_structs_follow_spark_order():
+    nodes = [{"clip": c, "position": p} for c in (None, "", "B", "a", "é", "😀") for p in (None, -1, 0, 7)]
+    rng = random.Random(2)
+    order = list(range(len(nodes)))
+    u = [rng.choice(order) for _ in range(14)]
+    v = [rng.choice(order) for _ in range(14)]
+    label = closure.least_reachable(np.array(u), np.array(v), len(nodes))
+    (got,) = closure._stars(iter([_edges(nodes, u, v)]), True)
+    assert {(repr(r["u"]), repr(r["v"])) for r in got.to_pylist()} == {(repr(nodes[k]), repr(nodes[label[k]])) for k in {*u, *v}}
+
+
+def test_stars_of_structs_take_no_object_a_node():
+    n = 50_000
+    nodes = [{"clip": f"clip{k % 30}", "position": k} for k in range(n)]
+    batch = _edges(nodes, range(1, n), range(n - 1))
+    tracemalloc.start()
+    list(closure._stars(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * n
