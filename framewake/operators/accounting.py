@@ -13,12 +13,13 @@ def usage_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """calls with billable_output_tokens and estimated_cost_usd. calls: model_id and input, output, thought tokens (null counts as 0); prices: a row per model, in dollars per million.
 
     A model without a price fails the job, as a cost left out would look like none; unpriced_models() lists them.
+    Prices are broadcast: a list of models is short, and dealt by model all calls would meet in a task for each model.
     """
     tokens = {c: F.coalesce(c, F.lit(0)).cast("double") for c in ("total_input_tokens", "total_output_tokens", "total_thought_tokens")}
     out = calls.withColumns(tokens).withColumn("billable_output_tokens", F.col("total_output_tokens") + F.col("total_thought_tokens"))
     cost = F.col("total_input_tokens") / 1e6 * F.col("usd_per_m_in") + F.col("billable_output_tokens") / 1e6 * F.col("usd_per_m_out")
     unknown = F.raise_error(F.concat(F.lit("no price is known for "), F.coalesce("model_id", F.lit("null")))).cast("double")
-    priced = out.join(prices, "model_id", "left").withColumn("__cost", F.when(cost.isNull(), unknown).otherwise(cost))
+    priced = out.join(F.broadcast(prices), "model_id", "left").withColumn("__cost", F.when(cost.isNull(), unknown).otherwise(cost))
     return priced.withColumn("estimated_cost_usd", exact_round(F.col("__cost"), 6)).drop("usd_per_m_in", "usd_per_m_out", "__cost")
 
 

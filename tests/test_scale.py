@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from framewake.operators import closure, merge
+from framewake.operators import accounting, closure, merge
 
 from .test_merge import SCHEMA, sighting
 
@@ -94,3 +94,13 @@ def test_stars_of_structs_take_no_object_a_node():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 200 * n
+
+
+def test_calls_are_not_dealt_by_model(spark):
+    """Two models would be two tasks, however many calls there are."""
+    prices = spark.createDataFrame([("a", 1.0, 2.0), ("b", 0.0, 0.0)], "model_id string, usd_per_m_in double, usd_per_m_out double")
+    tokens = ("id AS total_input_tokens", "id AS total_output_tokens", "0 AS total_thought_tokens")
+    priced = accounting.usage_cost(spark.range(0, 1000, 1, 4).selectExpr("IF(id % 3 = 0, 'a', 'b') AS model_id", *tokens), prices)
+    plan = priced._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert priced.where("model_id = 'a'").count() == 334
