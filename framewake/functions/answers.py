@@ -22,15 +22,18 @@ def braced(text: Column) -> Column:
     return F.when((first > 0) & F.contains(text, F.lit("}")) & (last > first), F.substring(text, first, last - first + 1))
 
 
-def is_json(text: Column) -> Column:
-    """Whether all of a text is one JSON value. The parser alone would take a value that something follows, so the text is read as an array's only element."""
-    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.coalesce(F.size(F.try_variant_get(boxed, "$", "array<variant>")) == 1, F.lit(False))
+def values(text: Column) -> Column:
+    """The values of a text read as an array's members: one if all of the text is one JSON value, which the parser alone would also find where something follows it. Null if that is no JSON."""
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
 
 
-def json_forms(text: Column) -> Column:
-    """Which of a text, its unfenced and its braced part are JSON, in this order."""
-    return F.filter(F.array_compact(F.array(text, unfenced(text), braced(text))), is_json)
+def is_single(members: Column) -> Column:
+    return F.coalesce(F.size(members) == 1, F.lit(False))
+
+
+def cut(text: Column) -> Column:
+    """The first of a text's unfenced and its braced part that is JSON; null if neither is. The second is looked at only if the first is none."""
+    return F.coalesce(*(F.when(is_single(values(part)), part) for part in (unfenced(text), braced(text))))
 
 
 def kind(value: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import field, json_forms, kind
+from ..functions.answers import cut, field, is_single, kind, values
 from ..functions.labels import INITIALS, is_label
 
 TIMES = ("start_time_s", "evidence_time_s", "end_time_s")
@@ -26,9 +26,13 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
 def parse(responses: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """responses with the repaired text, payload, and parse_error: null, no text, not JSON, or no interactions list."""
     text = F.col(text_col)
-    out = settled(responses, __forms=json_forms(text))
-    out = settled(out, repaired_text=F.coalesce(F.get("__forms", F.lit(0)), text), payload=F.try_parse_json(F.get("__forms", F.lit(0)))).drop("__forms")
-    error = F.when(text.isNull(), "no text").when(F.col("payload").isNull(), "not JSON").when(kind(field(F.col("payload"), "interactions")) != "array", "no interactions list")
+    # Most answers are JSON as they come: parts are cut and read only where one isn't.
+    out = settled(responses, __own=values(text))
+    own = is_single(F.col("__own"))
+    out = settled(out, __cut=F.when(~own, cut(text)))
+    out = settled(out, repaired_text=F.coalesce("__cut", text), payload=F.when(own, F.get("__own", F.lit(0))).otherwise(F.try_parse_json("__cut"))).drop("__own", "__cut")
+    listed = F.try_variant_get("payload", "$.interactions", "array<variant>")
+    error = F.when(text.isNull(), "no text").when(F.col("payload").isNull(), "not JSON").when(listed.isNull(), "no interactions list")
     return settled(out, parse_error=error)
 
 

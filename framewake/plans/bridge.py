@@ -93,8 +93,15 @@ class Bridge:
     def table(self, name: str) -> DataFrame:
         source = "lineitem" if name == "calls" else "events" if name == "ev" else "ev"
         base = self.spark.read.parquet(f"{self.dir}/{source}.parquet") if source != "ev" else self.table("ev")
+        if name == "responses":
+            base = self._dealt(base, "event_id", "t")
         return self.spark.sql(_inlined(name, self.tick, source), base=base)
 
+    def _dealt(self, df: DataFrame, *by: str) -> DataFrame:
+        """df over enough tasks for all cores: reading an answer takes far longer than reading its row, and a table may lie in few row groups. The number is given, as by size the tasks would be few again."""
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 3 * self.spark.sparkContext.defaultParallelism)
+        return df.repartition(n, *by)
+
     def windows(self) -> DataFrame:
         """Windows of 8 s every 4 s, some of whose calls failed."""
         from pyspark.sql import functions as F

@@ -5,8 +5,10 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from framewake.operators import accounting, closure, merge
+from framewake.operators import accounting, closure, merge, responses
+from framewake.plans.bridge import Bridge
 
 from .test_merge import SCHEMA, sighting
 
@@ -104,3 +106,28 @@ def test_calls_are_not_dealt_by_model(spark):
     plan = priced._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
     assert priced.where("model_id = 'a'").count() == 334
+
+
+def test_answers_are_dealt_over_all_cores(spark):
+    """A table of one row group would be one task, in which all answers are read."""
+    answers = Bridge(spark, "/root/testdata/sf0.001").table("responses")
+    sizes = answers.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(r[1] for r in sizes) < answers.count() / 4
+
+
+def test_odd_answers(spark):
+    want = {
+        '{"interactions": [1]}': None,
+        '{"interactions": null}': "no interactions list",
+        '{"interactions": "[1]"}': "no interactions list",
+        '{"interactions": {"a": 1}}': "no interactions list",
+        "null": "no interactions list",
+        "": "not JSON",
+        "{},": "no interactions list",
+        '{"a": 1, "a": 2}': "not JSON",
+        '```json\n{"interactions": []}\n```': None,
+        'so {"interactions": []} it is': None,
+        '{"interactions": []} {"interactions": []}': "not JSON",
+    }
+    got = responses.parse(spark.createDataFrame([(t,) for t in want], "raw_text string")).collect()
+    assert {r.raw_text: r.parse_error for r in got} == want
